@@ -47,3 +47,86 @@ oracle("category_count", ["processed"],
        "SELECT CAST(count(DISTINCT category_encoded) AS BIGINT) AS n_categories FROM processed")
 
 oracle("category_lookup", ["processed"], "SELECT article_id, category FROM processed")
+
+
+# ------------------------------------------------------------------ wave 2-4: vectors, profiles, candidates
+R5 = S.round5
+
+oracle("embedding_table", ["emb_long"], f"SELECT article_id, label, pos, {R5('value')} AS value FROM emb_long")
+
+oracle("embed_articles", ["avec"], f"SELECT k AS article_id, CAST(b AS INTEGER) AS pos, {R5('v')} AS value FROM avec")
+
+oracle("interactions_table", ["interactions"], "SELECT user_id, item_id, rating, timestamp FROM interactions")
+
+oracle("user_items", ["interactions"], """
+SELECT user_id, item_id, count(*) AS n_likes, min(timestamp) AS first_liked FROM interactions GROUP BY 1, 2""")
+
+oracle("liked_with_embedding", ["interactions"], """
+SELECT i.user_id, i.item_id, count(*) AS n FROM interactions i
+JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = i.item_id GROUP BY 1, 2""")
+
+oracle("profile_mean", ["pmean_e"], f"""
+SELECT user_id, CAST(n_liked AS BIGINT) AS n_liked, pos, {R5('value')} AS value FROM pmean_e""")
+
+oracle("l2_normalize", ["punit_e"], f"SELECT user_id, pos, {R5('value')} AS value FROM punit_e")
+
+oracle("profile_embedding", ["interactions", "punit_e"], f"""
+SELECT u.user_id, (p.user_id IS NULL) AS is_zero, CAST(r.pos AS INTEGER) AS pos,
+       {R5('coalesce(p.value, 0.0)')} AS value
+FROM (SELECT DISTINCT user_id FROM interactions) u
+CROSS JOIN range(64) r(pos)
+LEFT JOIN punit_e p ON p.user_id = u.user_id AND p.pos = r.pos""")
+
+oracle("cosine_scores", ["interactions", "emb_long", "punit_e"], f"""
+SELECT l.user_id, l.item_id, {R5('sum(e.value * p.value) / sqrt(sum(e.value * e.value)) / sqrt(sum(p.value * p.value))')} AS score
+FROM (SELECT DISTINCT user_id, item_id FROM interactions) l
+JOIN emb_long e ON e.article_id = l.item_id
+JOIN punit_e p ON p.user_id = l.user_id AND p.pos = e.pos
+GROUP BY 1, 2""")
+
+oracle("user_profiles", ["pmean_e", "punit_e", "user_prefs"], f"""
+SELECT m.user_id, m.n_liked, coalesce(pr.preferences, '') AS preferences, {R5('u.s')} AS vec_sum
+FROM (SELECT DISTINCT user_id, CAST(n_liked AS BIGINT) AS n_liked FROM pmean_e) m
+JOIN (SELECT user_id, sum(value) AS s FROM punit_e GROUP BY 1) u USING (user_id)
+LEFT JOIN user_prefs pr USING (user_id)""")
+
+S.cte("pref_match", ("processed", "user_prefs_long"), """
+SELECT DISTINCT_PAIRS.user_id, p.article_id AS item_id, CAST(1.0 AS DOUBLE) AS rating, p.published_at AS timestamp
+FROM processed p
+JOIN (SELECT DISTINCT user_id, lower(lang) AS category FROM user_prefs_long) DISTINCT_PAIRS
+  ON lower(p.category) = DISTINCT_PAIRS.category""")
+
+oracle("preference_match", ["pref_match"], "SELECT * FROM pref_match")
+
+oracle("bernoulli_thin", ["pref_match"], f"""
+SELECT * FROM pref_match WHERE {S.hash32("'42'", 'user_id', 'item_id')} < {int(0.7 * 4294967296.0)}""")
+
+oracle("user_category_counts", ["cat_counts"], "SELECT user_id, category, n FROM cat_counts")
+oracle("user_top_categories", ["top_cats"], "SELECT user_id, topic_rank, category, n FROM top_cats")
+oracle("user_queries", ["uq"], "SELECT user_id, query_idx, query, n_queries FROM uq")
+oracle("query_quota", ["uq_quota"], "SELECT user_id, query_idx, quota FROM uq_quota")
+oracle("search_fetch", ["hits"], "SELECT user_id, query_idx, pos, link, title, snippet FROM hits")
+oracle("dedupe_candidates", ["hits_dedup"], "SELECT user_id, link, query_idx, pos, title, snippet FROM hits_dedup")
+oracle("candidate_articles", ["cands"], "SELECT user_id, link, query_idx, pos, title, snippet FROM cands")
+
+S.cte("distinct_links", ("page_hits",), "SELECT DISTINCT link FROM page_hits")
+S.url_flags_cte("links_flagged", "distinct_links", "link", ("distinct_links",))
+oracle("article_urls", ["links_flagged"], "SELECT link, is_article FROM links_flagged")
+
+oracle("page_description", ["page_feat"], "SELECT url, description FROM page_feat")
+oracle("page_full_text", ["page_feat"], "SELECT url, full_text FROM page_feat")
+oracle("embedding_text", ["cands_text"], "SELECT user_id, link, te AS text_for_embedding FROM cands_text")
+oracle("display_description", ["cands_text"], "SELECT user_id, link, display_description FROM cands_text")
+oracle("usable_candidates", ["ucands"], """
+SELECT user_id, link, query_idx, pos, text_for_embedding, display_description FROM ucands""")
+
+oracle("embed_candidates", ["ucands", "cvec"], f"""
+SELECT DISTINCT u.link, CAST(v.b AS INTEGER) AS pos, {R5('v.v')} AS value
+FROM (SELECT DISTINCT link, text_for_embedding FROM ucands) u JOIN cvec v ON v.k = u.text_for_embedding""")
+
+oracle("content_scores", ["scored"], f"SELECT user_id, link, {R5('content_score')} AS content_score FROM scored")
+oracle("ranked_candidates", ["ranked"], f"SELECT user_id, rank, link, {R5('content_score')} AS content_score FROM ranked")
+oracle("recommendations", ["ranked"], f"""
+SELECT user_id, rank, title, link AS url, snippet, display_description AS description,
+       {R5('content_score')} AS content_score
+FROM ranked WHERE rank <= 10""")

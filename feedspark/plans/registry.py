@@ -97,3 +97,249 @@ def q_category_count(spark, sf_dir):
 @query("category_lookup")
 def q_category_lookup(spark, sf_dir):
     return A.category_lookup(processed(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ wave 2-4: vectors, profiles, candidates
+from ..functions import html as H  # noqa: E402
+from ..functions.urls import is_likely_article_url  # noqa: E402
+from ..functions.vectors import cosine, explode_vector, with_l2_normalized  # noqa: E402
+from ..operators import candidates as C  # noqa: E402
+from ..operators import interactions as I  # noqa: E402
+from ..operators import profiles as P  # noqa: E402
+from ..operators import recommend as R  # noqa: E402
+from ..operators.encoder import HashedBagOfWords  # noqa: E402
+from ..operators.sampling import LIKE_PROBABILITY, SEED, bernoulli_thin  # noqa: E402
+
+DIM = 64
+
+
+def encoder():
+    return HashedBagOfWords(DIM)
+
+
+def article_vectors(spark, sf_dir):
+    """Flagship article vectors: the hashed encoder over whole document texts."""
+    return encoder().encode(FX.vector_documents(spark, sf_dir), ["article_id"], "text")
+
+
+def sparse_long(df, keys, vec):
+    """Non-zero entries of a vector column as (keys..., pos, value rounded to 5 decimals)."""
+    out = df.select(*keys, F.posexplode(vec).alias("pos", "value")).where(F.col("value") != 0)
+    return out.select(*keys, F.col("pos").cast("int"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+def flagship_parts(spark, sf_dir):
+    proc = processed(spark, sf_dir)
+    inter = FX.interactions(spark, sf_dir)
+    vecs = article_vectors(spark, sf_dir)
+    profiles = P.user_profiles(inter, vecs, DIM)
+    cat_counts = P.user_category_counts(inter, vecs, A.category_lookup(proc))
+    top = P.user_top_categories(cat_counts)
+    return proc, inter, vecs, profiles, top
+
+
+def flagship_queries(spark, sf_dir):
+    _, _, _, profiles, top = flagship_parts(spark, sf_dir)
+    return C.with_quota(C.user_queries(profiles.select("user_id"), top))
+
+
+@query("embedding_table")
+def q_embedding_table(spark, sf_dir):
+    e = FX.article_embeddings(spark, sf_dir)
+    return explode_vector(e, ["article_id", "label"], "embedding")
+
+
+@query("embed_articles")
+def q_embed_articles(spark, sf_dir):
+    return sparse_long(article_vectors(spark, sf_dir), ["article_id"], "embedding")
+
+
+@query("interactions_table")
+def q_interactions_table(spark, sf_dir):
+    return FX.interactions(spark, sf_dir)
+
+
+@query("user_items")
+def q_user_items(spark, sf_dir):
+    return P.user_item_counts(FX.interactions(spark, sf_dir))
+
+
+@query("liked_with_embedding")
+def q_liked_with_embedding(spark, sf_dir):
+    inter = FX.interactions(spark, sf_dir)
+    liked = P.liked_with_embedding(inter, FX.article_embeddings(spark, sf_dir))
+    return liked.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("profile_mean")
+def q_profile_mean(spark, sf_dir):
+    pm = P.profile_mean(FX.interactions(spark, sf_dir), FX.article_embeddings(spark, sf_dir), DIM)
+    return explode_vector(pm, ["user_id", "n_liked"], "profile_mean")
+
+
+@query("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    pm = P.profile_mean(FX.interactions(spark, sf_dir), FX.article_embeddings(spark, sf_dir), DIM)
+    return explode_vector(with_l2_normalized(pm, "profile_mean", "unit"), ["user_id"], "unit")
+
+
+@query("profile_embedding")
+def q_profile_embedding(spark, sf_dir):
+    pe = P.profile_embedding(FX.interactions(spark, sf_dir), FX.article_embeddings(spark, sf_dir), DIM)
+    return explode_vector(pe, ["user_id", "is_zero"], "profile_embedding")
+
+
+@query("cosine_scores")
+def q_cosine_scores(spark, sf_dir):
+    inter = FX.interactions(spark, sf_dir)
+    emb = FX.article_embeddings(spark, sf_dir)
+    prof = P.user_profiles(inter, emb, DIM)
+    pairs = inter.select("user_id", "item_id").distinct().join(P.item_vectors(emb), "item_id")
+    j = pairs.join(prof.select("user_id", "profile_embedding"), "user_id")
+    return j.select("user_id", "item_id", F.round(cosine("embedding", "profile_embedding"), 5).alias("score"))
+
+
+@query("user_profiles")
+def q_user_profiles(spark, sf_dir):
+    inter = FX.interactions(spark, sf_dir)
+    prof = P.user_profiles(inter, FX.article_embeddings(spark, sf_dir), DIM, FX.user_preferences(spark, sf_dir))
+    return prof.select("user_id", "n_liked", F.array_join("preferences", ",").alias("preferences"),
+                       F.round(F.aggregate("profile_embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("vec_sum"))
+
+
+@query("preference_match")
+def q_preference_match(spark, sf_dir):
+    return I.preference_match(processed(spark, sf_dir), FX.user_preferences(spark, sf_dir))
+
+
+@query("bernoulli_thin")
+def q_bernoulli_thin(spark, sf_dir):
+    return I.simulate_likes(processed(spark, sf_dir), FX.user_preferences(spark, sf_dir))
+
+
+@query("user_category_counts")
+def q_user_category_counts(spark, sf_dir):
+    proc, inter, vecs, _, _ = flagship_parts(spark, sf_dir)
+    return P.user_category_counts(inter, vecs, A.category_lookup(proc))
+
+
+@query("user_top_categories")
+def q_user_top_categories(spark, sf_dir):
+    return flagship_parts(spark, sf_dir)[4]
+
+
+@query("user_queries")
+def q_user_queries(spark, sf_dir):
+    return flagship_queries(spark, sf_dir).select("user_id", "query_idx", "query", "n_queries")
+
+
+@query("query_quota")
+def q_query_quota(spark, sf_dir):
+    return flagship_queries(spark, sf_dir).select("user_id", "query_idx", "quota")
+
+
+@query("search_fetch")
+def q_search_fetch(spark, sf_dir):
+    return C.search_hits(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir))
+
+
+@query("dedupe_candidates")
+def q_dedupe_candidates(spark, sf_dir):
+    hits = C.search_hits(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir))
+    return C.dedupe_hits(hits)
+
+
+@query("candidate_articles")
+def q_candidate_articles(spark, sf_dir):
+    return C.candidate_articles(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir))
+
+
+@query("article_urls")
+def q_article_urls(spark, sf_dir):
+    hits = FX.page_hits(spark, sf_dir).select("link").distinct()
+    return hits.select("link", is_likely_article_url(F.col("link")).alias("is_article"))
+
+
+@query("page_description")
+def q_page_description(spark, sf_dir):
+    p = FX.pages(spark, sf_dir).select("url", H.remove_noise(F.col("html")).alias("clean"))
+    return p.select("url", H.page_description(F.col("clean")).alias("description"))
+
+
+@query("page_full_text")
+def q_page_full_text(spark, sf_dir):
+    p = FX.pages(spark, sf_dir).select("url", H.remove_noise(F.col("html")).alias("clean"))
+    return p.select("url", H.page_full_text(F.col("clean")).alias("full_text"))
+
+
+def _usable(spark, sf_dir):
+    return C.usable_candidates(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir),
+                               FX.pages(spark, sf_dir))
+
+
+@query("embedding_text")
+def q_embedding_text(spark, sf_dir):
+    cands = C.candidate_articles(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir))
+    feats = C.page_features(FX.pages(spark, sf_dir), cands.select("link"))
+    j = cands.join(feats.withColumnRenamed("url", "link"), "link", "left")
+    return j.select("user_id", "link", C.embedding_text(F.col("full_text"), F.col("snippet")).alias("text_for_embedding"))
+
+
+@query("display_description")
+def q_display_description(spark, sf_dir):
+    cands = C.candidate_articles(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir))
+    feats = C.page_features(FX.pages(spark, sf_dir), cands.select("link"))
+    j = cands.join(feats.withColumnRenamed("url", "link"), "link", "left")
+    return j.select("user_id", "link", C.display_description(F.col("description"), F.col("full_text"),
+                                                             F.col("snippet")).alias("display_description"))
+
+
+@query("usable_candidates")
+def q_usable_candidates(spark, sf_dir):
+    return _usable(spark, sf_dir).select("user_id", "link", "query_idx", "pos", "text_for_embedding",
+                                         "display_description")
+
+
+@query("embed_candidates")
+def q_embed_candidates(spark, sf_dir):
+    u = _usable(spark, sf_dir).select("link", "text_for_embedding").distinct()
+    v = encoder().encode(u, ["link", "text_for_embedding"], "text_for_embedding", "cand_vec")
+    return sparse_long(v, ["link"], "cand_vec")
+
+
+def _scored(spark, sf_dir):
+    _, _, _, profiles, top = flagship_parts(spark, sf_dir)
+    queries = C.with_quota(C.user_queries(profiles.select("user_id"), top))
+    cands = C.usable_candidates(queries, FX.search_results(spark, sf_dir), FX.pages(spark, sf_dir))
+    return R.content_scores(R.embed_candidates(cands, encoder()), profiles)
+
+
+@query("content_scores")
+def q_content_scores(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return s.select("user_id", "link", F.round("content_score", 5).alias("content_score"))
+
+
+@query("ranked_candidates")
+def q_ranked_candidates(spark, sf_dir):
+    r = R.rank_candidates(_scored(spark, sf_dir), None)
+    return r.select("user_id", "rank", "link", F.round("content_score", 5).alias("content_score"))
+
+
+def recommendations(spark, sf_dir, n=R.NUM_RECOMMENDATIONS):
+    _, _, _, profiles, top = flagship_parts(spark, sf_dir)
+    return R.recommend(profiles, top, FX.search_results(spark, sf_dir), FX.pages(spark, sf_dir), encoder(), n)
+
+
+@query("recommendations")
+def q_recommendations(spark, sf_dir):
+    return recommendations(spark, sf_dir).withColumn("content_score", F.round("content_score", 5))
+
+
+@query("recommendations_unknown_user")
+def q_recommendations_unknown_user(spark, sf_dir):
+    """Users that have likes but no profile (no liked item has a vector) get no rows."""
+    inter = FX.interactions(spark, sf_dir)
+    no_profile = inter.select("user_id").distinct().join(
+        P.user_profiles(inter, article_vectors(spark, sf_dir), DIM).select("user_id"), "user_id", "left_anti")
+    return recommendations(spark, sf_dir).join(no_profile, "user_id", "left_semi")

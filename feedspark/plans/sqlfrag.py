@@ -76,7 +76,7 @@ FROM documents""")
 cte("articles", ("art_base",), """
 SELECT article_id, title, description, content, category, published_at, row_ord FROM art_base
 UNION ALL
-SELECT article_id, title, CAST(NULL AS VARCHAR) AS description, content, 'sports' AS category, published_at,
+SELECT article_id, title, CAST(NULL AS VARCHAR) AS description, content, upper(category) AS category, published_at,
        CASE WHEN CAST(article_id AS BIGINT) % 20 = 10 THEN row_ord - 1 ELSE row_ord + 1 END AS row_ord
 FROM art_base WHERE CAST(article_id AS BIGINT) % 10 = 0""")
 
@@ -112,3 +112,248 @@ FROM (SELECT DISTINCT category FROM art_filtered) c""")
 cte("processed", ("art_filtered", "category_labels"), """
 SELECT f.article_id, f.category, l.category_encoded, f.published_at, f.combined_text
 FROM art_filtered f JOIN category_labels l USING (category)""")
+
+
+# ---------------------------------------------------------------- vectors, interactions, profiles
+TOKEN_RE = r"[^\p{L}\p{N}]+"
+
+
+def encode_sparse(name: str, src: str, key: str, text: str, dim: int = 64, deps: tuple[str, ...] = ()) -> None:
+    """Hashed bag-of-words in long sparse form: name(key, b, v) with v the L2-normalised count."""
+    cte(name + "_cnt", deps, f"""
+SELECT {key} AS k, {hash32('t')} % {dim} AS b, CAST(count(*) AS DOUBLE) AS c
+FROM (SELECT {key}, unnest(regexp_split_to_array(lower({text}), '{TOKEN_RE}')) AS t FROM {src}) x
+WHERE t <> '' GROUP BY 1, 2""")
+    cte(name, (name + "_cnt",), f"""
+SELECT c.k, c.b, c.c / n.nrm AS v
+FROM {name}_cnt c JOIN (SELECT k, sqrt(sum(c * c)) AS nrm FROM {name}_cnt GROUP BY k) n USING (k)""")
+
+
+cte("vector_docs", (), """
+SELECT CAST(doc_id AS VARCHAR) AS article_id, text FROM documents WHERE doc_id % 4 <> 3""")
+encode_sparse("avec", "vector_docs", "article_id", "text", deps=("vector_docs",))
+
+cte("interactions", (), """
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % 1000 AS VARCHAR) AS item_id,
+       CAST(1.0 AS DOUBLE) AS rating, ts AS timestamp
+FROM events
+WHERE event_type IN ('view', 'click', 'purchase') AND (user_id % 50 <> 0 OR (event_id % 1000) % 19 = 0)""")
+
+cte("interactions_graded", (), """
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % 1000 AS VARCHAR) AS item_id,
+       CAST(least(value / 100.0, 1.0) AS DOUBLE) AS rating, ts AS timestamp
+FROM events
+WHERE event_type IN ('view', 'click', 'purchase') AND (user_id % 50 <> 0 OR (event_id % 1000) % 19 = 0)""")
+
+cte("emb_long", (), """
+SELECT CAST(vec_id AS VARCHAR) AS article_id, label, CAST(e.pos - 1 AS INTEGER) AS pos, CAST(e.value AS DOUBLE) AS value
+FROM (SELECT vec_id, label, unnest(embedding) AS value, generate_subscripts(embedding, 1) AS pos FROM embeddings) e""")
+
+cte("user_prefs_long", (), """
+SELECT CAST(u.user_id AS VARCHAR) AS user_id, l.lang
+FROM (SELECT DISTINCT user_id FROM events) u
+JOIN (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS idx FROM (SELECT DISTINCT lang FROM documents) d) l
+  ON l.idx = u.user_id % 4 OR (u.user_id % 3 = 0 AND l.idx = (u.user_id + 1) % 4)""")
+
+cte("user_prefs", ("user_prefs_long",), """
+SELECT user_id, string_agg(lang, ',' ORDER BY lang) AS preferences FROM user_prefs_long GROUP BY user_id""")
+
+cte("liked_counts", ("interactions",), """
+SELECT user_id, item_id, count(*) AS w FROM interactions GROUP BY 1, 2""")
+
+# profile over the driver's labelled vectors
+cte("pmean_e", ("liked_counts", "emb_long"), """
+SELECT l.user_id, e.pos, sum(l.w * e.value) / sum(l.w) AS value, sum(l.w) AS n_liked
+FROM liked_counts l JOIN emb_long e ON e.article_id = l.item_id GROUP BY 1, 2""")
+cte("pnorm_e", ("pmean_e",), "SELECT user_id, sqrt(sum(value * value)) AS nrm FROM pmean_e GROUP BY 1")
+cte("punit_e", ("pmean_e", "pnorm_e"), """
+SELECT m.user_id, m.pos, CASE WHEN n.nrm > 0 THEN m.value / n.nrm ELSE m.value END AS value
+FROM pmean_e m JOIN pnorm_e n USING (user_id)""")
+
+# flagship profile over the hashed document vectors (sparse)
+cte("pmean_f", ("liked_counts", "avec"), """
+SELECT l.user_id, a.b, sum(l.w * a.v) / t.n AS value
+FROM liked_counts l JOIN avec a ON a.k = l.item_id
+JOIN (SELECT l2.user_id, sum(l2.w) AS n FROM liked_counts l2
+      WHERE l2.item_id IN (SELECT k FROM avec) GROUP BY 1) t ON t.user_id = l.user_id
+GROUP BY l.user_id, a.b, t.n""")
+cte("punit_f", ("pmean_f",), """
+SELECT m.user_id, m.b, m.value / n.nrm AS value
+FROM pmean_f m JOIN (SELECT user_id, sqrt(sum(value * value)) AS nrm FROM pmean_f GROUP BY 1) n USING (user_id)""")
+
+cte("cat_counts", ("liked_counts", "vector_docs", "processed"), f"""
+SELECT l.user_id, p.category, CAST(sum(l.w) AS BIGINT) AS n
+FROM liked_counts l JOIN processed p ON p.article_id = l.item_id
+WHERE l.item_id IN (SELECT article_id FROM vector_docs) AND p.category IS NOT NULL AND p.category <> ''
+GROUP BY 1, 2""")
+
+cte("top_cats", ("cat_counts",), """
+SELECT user_id, CAST(topic_rank AS INTEGER) AS topic_rank, category, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS topic_rank FROM (
+    SELECT *, max(CASE WHEN category NOT IN ('news', 'general', '') THEN 1 ELSE 0 END)
+                OVER (PARTITION BY user_id) AS hs FROM cat_counts) a
+  WHERE category NOT IN ('news', 'general', '') OR hs = 0) b
+WHERE topic_rank <= 3""")
+
+cte("prof_users", ("liked_counts", "vector_docs"), """
+SELECT DISTINCT user_id FROM liked_counts WHERE item_id IN (SELECT article_id FROM vector_docs)""")
+
+cte("uq", ("prof_users", "top_cats"), """
+SELECT u.user_id, CAST(coalesce(t.topic_rank, 1) AS INTEGER) AS query_idx,
+       CASE WHEN t.category IS NULL THEN 'top breaking news' ELSE 'latest news ' || t.category END AS query,
+       CAST(count(*) OVER (PARTITION BY u.user_id) AS INTEGER) AS n_queries
+FROM prof_users u LEFT JOIN top_cats t USING (user_id)""")
+
+cte("uq_quota", ("uq",), """
+SELECT *, CAST(CASE WHEN 20 < n_queries THEN 1
+                    ELSE 20 // n_queries + CASE WHEN query_idx - 1 >= n_queries - 20 % n_queries THEN 1 ELSE 0 END
+               END AS INTEGER) AS quota
+FROM uq""")
+
+# ---------------------------------------------------------------- pages and search stand-in
+NOISE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
+FIRST_P = r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p(?:\s[^>]*)?>|</article>|<div|$)"
+ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
+META = r"(?s)<(?i:meta)\b[^>]*\b(?i:name)\s*=\s*[\"']description[\"'][^>]*>"
+META_DQ = r"(?s)\b(?i:content)\s*=\s*\"([^\"]*)\""
+META_SQ = r"(?s)\b(?i:content)\s*=\s*'([^']*)'"
+BLOCK = (r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|blockquote|section|article|header|"
+         r"footer|nav|pre|hr)\b[^>]*>")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"),
+            ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
+            ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+            ("&amp;", "&"))
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def decode(x: str) -> str:
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def untag(x: str) -> str:
+    return f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+
+
+def first_p_text(clean: str) -> str:
+    return decode(untag(f"regexp_extract({clean}, {q(FIRST_P)}, 1)"))
+
+
+cte("page_clean", (), f"""
+SELECT page_id, url, regexp_replace(html, {q(NOISE)}, '', 'g') AS clean FROM pages""")
+
+cte("page_feat", ("page_clean",), f"""
+SELECT url,
+  CASE WHEN meta <> '' THEN {strip('meta')}
+       WHEN regexp_matches(clean, '(?i)<p(?:\\s[^>]*)?>') AND ptext <> '' THEN substr({strip('ptext')}, 1, 300) || '...'
+       ELSE NULL END AS description,
+  array_to_string(list_filter(list_transform(string_split(
+      {decode(untag(f"regexp_replace(CASE WHEN body <> '' THEN body ELSE allp END, {q(BLOCK)}, chr(10), 'g')"))},
+      chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), chr(10) || chr(10)) AS full_text
+FROM (
+  SELECT url, clean,
+    {decode(f"CASE WHEN regexp_extract(mtag, {q(META_DQ)}, 1) <> '' THEN regexp_extract(mtag, {q(META_DQ)}, 1) ELSE regexp_extract(mtag, {q(META_SQ)}, 1) END")} AS meta,
+    {first_p_text('clean')} AS ptext,
+    regexp_extract(clean, {q(ARTICLE)}, 1) AS body,
+    array_to_string(regexp_extract_all(
+        regexp_replace(regexp_replace(clean, '(?i)(<p(?:\\s[^>]*)?>)', '</p>\\1', 'g'), '(?i)(</article>|<div)', '</p>\\1', 'g') || '</p>',
+        '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), chr(10)) AS allp
+  FROM (SELECT url, clean, regexp_extract(clean, {q(META)}, 0) AS mtag FROM page_clean) m
+) f""")
+
+cte("page_hits", ("page_clean",), f"""
+SELECT query, page_id,
+  CASE WHEN page_id % 11 = 0 THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) ELSE url END AS link,
+  CASE WHEN page_id % 13 = 0 AND query <> 'latest news en' THEN NULL ELSE page_title END AS title,
+  snippet
+FROM (
+  SELECT 'latest news ' || v.qlang AS query, p.* FROM (
+    SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS lang,
+           {strip(decode(untag(f"regexp_extract(clean, {q(TITLE)}, 1)")))} AS page_title,
+           substr({strip(first_p_text('clean'))}, 1, 160) AS snippet
+    FROM page_clean) p
+  JOIN (VALUES ('en'), ('de'), ('fr'), ('es')) v(qlang) ON p.lang = v.qlang OR p.page_id % 5 = 0
+  UNION ALL
+  SELECT 'top breaking news' AS query, page_id, url,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS lang,
+         {strip(decode(untag(f"regexp_extract(clean, {q(TITLE)}, 1)")))} AS page_title,
+         substr({strip(first_p_text('clean'))}, 1, 160) AS snippet
+  FROM page_clean) h""")
+
+cte("search_results", ("page_hits",), """
+SELECT query, CAST(pos AS INTEGER) AS pos, link, title, snippet FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY page_id) AS pos FROM page_hits) r
+WHERE pos <= 20""")
+
+
+# ---------------------------------------------------------------- URL rule and candidates
+def url_flags_cte(name: str, src: str, link: str, deps: tuple[str, ...]) -> None:
+    """name(all src columns, is_article): Python urlparse-based article-URL rule in SQL."""
+    from ..functions.urls import NETLOC_RE, PARAM_SCHEMES, PATH_RE, SCHEME_RE, digit_class
+    schemes = ", ".join(q(s) for s in PARAM_SCHEMES)
+    cte(name + "_p", deps, f"""
+SELECT *, lower(regexp_extract(__u, {q(SCHEME_RE)}, 1)) AS __scheme,
+       regexp_extract(__u, {q(PATH_RE)}, 1) AS __path0,
+       regexp_extract(__u, {q(NETLOC_RE)}, 1) AS __net
+FROM (SELECT *, regexp_replace(regexp_replace({link}, '^[\\x00-\\x20]+', ''), '[\\t\\r\\n]', '', 'g') AS __u FROM {src}) s""")
+    cte(name + "_q", (name + "_p",), f"""
+SELECT *, list_filter(string_split(__path, '/'), lambda s: s <> '') AS __segs FROM (
+  SELECT *, CASE WHEN __scheme IN ({schemes}) THEN regexp_replace(__path0, ';[^/]*$', '') ELSE __path0 END AS __path
+  FROM {name}_p) s""")
+    cte(name, (name + "_q",), f"""
+SELECT * EXCLUDE (__u, __scheme, __path0, __net, __path, __segs),
+  CASE WHEN {link} IS NULL THEN false
+       WHEN contains(__net, '[') <> contains(__net, ']') THEN false
+       WHEN __path = '' OR __path = '/' THEN false
+       WHEN len(__segs) = 0 THEN false
+       WHEN len(__segs) > 1 THEN true
+       WHEN regexp_matches(__segs[1], {q(digit_class())}) OR contains(__segs[1], '-') OR length(__segs[1]) > 15 THEN true
+       ELSE false END AS is_article
+FROM {name}_q""")
+
+
+cte("hits", ("uq_quota", "search_results"), """
+SELECT u.user_id, u.query_idx, s.pos, s.link, s.title, s.snippet
+FROM uq_quota u JOIN search_results s ON s.query = u.query AND s.pos <= u.quota""")
+
+cte("hits_dedup", ("hits",), """
+SELECT * FROM hits WHERE link IS NOT NULL AND link <> ''
+QUALIFY row_number() OVER (PARTITION BY user_id, link ORDER BY query_idx, pos) = 1""")
+
+cte("hits_titled", ("hits_dedup",), "SELECT * FROM hits_dedup WHERE title IS NOT NULL AND title <> ''")
+url_flags_cte("hits_flagged", "hits_titled", "link", ("hits_titled",))
+cte("cands", ("hits_flagged",), "SELECT * EXCLUDE (is_article) FROM hits_flagged WHERE is_article")
+
+cte("cands_text", ("cands", "page_feat"), """
+SELECT c.*, f.description, f.full_text,
+  CASE WHEN f.full_text IS NOT NULL AND f.full_text <> ''
+            AND length(f.full_text) > length(coalesce(c.snippet, '')) * 1.5 THEN f.full_text
+       ELSE c.snippet END AS te,
+  coalesce(nullif(f.description, ''),
+           CASE WHEN f.full_text <> '' THEN substr(f.full_text, 1, 250) || '...' END, c.snippet) AS display_description
+FROM cands c LEFT JOIN page_feat f ON f.url = c.link""")
+
+cte("ucands", ("cands_text",), """
+SELECT user_id, link, query_idx, pos, title, snippet, display_description, substr(te, 1, 1000) AS text_for_embedding
+FROM cands_text WHERE te IS NOT NULL AND length(te) >= 30""")
+
+cte("ctexts", ("ucands",), "SELECT DISTINCT text_for_embedding FROM ucands")
+encode_sparse("cvec", "ctexts", "text_for_embedding", "text_for_embedding", deps=("ctexts",))
+
+cte("scored", ("ucands", "cvec", "punit_f"), """
+SELECT c.user_id, c.link, c.query_idx, c.pos, c.title, c.snippet, c.display_description,
+       coalesce(sum(p.value * v.v), 0.0) AS content_score
+FROM ucands c
+LEFT JOIN cvec v ON v.k = c.text_for_embedding
+LEFT JOIN punit_f p ON p.user_id = c.user_id AND p.b = v.b
+GROUP BY c.user_id, c.link, c.query_idx, c.pos, c.title, c.snippet, c.display_description""")
+
+cte("ranked", ("scored",), """
+SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY content_score DESC, query_idx, pos) AS INTEGER) AS rank
+FROM scored""")

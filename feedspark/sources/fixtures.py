@@ -29,7 +29,8 @@ ITEM_SPACE = 1000
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw article rows (all strings) with an explicit input order ``row_ord``.
 
-    Rows with doc_id % 10 = 0 appear twice; for doc_id % 20 = 10 the altered copy comes first.
+    Rows with doc_id % 10 = 0 appear twice (the copy has an upper-cased category and no
+    description); for doc_id % 20 = 10 the copy comes first, so dedupe order is visible.
     """
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     i = F.col("doc_id")
@@ -52,7 +53,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         published.alias("published_at"),
         (i * 2).alias("row_ord"))
     copies = (base.where(i_of(base) % 10 == 0)
-              .withColumn("category", F.lit("sports"))
+              .withColumn("category", F.upper(F.col("category")))
               .withColumn("description", F.lit(None).cast("string"))
               .withColumn("row_ord", F.when(i_of(base) % 20 == 10, F.col("row_ord") - 1)
                           .otherwise(F.col("row_ord") + 1)))
