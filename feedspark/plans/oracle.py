@@ -130,3 +130,42 @@ oracle("recommendations", ["ranked"], f"""
 SELECT user_id, rank, title, link AS url, snippet, display_description AS description,
        {R5('content_score')} AS content_score
 FROM ranked WHERE rank <= 10""")
+
+
+# ------------------------------------------------------------------ wave 5-7: evaluation, CF, report, I/O
+oracle("cluster_eval_sample", ["emb_long"], f"""
+SELECT article_id FROM (SELECT DISTINCT article_id FROM emb_long) k
+QUALIFY row_number() OVER (ORDER BY {S.hash32("'42'", 'article_id')}, article_id) <= 300""")
+oracle("nearest_centroid", ["nc_all"], "SELECT article_id, label, cluster FROM nc_all")
+oracle("adjusted_rand", ["ari_val"], f"SELECT {R5('ari')} AS ari FROM ari_val")
+oracle("nmi", ["nmi_val"], f"SELECT {R5('nmi')} AS nmi FROM nmi_val")
+oracle("silhouette_exact", ["sil_val"], f"SELECT {R5('silhouette')} AS silhouette FROM sil_val")
+oracle("contrastive_pairs", ["cpairs"], "SELECT article_id, batch_id, slot FROM cpairs")
+oracle("contrastive_loss", ["closs"], f"SELECT {R5('loss')} AS loss FROM closs")
+oracle("train_test_split", ["cfg_pairs"], "SELECT user_id, item_id, is_test FROM cfg_pairs")
+oracle("cf_baseline_predict", ["cfg_pred"], f"""
+SELECT user_id, item_id, {R5('rating')} AS rating, {R5('est')} AS est FROM cfg_pred""")
+oracle("precision_recall_per_user", ["pr1_per_user"], f"""
+SELECT user_id, {R5('precision')} AS precision, {R5('recall')} AS recall FROM pr1_per_user""")
+oracle("precision_recall_at_k", ["pr1_avg"], f"""
+SELECT {R5('precision_at_k')} AS precision_at_k, {R5('recall_at_k')} AS recall_at_k FROM pr1_avg""")
+oracle("precision_recall_graded", ["prg_avg"], f"""
+SELECT {R5('precision_at_k')} AS precision_at_k, {R5('recall_at_k')} AS recall_at_k FROM prg_avg""")
+oracle("pipeline_counts", ["counts"], "SELECT * FROM counts")
+oracle("evaluation_report", ["counts", "processed", "pr1_avg", "ari_val", "nmi_val", "sil_val"], f"""
+SELECT section, metric, {R5('value')} AS value, '' AS note FROM (
+  SELECT 'data' AS section, 'processed_articles' AS metric, CAST(processed_articles AS DOUBLE) AS value FROM counts
+  UNION ALL SELECT 'data', 'n_categories', CAST((SELECT count(DISTINCT category_encoded) FROM processed) AS DOUBLE)
+  UNION ALL SELECT 'interactions', 'interactions', CAST(interactions AS DOUBLE) FROM counts
+  UNION ALL SELECT 'profiles', 'users_with_profiles', CAST(users_with_profiles AS DOUBLE) FROM counts
+  UNION ALL SELECT 'cf', 'precision_at_k', precision_at_k FROM pr1_avg
+  UNION ALL SELECT 'cf', 'recall_at_k', recall_at_k FROM pr1_avg
+  UNION ALL SELECT 'clustering', 'ari', ari FROM ari_val
+  UNION ALL SELECT 'clustering', 'nmi', nmi FROM nmi_val
+  UNION ALL SELECT 'clustering', 'silhouette', silhouette FROM sil_val) r""")
+
+_NA = ", ".join(S.q(t) for t in ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                                  "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"))
+oracle("read_articles_csv", ["articles"], "SELECT " + ", ".join(
+    f"CASE WHEN {c} IN ({_NA}) THEN NULL ELSE {c} END AS {c}"
+    for c in ("article_id", "title", "description", "content", "category", "published_at")) + ", row_ord FROM articles")

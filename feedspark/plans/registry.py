@@ -343,3 +343,206 @@ def q_recommendations_unknown_user(spark, sf_dir):
     no_profile = inter.select("user_id").distinct().join(
         P.user_profiles(inter, article_vectors(spark, sf_dir), DIM).select("user_id"), "user_id", "left_anti")
     return recommendations(spark, sf_dir).join(no_profile, "user_id", "left_semi")
+
+
+# ------------------------------------------------------------------ wave 5-7: evaluation, CF, report, I/O
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from ..operators import cf as CF  # noqa: E402
+from ..operators import cluster_eval as CE  # noqa: E402
+from ..operators import contrastive as CT  # noqa: E402
+from ..operators import report as RP  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import articles_csv as CSV  # noqa: E402
+from ..sources import artifacts as AR  # noqa: E402
+
+
+def scratch_dir(spark, name):
+    """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
+    return os.path.join(ensure_checkpoint_dir(spark), "feedspark-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def labelled(spark, sf_dir):
+    return FX.article_embeddings(spark, sf_dir)
+
+
+def eval_assignments(spark, sf_dir, cap=CE.CLUSTER_EVAL_CAP):
+    """Nearest-class-centroid clusters on the capped evaluation sample of the labelled vectors."""
+    emb = labelled(spark, sf_dir)
+    keys = CE.eval_sample(emb, "article_id", cap)
+    return CE.nearest_centroid(emb.join(keys, "article_id", "left_semi"))
+
+
+@query("cluster_eval_sample")
+def q_cluster_eval_sample(spark, sf_dir):
+    # Sampling operator with a cap below the table size so the cap is exercised.
+    return CE.eval_sample(labelled(spark, sf_dir), "article_id", 300)
+
+
+@query("nearest_centroid")
+def q_nearest_centroid(spark, sf_dir):
+    return CE.nearest_centroid(labelled(spark, sf_dir)).select("article_id", "label", "cluster")
+
+
+@query("adjusted_rand")
+def q_adjusted_rand(spark, sf_dir):
+    return CE.adjusted_rand(eval_assignments(spark, sf_dir)).select(F.round("ari", 5).alias("ari"))
+
+
+@query("nmi")
+def q_nmi(spark, sf_dir):
+    return CE.nmi(eval_assignments(spark, sf_dir)).select(F.round("nmi", 5).alias("nmi"))
+
+
+@query("silhouette_exact")
+def q_silhouette_exact(spark, sf_dir):
+    s = CE.silhouette_exact(eval_assignments(spark, sf_dir), "article_id")
+    return s.select(F.round("silhouette", 5).alias("silhouette"))
+
+
+@query("silhouette_scalable")
+def q_silhouette_scalable(spark, sf_dir):
+    v = CE.silhouette_scalable(eval_assignments(spark, sf_dir))
+    return spark.range(1).select(F.lit(v).cast("double").alias("silhouette_sq_euclidean"))
+
+
+@query("kmeans_clusters")
+def q_kmeans_clusters(spark, sf_dir):
+    emb = labelled(spark, sf_dir)
+    k = emb.select("label").distinct().count()
+    return CE.kmeans_clusters(emb, k, "article_id").select("article_id", "label", F.col("cluster").cast("int"))
+
+
+@query("cluster_metrics")
+def q_cluster_metrics(spark, sf_dir):
+    """Two encoder variants of the processed articles, same sampled rows, labels = category."""
+    proc = processed(spark, sf_dir)
+    labels = proc.select("article_id", F.col("category_encoded").alias("label"))
+    k = A.category_count(proc).first()[0]
+    text = proc.select("article_id", "combined_text")
+    variants = {"final": HashedBagOfWords(256).encode(text, ["article_id"], "combined_text"),
+                "base": HashedBagOfWords(DIM).encode(text, ["article_id"], "combined_text")}
+    return CE.compare_variants(variants, labels, int(k))
+
+
+@query("contrastive_pairs")
+def q_contrastive_pairs(spark, sf_dir):
+    return CT.contrastive_pairs(processed(spark, sf_dir)).select("article_id", "batch_id", "slot")
+
+
+@query("contrastive_loss")
+def q_contrastive_loss(spark, sf_dir):
+    proc = processed(spark, sf_dir)
+    pairs = CT.contrastive_pairs(proc)
+    vecs = encoder().encode(proc.select("article_id", "combined_text"), ["article_id"], "combined_text")
+    return CT.contrastive_loss(pairs, vecs).select(F.round("loss", 5).alias("loss"))
+
+
+def graded(spark, sf_dir):
+    return FX.interactions(spark, sf_dir, graded=True)
+
+
+@query("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return CF.train_test(CF.rating_pairs(graded(spark, sf_dir))).select("user_id", "item_id", "is_test")
+
+
+@query("cf_baseline_predict")
+def q_cf_baseline_predict(spark, sf_dir):
+    p = CF.baseline_predict(graded(spark, sf_dir))
+    return p.select("user_id", "item_id", F.round("rating", 5).alias("rating"), F.round("est", 5).alias("est"))
+
+
+@query("cf_fit_predict")
+def q_cf_fit_predict(spark, sf_dir):
+    p = CF.fit_predict(graded(spark, sf_dir))
+    return p.select("user_id", "item_id", F.round("rating", 5).alias("rating"), F.round("est", 5).alias("est"))
+
+
+@query("precision_recall_per_user")
+def q_precision_recall_per_user(spark, sf_dir):
+    per = CF.precision_recall_per_user(CF.baseline_predict(FX.interactions(spark, sf_dir)))
+    return per.select("user_id", F.round("precision", 5).alias("precision"), F.round("recall", 5).alias("recall"))
+
+
+@query("precision_recall_at_k")
+def q_precision_recall_at_k(spark, sf_dir):
+    pr = CF.precision_recall_at_k(CF.baseline_predict(FX.interactions(spark, sf_dir)))
+    return pr.select(F.round("precision_at_k", 5).alias("precision_at_k"), F.round("recall_at_k", 5).alias("recall_at_k"))
+
+
+@query("precision_recall_graded")
+def q_precision_recall_graded(spark, sf_dir):
+    pr = CF.precision_recall_at_k(CF.baseline_predict(graded(spark, sf_dir)), threshold=0.5)
+    return pr.select(F.round("precision_at_k", 5).alias("precision_at_k"), F.round("recall_at_k", 5).alias("recall_at_k"))
+
+
+def pipeline_counts(spark, sf_dir):
+    proc, inter, vecs, profiles, _ = flagship_parts(spark, sf_dir)
+    return (proc.agg(F.count(F.lit(1)).alias("processed_articles"))
+            .select("processed_articles",
+                    inter.agg(F.count(F.lit(1))).scalar().alias("interactions"),
+                    profiles.agg(F.count(F.lit(1))).scalar().alias("users_with_profiles")))
+
+
+@query("pipeline_counts")
+def q_pipeline_counts(spark, sf_dir):
+    return pipeline_counts(spark, sf_dir)
+
+
+def evaluation_report(spark, sf_dir):
+    counts = pipeline_counts(spark, sf_dir)
+    proc = processed(spark, sf_dir)
+    assign = eval_assignments(spark, sf_dir)
+    parts = [
+        RP.metric_rows("data", counts.select("processed_articles")),
+        RP.metric_rows("data", A.category_count(proc)),
+        RP.metric_rows("interactions", counts.select("interactions")),
+        RP.metric_rows("profiles", counts.select("users_with_profiles")),
+        RP.metric_rows("cf", CF.precision_recall_at_k(CF.baseline_predict(FX.interactions(spark, sf_dir)))),
+        RP.metric_rows("clustering", CE.adjusted_rand(assign)),
+        RP.metric_rows("clustering", CE.nmi(assign)),
+        RP.metric_rows("clustering", CE.silhouette_exact(assign, "article_id")),
+    ]
+    return RP.union_all(parts)
+
+
+@query("evaluation_report")
+def q_evaluation_report(spark, sf_dir):
+    return evaluation_report(spark, sf_dir).withColumn("value", F.round("value", 5))
+
+
+@query("read_articles_csv")
+def q_read_articles_csv(spark, sf_dir):
+    path = scratch_dir(spark, "articles-csv")
+    CSV.write_articles_csv(FX.articles(spark, sf_dir), path)
+    cols = (*CSV.ARTICLE_CSV_COLUMNS, "row_ord")
+    return CSV.read_articles_csv(spark, path, cols).withColumn("row_ord", F.col("row_ord").cast("bigint"))
+
+
+def write_offline_artifacts(spark, sf_dir, root):
+    """Phase-1 artifacts for the stand-in data: processed articles, embeddings, interactions,
+    profiles, the CF model (only with enough interactions) and the report."""
+    proc = processed(spark, sf_dir)
+    AR.write_table(proc, root, "processed_articles")
+    vecs = article_vectors(spark, sf_dir)
+    AR.write_table(vecs, root, "base_embeddings")
+    AR.write_table(vecs, root, "article_embeddings")
+    inter = FX.interactions(spark, sf_dir)
+    AR.write_table(inter, root, "interactions")
+    AR.write_table(P.user_profiles(inter, vecs, DIM, FX.user_preferences(spark, sf_dir)), root, "user_profiles")
+    if CF.enough_interactions(inter):
+        try:
+            _, model, _ = CF.fit_full(inter)
+            AR.save_model(model, spark, root, "cf_model")
+        except Exception:  # noqa: BLE001 - a failed fit leaves no stale model behind
+            AR.remove(spark, AR.artifact_path(root, "cf_model"))
+    AR.write_table(evaluation_report(spark, sf_dir), root, "evaluation_report")
+    return root
+
+
+@query("artifact_manifest")
+def q_artifact_manifest(spark, sf_dir):
+    root = write_offline_artifacts(spark, sf_dir, scratch_dir(spark, "artifacts"))
+    return AR.artifact_manifest(spark, root).select("artifact", "present", "rows")

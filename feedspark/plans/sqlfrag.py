@@ -357,3 +357,133 @@ GROUP BY c.user_id, c.link, c.query_idx, c.pos, c.title, c.snippet, c.display_de
 cte("ranked", ("scored",), """
 SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY content_score DESC, query_idx, pos) AS INTEGER) AS rank
 FROM scored""")
+
+
+# ---------------------------------------------------------------- clustering, contrastive, CF
+cte("eval_keys", ("emb_long",), f"""
+SELECT article_id FROM (SELECT DISTINCT article_id FROM emb_long) k
+QUALIFY row_number() OVER (ORDER BY {hash32("'42'", 'article_id')}, article_id) <= 3000""")
+
+cte("cents", ("emb_long",), "SELECT label, pos, avg(value) AS c FROM emb_long GROUP BY 1, 2")
+
+cte("nc_all", ("emb_long", "cents"), """
+SELECT article_id, label, CAST(cl AS INTEGER) AS cluster FROM (
+  SELECT e.article_id, e.label, c.label AS cl,
+         sum(e.value * c.c) / (sqrt(sum(e.value * e.value)) * sqrt(sum(c.c * c.c))) AS cos
+  FROM emb_long e JOIN cents c ON c.pos = e.pos GROUP BY 1, 2, 3) x
+QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY cos DESC, cl) = 1""")
+
+cte("emb_eval", ("emb_long", "eval_keys"), "SELECT * FROM emb_long WHERE article_id IN (SELECT article_id FROM eval_keys)")
+
+cte("cents_eval", ("emb_eval",), "SELECT label, pos, avg(value) AS c FROM emb_eval GROUP BY 1, 2")
+
+cte("nc_eval", ("emb_eval", "cents_eval"), """
+SELECT article_id, label, CAST(cl AS INTEGER) AS cluster FROM (
+  SELECT e.article_id, e.label, c.label AS cl,
+         sum(e.value * c.c) / (sqrt(sum(e.value * e.value)) * sqrt(sum(c.c * c.c))) AS cos
+  FROM emb_eval e JOIN cents_eval c ON c.pos = e.pos GROUP BY 1, 2, 3) x
+QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY cos DESC, cl) = 1""")
+
+cte("cont", ("nc_eval",), "SELECT label, cluster, CAST(count(*) AS DOUBLE) AS nij FROM nc_eval GROUP BY 1, 2")
+
+cte("ari_val", ("cont",), """
+SELECT CASE WHEN fn = 0 AND fp = 0 THEN 1.0
+            ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END AS ari
+FROM (SELECT snij - n AS tp, sa - snij AS fn, sb - snij AS fp, n * n - sa - sb + snij AS tn FROM (
+  SELECT sum(nij) AS n, sum(nij * nij) AS snij,
+         (SELECT sum(s * s) FROM (SELECT sum(nij) AS s FROM cont GROUP BY label) a) AS sa,
+         (SELECT sum(s * s) FROM (SELECT sum(nij) AS s FROM cont GROUP BY cluster) b) AS sb
+  FROM cont) s) t""")
+
+cte("nmi_val", ("cont",), """
+SELECT CASE WHEN ku = kv AND ku IN (0, 1) THEN 1.0 WHEN mi = 0 THEN 0.0 ELSE mi / ((hu + hv) / 2.0) END AS nmi
+FROM (
+  SELECT greatest(coalesce((SELECT sum(c.nij / t.n * ln(t.n * c.nij / (a.ai * b.bj)))
+                   FROM cont c JOIN (SELECT label, sum(nij) AS ai FROM cont GROUP BY 1) a USING (label)
+                   JOIN (SELECT cluster, sum(nij) AS bj FROM cont GROUP BY 1) b USING (cluster)), 0.0), 0.0) AS mi,
+         (SELECT -sum(ai / t.n * ln(ai / t.n)) FROM (SELECT sum(nij) AS ai FROM cont GROUP BY label) a) AS hu,
+         (SELECT -sum(bj / t.n * ln(bj / t.n)) FROM (SELECT sum(nij) AS bj FROM cont GROUP BY cluster) b) AS hv,
+         (SELECT count(DISTINCT label) FROM cont) AS ku,
+         (SELECT count(DISTINCT cluster) FROM cont) AS kv
+  FROM (SELECT sum(nij) AS n FROM cont) t) x""")
+
+cte("sil_val", ("emb_eval", "nc_eval"), """
+SELECT avg(s) AS silhouette FROM (
+  SELECT i, CASE WHEN own_n > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s FROM (
+    SELECT i, max(CASE WHEN own THEN sd / (n - 1) END) AS a, min(CASE WHEN NOT own THEN sd / n END) AS b,
+           max(CASE WHEN own THEN n END) AS own_n
+    FROM (
+      SELECT d.i, cj.cluster = ci.cluster AS own, sum(d.d) AS sd, cnt.n
+      FROM (SELECT x.article_id AS i, y.article_id AS j, sqrt(sum((x.value - y.value) * (x.value - y.value))) AS d
+            FROM emb_eval x JOIN emb_eval y ON x.pos = y.pos GROUP BY 1, 2) d
+      JOIN nc_eval ci ON ci.article_id = d.i
+      JOIN nc_eval cj ON cj.article_id = d.j
+      JOIN (SELECT cluster, count(*) AS n FROM nc_eval GROUP BY 1) cnt ON cnt.cluster = cj.cluster
+      GROUP BY d.i, cj.cluster, ci.cluster, cnt.n) g
+    GROUP BY i) h) z""")
+
+cte("cpairs", ("processed",), f"""
+SELECT article_id, CAST((rn - 1) // 8 AS BIGINT) AS batch_id, CAST((rn - 1) % 8 AS INTEGER) AS slot FROM (
+  SELECT article_id, row_number() OVER (ORDER BY {hash32("'42'", 'article_id')}, article_id) AS rn,
+         count(*) OVER () AS total
+  FROM processed) r
+WHERE total >= 8""")
+
+encode_sparse("pvec", "processed", "article_id", "combined_text", deps=("processed",))
+
+cte("closs", ("cpairs", "pvec"), """
+SELECT avg(lse - own) AS loss FROM (
+  SELECT p.i, max(CASE WHEN p.i = p.j THEN 20.0 * coalesce(c.cos, 0.0) END) AS own,
+         max(20.0 * coalesce(c.cos, 0.0)) + ln(sum(exp(20.0 * coalesce(c.cos, 0.0) - mx))) AS lse
+  FROM (SELECT a.article_id AS i, b.article_id AS j, a.batch_id FROM cpairs a JOIN cpairs b USING (batch_id)) p
+  LEFT JOIN (SELECT x.k AS i, y.k AS j, sum(x.v * y.v) AS cos FROM pvec x JOIN pvec y ON x.b = y.b
+             JOIN cpairs px ON px.article_id = x.k JOIN cpairs py ON py.article_id = y.k AND py.batch_id = px.batch_id
+             GROUP BY 1, 2) c ON c.i = p.i AND c.j = p.j
+  JOIN (SELECT p2.i, max(20.0 * coalesce(c2.cos, 0.0)) AS mx
+        FROM (SELECT a.article_id AS i, b.article_id AS j FROM cpairs a JOIN cpairs b USING (batch_id)) p2
+        LEFT JOIN (SELECT x.k AS i, y.k AS j, sum(x.v * y.v) AS cos FROM pvec x JOIN pvec y ON x.b = y.b GROUP BY 1, 2) c2
+          ON c2.i = p2.i AND c2.j = p2.j GROUP BY 1) m ON m.i = p.i
+  GROUP BY p.i, m.mx) z""")
+
+
+def cf_ctes(prefix: str, src: str) -> None:
+    cte(prefix + "_pairs", (src,), f"""
+SELECT user_id, item_id, avg(rating) AS rating,
+       {hash32("'42'", 'user_id', 'item_id')} < {int(0.2 * 4294967296.0)} AS is_test
+FROM {src} GROUP BY 1, 2""")
+    cte(prefix + "_bi", (prefix + "_pairs",), f"""
+SELECT item_id, sum(rating - (SELECT avg(rating) FROM {prefix}_pairs WHERE NOT is_test)) / (10.0 + count(*)) AS b_item
+FROM {prefix}_pairs WHERE NOT is_test GROUP BY 1""")
+    cte(prefix + "_bu", (prefix + "_pairs", prefix + "_bi"), f"""
+SELECT p.user_id, sum(p.rating - (SELECT avg(rating) FROM {prefix}_pairs WHERE NOT is_test) - i.b_item) / (15.0 + count(*)) AS b_user
+FROM {prefix}_pairs p JOIN {prefix}_bi i USING (item_id) WHERE NOT p.is_test GROUP BY 1""")
+    cte(prefix + "_pred", (prefix + "_pairs", prefix + "_bi", prefix + "_bu"), f"""
+SELECT p.user_id, p.item_id, p.rating,
+       least(greatest((SELECT avg(rating) FROM {prefix}_pairs WHERE NOT is_test)
+                      + coalesce(u.b_user, 0.0) + coalesce(i.b_item, 0.0), 0.0), 1.0) AS est
+FROM {prefix}_pairs p LEFT JOIN {prefix}_bi i USING (item_id) LEFT JOIN {prefix}_bu u USING (user_id)
+WHERE p.is_test""")
+
+
+def pr_ctes(prefix: str, pred: str, threshold: float, k: int = 10) -> None:
+    cte(prefix + "_per_user", (pred,), f"""
+SELECT r.user_id,
+       CASE WHEN t.n_rec = 0 THEN 0.0 ELSE t.n_both / t.n_rec END AS precision,
+       CASE WHEN r.n_rel = 0 THEN 0.0 ELSE t.n_both / r.n_rel END AS recall
+FROM (SELECT user_id, CAST(sum(CASE WHEN rating >= {threshold} THEN 1 ELSE 0 END) AS DOUBLE) AS n_rel FROM {pred} GROUP BY 1) r
+JOIN (SELECT user_id, CAST(sum(CASE WHEN est >= {threshold} THEN 1 ELSE 0 END) AS DOUBLE) AS n_rec,
+             CAST(sum(CASE WHEN est >= {threshold} AND rating >= {threshold} THEN 1 ELSE 0 END) AS DOUBLE) AS n_both
+      FROM (SELECT * FROM {pred} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY est DESC, item_id) <= {k}) x
+      GROUP BY 1) t USING (user_id)""")
+    cte(prefix + "_avg", (prefix + "_per_user",), f"""
+SELECT coalesce(avg(precision), 0.0) AS precision_at_k, coalesce(avg(recall), 0.0) AS recall_at_k FROM {prefix}_per_user""")
+
+
+cf_ctes("cfg", "interactions_graded")
+cf_ctes("cf1", "interactions")
+pr_ctes("pr1", "cf1_pred", 1.0)
+pr_ctes("prg", "cfg_pred", 0.5)
+
+cte("counts", ("processed", "interactions", "prof_users"), """
+SELECT (SELECT count(*) FROM processed) AS processed_articles, (SELECT count(*) FROM interactions) AS interactions,
+       (SELECT count(*) FROM prof_users) AS users_with_profiles""")
