@@ -10,3 +10,12 @@ streaming  the online recommendation entry as a Structured Streaming job
 """
 
 __version__ = "0.1.0"
+
+try:  # ship this package's functions and classes to Python workers by value (no install needed there)
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass

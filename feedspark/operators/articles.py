@@ -1,11 +1,11 @@
 """Article preparation: sample, dedupe, combine text, filter, parse dates, label categories."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import combine_text, is_blank, normalize_category, parse_published_at
-from .ranking import first_per_key, global_row_number
+from .ranking import first_per_key, global_row_number, spread  # noqa: F401
 from .sampling import ARTICLE_CAP, SEED, sample_rows
 
 TEXT_COLS = ("title", "description", "content")
@@ -46,10 +46,14 @@ def with_combined_text(df: DataFrame) -> DataFrame:
 
 
 def category_labels(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:
-    """(category, category_encoded): distinct values numbered from 0 in code-point order."""
+    """(category, category_encoded): distinct values numbered from 0 in code-point order.
+
+    The window runs over the distinct label table only (one row per category, a small label space);
+    ``global_row_number`` is the distributed alternative for a label space of unbounded size.
+    """
     distinct = df.select(col).distinct()
-    numbered = global_row_number(distinct, [F.col(col)], "rn")
-    return numbered.select(col, (F.col("rn") - 1).cast("int").alias("category_encoded"))
+    w = Window.orderBy(F.col(col))
+    return distinct.select(col, (F.row_number().over(w) - 1).cast("int").alias("category_encoded"))
 
 
 def encode_category(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:

@@ -49,3 +49,17 @@ def top_n_per_group(df: DataFrame, partition: list[str], order: list[Column], n:
     """row_number within each group, keep rank <= n (planned as a WindowGroupLimit)."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+
+
+def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition on ``keys`` when a scan yields fewer partitions than the cluster can run.
+
+    Text-heavy row work (tokenising, HTML regexes) then uses every core, and a later grouping on the
+    same keys reuses this partitioning. When the input already has enough splits (the normal case
+    on a large cluster) the DataFrame is returned unchanged, so no raw data is shuffled.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *[F.col(k) for k in keys]) if keys else df.repartition(target)

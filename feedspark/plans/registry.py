@@ -434,9 +434,8 @@ def q_contrastive_pairs(spark, sf_dir):
 @query("contrastive_loss")
 def q_contrastive_loss(spark, sf_dir):
     proc = processed(spark, sf_dir)
-    pairs = CT.contrastive_pairs(proc)
     vecs = encoder().encode(proc.select("article_id", "combined_text"), ["article_id"], "combined_text")
-    return CT.contrastive_loss(pairs, vecs).select(F.round("loss", 5).alias("loss"))
+    return CT.contrastive_loss(vecs).select(F.round("loss", 5).alias("loss"))
 
 
 def graded(spark, sf_dir):

@@ -12,6 +12,7 @@ from ..functions import html as H
 from ..functions.text import py_strip
 from ..functions.urls import url_root
 from ..functions.vectors import to_double_array
+from ..operators.ranking import spread
 from .tables import read_table
 
 # Event types that count as a like.
@@ -32,7 +33,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows with doc_id % 10 = 0 appear twice (the copy has an upper-cased category and no
     description); for doc_id % 20 = 10 the copy comes first, so dedupe order is visible.
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
     i = F.col("doc_id")
     ts = F.timestamp_add("HOUR", i, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     published = (F.when(i % 17 == 0, F.lit("not-a-date"))
@@ -74,8 +75,8 @@ def article_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have an article vector in the flagship: doc_id % 4 <> 3 (the gap exercises
     liked items without a vector). Includes articles that fail preparation."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.where(F.col("doc_id") % 4 != 3).select(
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("doc_id") % 4 != 3)
+    return spread(d, ["doc_id"]).select(
         F.col("doc_id").cast("string").alias("article_id"), F.col("text"))
 
 
@@ -114,7 +115,7 @@ def user_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: the queries it answers, before ranking (query, page_id, link, title, snippet)."""
-    p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    p = spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id"])
     clean = H.remove_noise(F.col("html"))
     feats = p.select(
         "page_id", "url",
@@ -149,4 +150,4 @@ def search_results(spark: SparkSession, sf_dir: str, max_hits: int = MAX_HITS_PE
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select("url", "html")
+    return spread(read_table(spark, sf_dir, "pages").select("url", "html"), ["url"])
