@@ -44,3 +44,9 @@ def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: Da
     ranked = rank_candidates(scored, n)
     return ranked.select("user_id", "rank", "title", F.col("link").alias("url"), "snippet",
                          F.col("display_description").alias("description"), "content_score")
+
+
+def unembedded_candidates(cands: DataFrame, cands_with_vec: DataFrame) -> DataFrame:
+    """Output check: candidates that did not get a vector (must be empty; a non-empty result means
+    the encoder dropped rows and the run should stop, as the reference does on a count mismatch)."""
+    return cands.join(cands_with_vec.select("user_id", "link"), ["user_id", "link"], "left_anti")

@@ -169,3 +169,9 @@ _NA = ", ".join(S.q(t) for t in ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#
 oracle("read_articles_csv", ["articles"], "SELECT " + ", ".join(
     f"CASE WHEN {c} IN ({_NA}) THEN NULL ELSE {c} END AS {c}"
     for c in ("article_id", "title", "description", "content", "category", "published_at")) + ", row_ord FROM articles")
+
+oracle("recommendations_unknown_user", ["ranked", "interactions", "prof_users"], f"""
+SELECT user_id, rank, title, link AS url, snippet, display_description AS description,
+       {R5('content_score')} AS content_score
+FROM ranked WHERE rank <= 10
+  AND user_id IN (SELECT user_id FROM interactions WHERE user_id NOT IN (SELECT user_id FROM prof_users))""")
