@@ -13,9 +13,13 @@ def vector_dim(df: DataFrame, vec: str) -> int:
 
 def vector_mean(df: DataFrame, keys: list[str], vec: str, dim: int, weight: str | None = None,
                 out: str = "mean_vec", count_col: str = "n") -> DataFrame:
-    """Element-wise (weighted) mean of ``vec`` per key, plus the total weight ``count_col``."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    sums = [F.sum(F.col(vec)[i] * w).alias(f"__s{i}") for i in range(dim)]
-    agg = df.groupBy(*keys).agg(F.sum(w).alias(count_col), *sums)
-    mean = F.array(*[F.col(f"__s{i}") / F.col(count_col) for i in range(dim)])
-    return agg.select(*keys, F.col(count_col), mean.alias(out))
+    """Element-wise (weighted) mean of ``vec`` per key, plus the total weight ``count_col``.
+
+    One hash aggregate with ``dim`` sums (one partial row per key per map task), written as a single
+    SQL expression.
+    """
+    w = f"CAST(`{weight}` AS DOUBLE)" if weight else "1.0D"
+    sums = "array(" + ", ".join(f"sum(`{vec}`[{i}] * {w})" for i in range(dim)) + ")"
+    agg = df.groupBy(*keys).agg(F.expr(f"sum({w})").alias(count_col), F.expr(sums).alias("__sums"))
+    return agg.select(*keys, F.col(count_col),
+                      F.transform("__sums", lambda x: x / F.col(count_col)).alias(out))

@@ -108,7 +108,8 @@ from ..operators import interactions as I  # noqa: E402
 from ..operators import profiles as P  # noqa: E402
 from ..operators import recommend as R  # noqa: E402
 from ..operators.encoder import HashedBagOfWords  # noqa: E402
-from ..operators.sampling import LIKE_PROBABILITY, SEED, bernoulli_thin  # noqa: E402
+from ..operators.sampling import LIKE_PROBABILITY, SEED, bernoulli_thin  # noqa: E402,F401
+from ..session import cut_lineage  # noqa: E402
 
 DIM = 64
 
@@ -131,7 +132,10 @@ def sparse_long(df, keys, vec):
 def flagship_parts(spark, sf_dir):
     proc = processed(spark, sf_dir)
     inter = FX.interactions(spark, sf_dir)
-    vecs = article_vectors(spark, sf_dir)
+    # The embedding table is an artifact read by several branches (profiles, topics, scoring):
+    # materialise it once (reliable checkpoint in the shared checkpoint folder) instead of
+    # re-encoding every document in each branch.
+    vecs = cut_lineage(article_vectors(spark, sf_dir))
     profiles = P.user_profiles(inter, vecs, DIM)
     cat_counts = P.user_category_counts(inter, vecs, A.category_lookup(proc))
     top = P.user_top_categories(cat_counts)
