@@ -421,7 +421,7 @@ def q_kmeans_clusters(spark, sf_dir):
 @query("cluster_metrics")
 def q_cluster_metrics(spark, sf_dir):
     """Two encoder variants of the processed articles, same sampled rows, labels = category."""
-    proc = processed(spark, sf_dir)
+    proc = cut_lineage(processed(spark, sf_dir))  # read by every metric step below
     labels = proc.select("article_id", F.col("category_encoded").alias("label"))
     k = A.category_count(proc).first()[0]
     text = proc.select("article_id", "combined_text")
