@@ -8,12 +8,16 @@ _LOCAL_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row i
 
 
 def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, total_col: str | None = None) -> DataFrame:
     """``row_number() over (order by order_cols)`` computed without moving all rows to one task.
 
     Range-partition on the order, sort inside each partition, number rows locally, then add the
     row count of all earlier partitions (a table with one row per partition). ``order_cols`` must be
-    a total order (end with a unique key) so the numbering is deterministic.
+    a total order (end with a unique key) so the numbering is deterministic. ``total_col`` adds the
+    total row count, taken from the same per-partition count table (no extra pass).
+
+    The range partitioner samples its input in a separate job, so pass a cheap or materialised
+    input (a table, a checkpoint), not an expensive lazy computation.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -26,10 +30,11 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
     # One row per partition: a global window here is over at most n rows.
     offsets = counts.select("__pid", F.coalesce(
         F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("__off"))
-    return (local.join(F.broadcast(offsets), "__pid")
-                 .withColumn(name, (F.col("__off") + F.col("__lrn")).cast("bigint"))
-                 .drop("__mid", "__pid", "__lrn", "__off"))
+        F.lit(0)).alias("__off"), F.sum("__cnt").over(Window.partitionBy()).alias("__total"))
+    out = (local.join(F.broadcast(offsets), "__pid")
+                .withColumn(name, (F.col("__off") + F.col("__lrn")).cast("bigint"))
+                .drop("__mid", "__pid", "__lrn", "__off"))
+    return out.withColumnRenamed("__total", total_col) if total_col else out.drop("__total")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -129,8 +129,8 @@ def sparse_long(df, keys, vec):
     return out.select(*keys, F.col("pos").cast("int"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-def flagship_parts(spark, sf_dir):
-    proc = processed(spark, sf_dir)
+def flagship_parts(spark, sf_dir, proc=None):
+    proc = proc if proc is not None else processed(spark, sf_dir)
     inter = FX.interactions(spark, sf_dir)
     # The embedding table is an artifact read by several branches (profiles, topics, scoring):
     # materialise it once (reliable checkpoint in the shared checkpoint folder) instead of
@@ -432,13 +432,14 @@ def q_cluster_metrics(spark, sf_dir):
 
 @query("contrastive_pairs")
 def q_contrastive_pairs(spark, sf_dir):
-    return CT.contrastive_pairs(processed(spark, sf_dir)).select("article_id", "batch_id", "slot")
+    return CT.contrastive_pairs(cut_lineage(processed(spark, sf_dir))).select("article_id", "batch_id", "slot")
 
 
 @query("contrastive_loss")
 def q_contrastive_loss(spark, sf_dir):
     proc = processed(spark, sf_dir)
-    vecs = encoder().encode(proc.select("article_id", "combined_text"), ["article_id"], "combined_text")
+    # the article embedding table is an artifact: materialise it once, then batch and score it
+    vecs = cut_lineage(encoder().encode(proc.select("article_id", "combined_text"), ["article_id"], "combined_text"))
     return CT.contrastive_loss(vecs).select(F.round("loss", 5).alias("loss"))
 
 
@@ -481,8 +482,8 @@ def q_precision_recall_graded(spark, sf_dir):
     return pr.select(F.round("precision_at_k", 5).alias("precision_at_k"), F.round("recall_at_k", 5).alias("recall_at_k"))
 
 
-def pipeline_counts(spark, sf_dir):
-    proc, inter, vecs, profiles, _ = flagship_parts(spark, sf_dir)
+def pipeline_counts(spark, sf_dir, proc=None):
+    proc, inter, vecs, profiles, _ = flagship_parts(spark, sf_dir, proc)
     return (proc.agg(F.count(F.lit(1)).alias("processed_articles"))
             .select("processed_articles",
                     inter.agg(F.count(F.lit(1))).scalar().alias("interactions"),
@@ -495,9 +496,10 @@ def q_pipeline_counts(spark, sf_dir):
 
 
 def evaluation_report(spark, sf_dir):
-    counts = pipeline_counts(spark, sf_dir)
+    # the cluster assignment feeds three metrics (and a driver-side sample read): materialise it once
     proc = processed(spark, sf_dir)
-    assign = eval_assignments(spark, sf_dir)
+    counts = pipeline_counts(spark, sf_dir, proc)
+    assign = cut_lineage(eval_assignments(spark, sf_dir))
     parts = [
         RP.metric_rows("data", counts.select("processed_articles")),
         RP.metric_rows("data", A.category_count(proc)),
