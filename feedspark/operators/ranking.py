@@ -64,7 +64,10 @@ def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | N
     on a large cluster) the DataFrame is returned unchanged, so no raw data is shuffled.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the layout alone
         return df
     return df.repartition(target, *[F.col(k) for k in keys]) if keys else df.repartition(target)

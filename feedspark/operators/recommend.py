@@ -36,10 +36,20 @@ def rank_candidates(scored: DataFrame, n: int | None = NUM_RECOMMENDATIONS) -> D
 
 def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: DataFrame,
               pages: DataFrame, encoder: Encoder, n: int = NUM_RECOMMENDATIONS,
-              total_results: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
-    """(user_id, rank, title, url, snippet, description, content_score) for all profiled users."""
+              total_results: int = C.NUM_SEARCH_RESULTS_TOTAL,
+              materialize_candidates: bool = True) -> DataFrame:
+    """(user_id, rank, title, url, snippet, description, content_score) for all profiled users.
+
+    The candidate table (at most ``total_results`` rows per user) is read twice: once for its
+    distinct texts, which are encoded once each, and once to attach the vectors back. With
+    ``materialize_candidates`` it is checkpointed into the shared checkpoint folder first, so the
+    search / dedupe / page-extraction work runs once.
+    """
     queries = C.with_quota(C.user_queries(profiles.select("user_id"), top_categories), total_results)
     cands = C.usable_candidates(queries, search_results, pages)
+    if materialize_candidates:
+        from ..session import cut_lineage
+        cands = cut_lineage(cands)
     scored = content_scores(embed_candidates(cands, encoder), profiles)
     ranked = rank_candidates(scored, n)
     return ranked.select("user_id", "rank", "title", F.col("link").alias("url"), "snippet",

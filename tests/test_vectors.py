@@ -31,3 +31,29 @@ def test_hashed_encoder_unit_norm_and_empty_text(spark):
     assert sum(x * x for x in out["1"]) == pytest.approx(1.0)
     assert max(out["1"]) == pytest.approx(2 / 5 ** 0.5)  # 'hello' twice, 'world' once
     assert out["2"] == [0.0] * 16 and out["3"] == [0.0] * 16
+
+
+def _load_char_model():
+    import numpy as np
+
+    def model(texts):
+        out = np.zeros((len(texts), 4))
+        for i, t in enumerate(texts):
+            for ch in t:
+                out[i, ord(ch) % 4] += 1.0
+        return out
+    return model
+
+
+def test_pandas_model_encoder_matches_local_model(spark):
+    import numpy as np
+    from feedspark.operators.encoder import PandasModelEncoder
+    texts = [("a", "hello world"), ("b", ""), ("c", "spark arrow batches")]
+    df = spark.createDataFrame(texts, "k string, t string").repartition(2)
+    got = {r.k: r.embedding for r in PandasModelEncoder(_load_char_model, dim=4).encode(df, ["k"], "t").collect()}
+    local = _load_char_model()
+    for k, t in texts:
+        v = local([t])[0]
+        n = np.linalg.norm(v)
+        want = v / n if n > 0 else v
+        assert got[k] == pytest.approx(list(want))
