@@ -37,25 +37,32 @@ def rank_candidates(scored: DataFrame, n: int | None = NUM_RECOMMENDATIONS) -> D
 def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: DataFrame,
               pages: DataFrame, encoder: Encoder, n: int = NUM_RECOMMENDATIONS,
               total_results: int = C.NUM_SEARCH_RESULTS_TOTAL,
-              materialize_candidates: bool = True) -> DataFrame:
+              materialize: bool = True) -> DataFrame:
     """(user_id, rank, title, url, snippet, description, content_score) for all profiled users.
 
-    The candidate table (at most ``total_results`` rows per user) is read twice: once for its
-    distinct texts, which are encoded once each, and once to attach the vectors back. With
-    ``materialize_candidates`` it is checkpointed into the shared checkpoint folder first, so the
-    search / dedupe / page-extraction work runs once.
+    Three tables are read by more than one branch below, so with ``materialize`` each is
+    checkpointed into the shared checkpoint folder once instead of being recomputed per branch:
+    the profile vectors (queries and scoring), the deduped search hits (page extraction is
+    restricted to their links, then joined back) and the usable candidates (distinct texts are
+    encoded once, then attached back). All three hold at most ``total_results`` rows per user.
     """
+    keep = _checkpoint if materialize else (lambda d: d)
+    profiles = keep(profiles.select("user_id", "profile_embedding"))
     queries = C.with_quota(C.user_queries(profiles.select("user_id"), top_categories), total_results)
-    cands = C.usable_candidates(queries, search_results, pages)
-    if materialize_candidates:
-        from ..session import cut_lineage
-        cands = cut_lineage(cands)
+    hits = keep(C.candidate_articles(queries, search_results))
+    feats = C.page_features(pages, hits.select("link"))
+    cands = keep(C.with_candidate_text(hits, feats))
     scored = content_scores(embed_candidates(cands, encoder), profiles)
     ranked = rank_candidates(scored, n)
     return ranked.select("user_id", "rank", "title", F.col("link").alias("url"), "snippet",
                          F.col("display_description").alias("description"), "content_score")
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    from ..session import cut_lineage
+    return cut_lineage(df)
+
+
 def unembedded_candidates(cands: DataFrame, cands_with_vec: DataFrame) -> DataFrame:
     """Output check: candidates that did not get a vector (must be empty; a non-empty result means
     the encoder dropped rows and the run should stop, as the reference does on a count mismatch)."""

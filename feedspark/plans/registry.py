@@ -136,8 +136,11 @@ def flagship_parts(spark, sf_dir, proc=None):
     # materialise it once (reliable checkpoint in the shared checkpoint folder) instead of
     # re-encoding every document in each branch.
     vecs = cut_lineage(article_vectors(spark, sf_dir))
+    # Likewise the id -> category lookup (the reference re-reads it from the processed-article
+    # file): article preparation then runs once, not once per branch that needs a category.
+    lookup = cut_lineage(A.category_lookup(proc))
     profiles = P.user_profiles(inter, vecs, DIM)
-    cat_counts = P.user_category_counts(inter, vecs, A.category_lookup(proc))
+    cat_counts = P.user_category_counts(inter, vecs, lookup)
     top = P.user_top_categories(cat_counts)
     return proc, inter, vecs, profiles, top
 

@@ -76,8 +76,8 @@ def vector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have an article vector in the flagship: doc_id % 4 <> 3 (the gap exercises
     liked items without a vector). Includes articles that fail preparation."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("doc_id") % 4 != 3)
-    return spread(d, ["doc_id"]).select(
-        F.col("doc_id").cast("string").alias("article_id"), F.col("text"))
+    # spread on the key the encoder groups by, so its aggregations need no further exchange
+    return spread(d.select(F.col("doc_id").cast("string").alias("article_id"), F.col("text")), ["article_id"])
 
 
 def interactions(spark: SparkSession, sf_dir: str, graded: bool = False) -> DataFrame:
