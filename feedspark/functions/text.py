@@ -34,7 +34,10 @@ def clean_text(c) -> Column:
 def text_field(c) -> Column:
     """One field for combining: stripped, or NULL when missing / 'nan' / 'none' / blank."""
     s = py_strip(_c(c).cast("string"))
-    return F.when(F.lower(s).isin(*MISSING_TEXT_TOKENS), F.lit(None).cast("string")).otherwise(s)
+    # the length test comes first so a long body is never lower-cased just to compare it
+    longest = max(len(t) for t in MISSING_TEXT_TOKENS)
+    missing = (F.length(s) <= longest) & F.lower(s).isin(*MISSING_TEXT_TOKENS)
+    return F.when(missing, F.lit(None).cast("string")).otherwise(s)
 
 
 def combine_text(*cols) -> Column:

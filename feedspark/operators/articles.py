@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import combine_text, is_blank, normalize_category, parse_published_at
+from ..functions.text import combine_text, normalize_category, parse_published_at
 from .ranking import first_per_key, global_row_number, spread  # noqa: F401
 from .sampling import ARTICLE_CAP, SEED, sample_rows
 
@@ -72,7 +72,9 @@ def prepare_articles(raw: DataFrame, cap: int = ARTICLE_CAP, seed: int = SEED,
     df = dedupe_articles(df.select(ID_COL, *TEXT_COLS, CATEGORY_COL, DATE_COL, order_col), order_col)
     df = with_combined_text(df)
     df = df.where(F.col(CATEGORY_COL).isNotNull())
-    df = df.where(~is_blank("combined_text"))
+    # Every combined field is stripped and non-empty, so the combined text is blank exactly when
+    # it is '' (no second strip over the whole text).
+    df = df.where(F.col("combined_text") != "")
     df = df.withColumn(DATE_COL, parse_published_at(DATE_COL)).where(F.col(DATE_COL).isNotNull())
     df = df.withColumn(CATEGORY_COL, normalize_category(CATEGORY_COL))
     df = encode_category(df)

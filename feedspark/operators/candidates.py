@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.urls import is_likely_article_url
+from .joins import hot_key_join
 from .ranking import first_per_key
 
 # The online phase's search parameters.
@@ -16,6 +17,8 @@ QUERY_PREFIX = "latest news "
 MIN_TEXT_CHARS = 30
 MAX_EMBED_CHARS = 1000
 FULLTEXT_OVER_SNIPPET = 1.5
+# Largest search side broadcast to the user queries (rows of query, pos, link, title, snippet).
+MAX_BROADCAST_HITS = 100_000
 
 
 def user_queries(users: DataFrame, top_categories: DataFrame) -> DataFrame:
@@ -38,12 +41,20 @@ def with_quota(queries: DataFrame, total: int = NUM_SEARCH_RESULTS_TOTAL) -> Dat
     return queries.withColumn("quota", quota.cast("int"))
 
 
-def search_hits(queries: DataFrame, search_results: DataFrame) -> DataFrame:
+def search_hits(queries: DataFrame, search_results: DataFrame, total: int = NUM_SEARCH_RESULTS_TOTAL,
+                max_broadcast_hits: int = MAX_BROADCAST_HITS) -> DataFrame:
     """Each query's first ``quota`` results (the pages a paged search would fetch):
-    (user_id, query_idx, pos, link, title, snippet)."""
-    s = search_results.select(F.col("query").alias("s_query"), "pos", "link", "title", "snippet")
-    j = queries.join(s, (queries["query"] == s["s_query"]) & (s["pos"] <= queries["quota"]))
-    return j.select("user_id", "query_idx", "pos", "link", "title", "snippet")
+    (user_id, query_idx, pos, link, title, snippet).
+
+    No quota exceeds ``total``, so only the first ``total`` results of each query can match: that
+    bounds the search side to ``total`` rows per distinct query. Many users share a query (a third
+    of them may be on the default one), so the search side is broadcast after a size check and
+    the user side is not shuffled by query; beyond the bound the join is salted on the user.
+    """
+    s = search_results.where(F.col("pos") <= total).select("query", "pos", "link", "title", "snippet")
+    j = hot_key_join(queries.select("user_id", "query_idx", "query", "quota"), s, ["query"],
+                     max_broadcast_hits, ["user_id"])
+    return j.where(F.col("pos") <= F.col("quota")).select("user_id", "query_idx", "pos", "link", "title", "snippet")
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
@@ -53,9 +64,10 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
     return first_per_key(nonempty, ["user_id", "link"], ["query_idx", "pos"])
 
 
-def candidate_articles(queries: DataFrame, search_results: DataFrame) -> DataFrame:
+def candidate_articles(queries: DataFrame, search_results: DataFrame,
+                       total: int = NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
     """Deduped hits with a title whose link looks like an article."""
-    d = dedupe_hits(search_hits(queries, search_results))
+    d = dedupe_hits(search_hits(queries, search_results, total))
     d = d.where(F.col("title").isNotNull() & (F.col("title") != ""))
     return d.where(is_likely_article_url(F.col("link")))
 

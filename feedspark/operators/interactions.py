@@ -4,24 +4,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import LIKE_PROBABILITY, SEED, bernoulli_thin
+from .joins import hot_key_join
+from .sampling import ARTICLE_CAP, LIKE_PROBABILITY, SEED, bernoulli_thin
 
 INTERACTION_COLS = ("user_id", "item_id", "rating", "timestamp")
 
 
-def preference_match(processed: DataFrame, preferences: DataFrame) -> DataFrame:
+def preference_match(processed: DataFrame, preferences: DataFrame,
+                     max_broadcast_articles: int = ARTICLE_CAP) -> DataFrame:
     """Every (user, article) whose article category is one of the user's preferences (case-insensitive),
     rating 1.0, timestamp = published_at.
 
     The per-user preference list is exploded to distinct (user, category) pairs, so the match is an
-    equi-join on category; AQE splits a category that holds a large share of the articles.
+    equi-join on category: a key with few values, one of which may hold most articles and users.
+    Processed articles are capped (``ARTICLE_CAP``), so the article side is checked against that
+    bound and broadcast; the preference rows then stay where they are. Beyond the bound the join
+    is salted on the user (``hot_key_join``).
     """
     prefs = (preferences.select("user_id", F.explode("preferences").alias("pref"))
              .select("user_id", F.lower("pref").alias("category")).distinct())
     arts = processed.where(F.col("category").isNotNull()).select(
         F.lower("category").alias("category"), F.col("article_id").alias("item_id"),
         F.col("published_at").alias("timestamp"))
-    return (arts.join(prefs, "category")
+    return (hot_key_join(prefs, arts, ["category"], max_broadcast_articles, ["user_id"])
             .select("user_id", "item_id", F.lit(1.0).alias("rating"), "timestamp"))
 
 

@@ -1,0 +1,33 @@
+"""Equi-joins on keys with few distinct values (a category, a search query), where one key may hold a
+large share of all rows.
+
+The side whose size is bounded by construction (capped articles, a top list per query) is written
+once to the shared checkpoint folder and counted there. If it holds at most ``max_small_rows`` rows
+it is broadcast: the other side is then joined where it lies, with no shuffle and no hot task.
+Beyond the bound the join is salted: every row of the large side gets one of ``salt_buckets``
+salts from a hash of its own columns, the small side is copied once per salt, and a hot key is
+spread over ``salt_buckets`` tasks instead of one.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALT_BUCKETS = 32
+
+
+def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], max_small_rows: int,
+                 salt_cols: list[str], salt_buckets: int = DEFAULT_SALT_BUCKETS,
+                 materialize_small: bool = True) -> DataFrame:
+    """Inner join of ``big`` and ``small`` on ``on`` (same result as ``big.join(small, on)``)."""
+    if materialize_small:
+        from ..session import cut_lineage
+        small = cut_lineage(small)
+    # bounded check: reads at most max_small_rows + 1 rows of the written table
+    n = small.limit(max_small_rows + 1).count()
+    if n <= max_small_rows:
+        return big.join(F.broadcast(small), on)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets)).cast("int")
+    b = big.withColumn("__salt", salt)
+    s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    return b.join(s, [*on, "__salt"]).drop("__salt")

@@ -49,7 +49,7 @@ def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: Da
     keep = _checkpoint if materialize else (lambda d: d)
     profiles = keep(profiles.select("user_id", "profile_embedding"))
     queries = C.with_quota(C.user_queries(profiles.select("user_id"), top_categories), total_results)
-    hits = keep(C.candidate_articles(queries, search_results))
+    hits = keep(C.candidate_articles(queries, search_results, total_results))
     feats = C.page_features(pages, hits.select("link"))
     cands = keep(C.with_candidate_text(hits, feats))
     scored = content_scores(embed_candidates(cands, encoder), profiles)

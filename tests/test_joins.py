@@ -1,0 +1,50 @@
+"""Hot-key joins: the broadcast path and the salted path give the plain join's rows."""
+from pyspark.sql import functions as F
+
+from feedspark.operators import candidates as C
+from feedspark.operators import interactions as I
+from feedspark.operators.joins import hot_key_join
+from feedspark.plans import registry as RG
+from feedspark.sources import fixtures as FX
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=repr)
+
+
+def test_hot_key_join_paths_agree(spark, sf):
+    # preference rows (a few category keys, one much hotter than the rest) against processed articles
+    prefs = (FX.user_preferences(spark, sf).select("user_id", F.explode("preferences").alias("category"))
+             .distinct())
+    arts = RG.processed(spark, sf).select(F.lower("category").alias("category"), "article_id")
+    plain = prefs.join(arts, "category")
+    wide = hot_key_join(prefs, arts, ["category"], max_small_rows=10**6, salt_cols=["user_id"])
+    salted = hot_key_join(prefs, arts, ["category"], max_small_rows=1, salt_cols=["user_id"], salt_buckets=7)
+    want = _rows(plain)
+    assert want
+    assert _rows(wide) == want
+    assert _rows(salted) == want
+
+
+def test_hot_key_join_plans(spark, sf):
+    prefs = FX.user_preferences(spark, sf).select("user_id", F.explode("preferences").alias("category"))
+    arts = RG.processed(spark, sf).select("category", "article_id")
+    small = hot_key_join(prefs, arts, ["category"], max_small_rows=10**6, salt_cols=["user_id"])
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    big = hot_key_join(prefs, arts, ["category"], max_small_rows=1, salt_cols=["user_id"])
+    plan = big._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan
+
+
+def test_preference_match_salted_equals_broadcast(spark, sf):
+    proc, prefs = RG.processed(spark, sf), FX.user_preferences(spark, sf)
+    assert _rows(I.preference_match(proc, prefs)) == _rows(I.preference_match(proc, prefs, max_broadcast_articles=0))
+
+
+def test_search_hits_salted_equals_broadcast(spark, sf):
+    q = RG.flagship_queries(spark, sf)
+    s = FX.search_results(spark, sf)
+    a = C.search_hits(q, s)
+    b = C.search_hits(q, s, max_broadcast_hits=0)
+    assert _rows(a) == _rows(b)
+    assert a.count() > 0
