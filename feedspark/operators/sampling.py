@@ -14,17 +14,34 @@ TEST_FRACTION = 0.2
 LIKE_PROBABILITY = 0.7
 
 
-def sample_rows(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFrame:
-    """Keep the ``n`` rows with the smallest hash(seed, key); all rows when there are at most ``n``.
+# Bits of the 32-bit sampling hash used to bucket rows when locating the n-th smallest hash.
+HISTOGRAM_BITS = 16
+
 
-    Only (hash, key) pass through the top-n step; the full rows are then filtered against the n-th
-    (hash, key) value, which Spark evaluates once as a scalar subquery.
+def sample_rows(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFrame:
+    """Keep the ``n`` rows with the smallest (hash(seed, key), key); all rows when there are at
+    most ``n``.
+
+    The n-th smallest value is found without sending ``n`` rows per input partition to one task
+    (which is what ``orderBy(...).limit(n)`` does): rows are counted per bucket of the hash's top
+    ``HISTOGRAM_BITS`` bits (a table of at most 2^16 rows reaches the driver), the bucket holding the
+    n-th row is located, and only that bucket's rows go through a top-k. All rows of lower buckets
+    are kept whole. The full rows are then filtered against the found (hash, key) value.
     """
     keyed = df.withColumn("__h", hash32(seed, *key_cols))
     order = ["__h", *key_cols]
-    threshold = (keyed.select(*order).orderBy(*order).limit(n)
+    bucket = F.shiftright(F.col("__h"), 32 - HISTOGRAM_BITS)
+    hist = sorted((r[0], r[1]) for r in keyed.groupBy(bucket.alias("__b")).count().collect())
+    if sum(c for _, c in hist) <= n:
+        return keyed.drop("__h")
+    below = 0
+    for b, c in hist:
+        if below + c >= n:
+            break
+        below += c
+    threshold = (keyed.where(bucket == b).select(*order).orderBy(*order).limit(n - below)
                       .agg(F.max(F.struct(*order)).alias("t")).scalar())
-    return keyed.where(F.struct(*order) <= threshold).drop("__h")
+    return keyed.where((bucket < b) | ((bucket == b) & (F.struct(*order) <= threshold))).drop("__h")
 
 
 def split_test(df: DataFrame, seed: int, key_cols: list[str], test_fraction: float = TEST_FRACTION) -> DataFrame:
