@@ -129,17 +129,21 @@ def sparse_long(df, keys, vec):
     return out.select(*keys, F.col("pos").cast("int"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-def flagship_parts(spark, sf_dir, proc=None):
+def flagship_parts(spark, sf_dir, proc=None, topics=True):
+    """(processed, interactions, article vectors, profiles, top categories); ``topics=False`` skips
+    the category lookup and returns None for the top categories."""
     proc = proc if proc is not None else processed(spark, sf_dir)
     inter = FX.interactions(spark, sf_dir)
     # The embedding table is an artifact read by several branches (profiles, topics, scoring):
-    # materialise it once (reliable checkpoint in the shared checkpoint folder) instead of
-    # re-encoding every document in each branch.
+    # materialise it once (Parquet in the shared checkpoint folder) instead of re-encoding every
+    # document in each branch.
     vecs = cut_lineage(article_vectors(spark, sf_dir))
+    profiles = P.user_profiles(inter, vecs, DIM)
+    if not topics:
+        return proc, inter, vecs, profiles, None
     # Likewise the id -> category lookup (the reference re-reads it from the processed-article
     # file): article preparation then runs once, not once per branch that needs a category.
     lookup = cut_lineage(A.category_lookup(proc))
-    profiles = P.user_profiles(inter, vecs, DIM)
     cat_counts = P.user_category_counts(inter, vecs, lookup)
     top = P.user_top_categories(cat_counts)
     return proc, inter, vecs, profiles, top
@@ -226,7 +230,7 @@ def q_bernoulli_thin(spark, sf_dir):
 
 @query("user_category_counts")
 def q_user_category_counts(spark, sf_dir):
-    proc, inter, vecs, _, _ = flagship_parts(spark, sf_dir)
+    proc, inter, vecs, _, _ = flagship_parts(spark, sf_dir, topics=False)
     return P.user_category_counts(inter, vecs, A.category_lookup(proc))
 
 
@@ -486,7 +490,7 @@ def q_precision_recall_graded(spark, sf_dir):
 
 
 def pipeline_counts(spark, sf_dir, proc=None):
-    proc, inter, vecs, profiles, _ = flagship_parts(spark, sf_dir, proc)
+    proc, inter, vecs, profiles, _ = flagship_parts(spark, sf_dir, proc, topics=False)
     return (proc.agg(F.count(F.lit(1)).alias("processed_articles"))
             .select("processed_articles",
                     inter.agg(F.count(F.lit(1))).scalar().alias("interactions"),
