@@ -56,13 +56,22 @@ def category_labels(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:
     return distinct.select(col, (F.row_number().over(w) - 1).cast("int").alias("category_encoded"))
 
 
-def encode_category(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:
-    """Attach the label; the label table has one row per category (AQE broadcasts it when small)."""
-    return df.join(category_labels(df, col), col)
+# Largest label table broadcast to the article rows (one row per distinct category).
+MAX_BROADCAST_LABELS = 1_000_000
+
+
+def encode_category(df: DataFrame, col: str = CATEGORY_COL, max_rows: int | None = None) -> DataFrame:
+    """Attach the label. ``max_rows`` is a proven bound on the rows of ``df`` (the sample cap): the
+    label table has at most that many rows, so within ``MAX_BROADCAST_LABELS`` it is broadcast and
+    the article rows are not shuffled by category (a key with few values)."""
+    labels = category_labels(df, col)
+    if max_rows is not None and max_rows <= MAX_BROADCAST_LABELS:
+        labels = F.broadcast(labels)
+    return df.join(labels, col)
 
 
 def prepare_articles(raw: DataFrame, cap: int = ARTICLE_CAP, seed: int = SEED,
-                     order_col: str = "row_ord") -> DataFrame:
+                     order_col: str = "row_ord", materialize: bool = True) -> DataFrame:
     """Raw article rows -> processed articles (article_id, category, category_encoded, published_at,
     combined_text), in the reference's step order: sample, id, dedupe, combine, drop null category,
     drop blank text, parse date, normalise category, label."""
@@ -77,7 +86,11 @@ def prepare_articles(raw: DataFrame, cap: int = ARTICLE_CAP, seed: int = SEED,
     df = df.where(F.col("combined_text") != "")
     df = df.withColumn(DATE_COL, parse_published_at(DATE_COL)).where(F.col(DATE_COL).isNotNull())
     df = df.withColumn(CATEGORY_COL, normalize_category(CATEGORY_COL))
-    df = encode_category(df)
+    if materialize:
+        # the label table and the rows both read the prepared rows: write them once
+        from ..session import cut_lineage
+        df = cut_lineage(df.select(ID_COL, CATEGORY_COL, DATE_COL, "combined_text"))
+    df = encode_category(df, max_rows=cap)
     return df.select(*PROCESSED_COLS)
 
 
