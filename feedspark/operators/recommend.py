@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import is_likely_article_url
 from ..functions.vectors import cosine
 from . import candidates as C
 from .encoder import Encoder
+from .joins import hot_key_join
 from .ranking import top_n_per_group
 
 NUM_RECOMMENDATIONS = 10
@@ -34,25 +36,60 @@ def rank_candidates(scored: DataFrame, n: int | None = NUM_RECOMMENDATIONS) -> D
         .withColumn("rank", F.col("rank").cast("int"))
 
 
+def hit_candidates(search_results: DataFrame, pages: DataFrame, encoder: Encoder,
+                   total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
+    """Per search hit (query, pos) that can become a candidate: page text, the text to embed, the
+    display description and the vector.
+
+    A candidate's text depends only on its hit (the hit's snippet and its page), never on the user,
+    so page extraction and encoding run once per hit. Only each query's first ``total`` hits can be
+    fetched, which bounds this table by ``total`` rows per distinct query.
+    """
+    hits = search_results.where(F.col("pos") <= total).select("query", "pos", "link", "title", "snippet")
+    usable = hits.where(F.col("link").isNotNull() & (F.col("link") != "") & F.col("title").isNotNull()
+                        & (F.col("title") != "") & is_likely_article_url(F.col("link")))
+    feats = C.page_features(pages, usable.select("link"))
+    with_text = C.with_candidate_text(usable, feats)
+    return embed_candidates(with_text, encoder).select(
+        "query", "pos", "text_for_embedding", "display_description", "cand_vec")
+
+
+def user_candidates(queries: DataFrame, search_results: DataFrame, total: int = C.NUM_SEARCH_RESULTS_TOTAL,
+                    materialize_small: bool = True) -> DataFrame:
+    """(user_id, query_idx, query, pos, link, title, snippet): each user's deduped hits with a title
+    and an article-like link, in the reference's order (dedupe first, then the title check)."""
+    s = search_results.where(F.col("pos") <= total).select("query", "pos", "link", "title", "snippet")
+    j = hot_key_join(queries.select("user_id", "query_idx", "query", "quota"), s, ["query"],
+                     C.MAX_BROADCAST_HITS, ["user_id"], materialize_small=materialize_small)
+    j = j.where(F.col("pos") <= F.col("quota")).drop("quota")
+    d = C.dedupe_hits(j)
+    d = d.where(F.col("title").isNotNull() & (F.col("title") != ""))
+    return d.where(is_likely_article_url(F.col("link")))
+
+
 def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: DataFrame,
               pages: DataFrame, encoder: Encoder, n: int = NUM_RECOMMENDATIONS,
               total_results: int = C.NUM_SEARCH_RESULTS_TOTAL,
               materialize: bool = True) -> DataFrame:
     """(user_id, rank, title, url, snippet, description, content_score) for all profiled users.
 
-    Three tables are read by more than one branch below, so with ``materialize`` each is
-    checkpointed into the shared checkpoint folder once instead of being recomputed per branch:
-    the profile vectors (queries and scoring), the deduped search hits (page extraction is
-    restricted to their links, then joined back) and the usable candidates (distinct texts are
-    encoded once, then attached back). All three hold at most ``total_results`` rows per user.
+    Text work happens per search hit (``hit_candidates``: at most ``total_results`` rows per
+    distinct query), and reaches the users through a size-checked broadcast keyed by
+    (query, pos). Per-user rows never carry page text through a shuffle, and a popular page or
+    query does not become a hot key. With ``materialize`` the tables read by more than one branch
+    (profile vectors, the first hits per query, the per-hit candidates) are written once to the
+    shared checkpoint folder.
     """
     keep = _checkpoint if materialize else (lambda d: d)
     profiles = keep(profiles.select("user_id", "profile_embedding"))
+    first_hits = keep(search_results.where(F.col("pos") <= total_results)
+                      .select("query", "pos", "link", "title", "snippet"))
+    per_hit = keep(hit_candidates(first_hits, pages, encoder, total_results))
     queries = C.with_quota(C.user_queries(profiles.select("user_id"), top_categories), total_results)
-    hits = keep(C.candidate_articles(queries, search_results, total_results))
-    feats = C.page_features(pages, hits.select("link"))
-    cands = keep(C.with_candidate_text(hits, feats))
-    scored = content_scores(embed_candidates(cands, encoder), profiles)
+    cands = user_candidates(queries, first_hits, total_results, materialize_small=not materialize)
+    with_vec = hot_key_join(cands, per_hit, ["query", "pos"], C.MAX_BROADCAST_HITS, ["user_id"],
+                            materialize_small=not materialize)
+    scored = content_scores(with_vec, profiles)
     ranked = rank_candidates(scored, n)
     return ranked.select("user_id", "rank", "title", F.col("link").alias("url"), "snippet",
                          F.col("display_description").alias("description"), "content_score")
