@@ -55,4 +55,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "feedspark-tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # A small table is written as a single file and would come back as one partition; spread it
+    # over the cores (a plain scan, so this check runs no job; a no-op for large tables).
+    from .operators.ranking import spread
+    return spread(spark.read.parquet(path))
