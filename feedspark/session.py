@@ -1,8 +1,6 @@
 """Session construction and lineage cuts."""
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +28,21 @@ def get_spark(app: str = "feedspark", cores: str | int = "*", shuffle_partitions
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    The cluster sets it; only when it is unset (local tests) a folder of our own is chosen.
+    Clusters name it. Where it is unset (local tests) a folder beside the warehouse, which is
+    shared like the warehouse itself, is used and set as the session's checkpoint folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="feedspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    os.makedirs(d, exist_ok=True) if d.startswith("/") else None
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_feedspark_checkpoints"
+    return d.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Return the shared folder and make it the session's checkpoint folder."""
+    d = shared_dir(spark)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
@@ -51,11 +54,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plan is a plain file scan, so later stages get real size statistics (AQE join choice) and
     column pruning. This costs one job; ``DataFrame.checkpoint`` on an uncached plan would
     compute the plan twice (once for the eager count, once more to write the files).
+    The table's files can be removed with ``drop_tables`` once nothing reads them any more.
     """
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "feedspark-tables", uuid.uuid4().hex)
+    path = f"{shared_dir(spark)}/feedspark-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    # A small table is written as a single file and would come back as one partition; spread it
-    # over the cores (a plain scan, so this check runs no job; a no-op for large tables).
-    from .operators.ranking import spread
-    return spread(spark.read.parquet(path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by ``cut_lineage`` that are read no more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        root = f"{shared_dir(spark)}/feedspark-tables/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/feedspark-tables/" in folder and folder.rpartition("/")[2] != "feedspark-tables":
+                p = jvm.org.apache.hadoop.fs.Path(root + folder.rpartition("/")[2])
+                p.getFileSystem(conf).delete(p, True)
