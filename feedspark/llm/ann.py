@@ -13,8 +13,6 @@ not its candidates; an id in several rows is listed once, with its highest score
 """
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +26,6 @@ BOUND = 3.0
 SEED = 20240607
 
 
-@functools.lru_cache(maxsize=4)
 def rotation(dim: int) -> np.ndarray:
     """dim rows of a random orthogonal matrix: rotates a vector padded by zeros to the code's length."""
     bits = code_bits(dim)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from . import common
+from .common import lists, read, slices, texts
 from .tokenizer_files import path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -125,7 +125,7 @@ class WordBpe(SplitBpe):
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The tokens of each list of ids with a space between them, as this tokenizer has no decoder of its own."""
-        return pc.binary_join(common.lists(ids.offsets, self.strings.take(ids.values)), " ")
+        return pc.binary_join(lists(ids.offsets, self.strings.take(ids.values)), " ")
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -134,10 +134,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(file)
-        for batch in common.slices(batches):
-            got = [bpe.encode(t) for t in common.texts(batch.column(1))]
+        for batch in slices(batches):
+            got = [bpe.encode(t) for t in texts(batch.column(1))]
             offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in got])])
-            ids = common.lists(offsets, pa.array(np.frombuffer(b"".join(got), "<i4")))
+            ids = lists(offsets, pa.array(np.frombuffer(b"".join(got), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, bpe.decode(ids)], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -145,7 +145,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    out = encode_decode(common.read(spark, sf_dir, "documents"))
+    out = encode_decode(read(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from .common import crc32_mod, read, slices, texts
 from .sampling import class_sample
 
 BITS, NGRAMS = 12, 3
@@ -140,8 +140,8 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, np.int64), 0
-        for batch in common.slices(batches, 128):
-            df += (gram_counts(common.texts(batch.column(0))) > 0).sum(axis=0)
+        for batch in slices(batches, 128):
+            df += (gram_counts(texts(batch.column(0))) > 0).sum(axis=0)
             n += batch.num_rows
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM), pa.int32()), pa.array(np.append(n, df))], names=["bucket", "n"])
@@ -177,9 +177,9 @@ def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", k
     df = docs.select(F.col(text_col).alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            texts = common.texts(batch.column(0))
-            lang, score, rejected = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)), [True] * len(texts))
+        for batch in slices(batches):
+            part = texts(batch.column(0))
+            lang, score, rejected = model.predict(part) if model else (["und"] * len(part), np.zeros(len(part)), [True] * len(part))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                                              names=[*keep, "lang_pred", "score", "rejected"])
 
@@ -188,10 +188,10 @@ def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", k
 
 
 def held_out():
-    return common.crc32_mod("doc_id", 5) == 0
+    return crc32_mod("doc_id", 5) == 0
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
     model = train(docs, ~held_out())
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -26,7 +26,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from . import common
+from .common import read, slices, texts
 from .tokenizer_files import path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -132,9 +132,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             keys.clear()
             held = 0
 
-        for batch in common.slices(batches):
+        for batch in slices(batches):
             keys.append(batch.column(0))
-            for text in common.texts(batch.column(1)):
+            for text in texts(batch.column(1)):
                 ids.append(np.append(encoder.encode(text), np.uint32(END_ID)).astype("<u4"))
                 held += len(ids[-1])
             if held >= GROUP_TOKENS:
@@ -147,4 +147,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return pack(common.read(spark, sf_dir, "documents")).drop("ids")
+    return pack(read(spark, sf_dir, "documents")).drop("ids")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from .common import crc32_mod, read, slices, texts
 from .sampling import class_sample
 
 WIDTH, STRIDE, SEGMENT, FILTERS, BYTE_DIM = 8, 2, 256, 16, 8
@@ -155,8 +155,8 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
     df = docs.select(F.col(text_col).alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            data = [t.encode("utf-8") for t in common.texts(batch.column(0))]
+        for batch in slices(batches):
+            data = [t.encode("utf-8") for t in texts(batch.column(0))]
             s = model.scores(data) if isinstance(model, Network) else np.full(len(data), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())], names=[*keep, "score"])
 
@@ -165,11 +165,11 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
 
 
 def held_out() :
-    return common.crc32_mod("doc_id", 4) == 2
+    return crc32_mod("doc_id", 4) == 2
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    model = train(docs, common.read(spark, sf_dir, "labels"), ~held_out())
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, read(spark, sf_dir, "labels"), ~held_out())
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score",
                                      F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from . import common
+from .common import read, slices, texts
 from .tokenizer_files import path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -106,9 +106,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, split = ForwardTrie(read_costs(file)), regex.compile(PATTERN)
-        for batch in common.slices(batches):
+        for batch in slices(batches):
             n_words, n_tokens = [], []
-            for text in common.texts(batch.column(1)):
+            for text in texts(batch.column(1)):
                 if len(trie.best) > MAX_NODES:
                     trie.reset()
                 words = split.findall(text)
@@ -125,4 +125,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(common.read(spark, sf_dir, "documents"))
+    return count_tokens(read(spark, sf_dir, "documents"))
