@@ -171,20 +171,32 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     return fit([r[2] for r in got], [r[0] for r in got], idf) if got else None
 
 
-def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", keep: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Columns ``keep`` (the id alone by default), ``lang_pred``, ``score`` and ``rejected`` of every row."""
-    keep = keep or [id_col]
-    df = docs.select(F.col(text_col).alias("__text"), *keep)
+def predictions(model: Centroids | None, part: list[str]) -> tuple[list[str], np.ndarray, list[bool]]:
+    return model.predict(part) if model else (["und"] * len(part), np.zeros(len(part)), [True] * len(part))
+
+
+def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, lang_pred, score, rejected) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lang, score, rejected = predictions(model, texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
+                                             names=[id_col, "lang_pred", "score", "rejected"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: Centroids | None, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are not rejected."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            part = texts(batch.column(0))
-            lang, score, rejected = model.predict(part) if model else (["und"] * len(part), np.zeros(len(part)), [True] * len(part))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                                             names=[*keep, "lang_pred", "score", "rejected"])
+            yield batch.filter(pa.array([not r for r in predictions(model, texts(batch.column(at)))[2]], pa.bool_()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out():

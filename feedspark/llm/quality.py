@@ -149,22 +149,34 @@ def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", tex
     return fit([(r["__text"] or "").encode("utf-8") for r in rows], y, w / w.mean())
 
 
-def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (the id alone by default) and ``score`` of every row."""
-    keep = keep or [id_col]
-    df = docs.select(F.col(text_col).alias("__text"), *keep)
+def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data = [t.encode("utf-8") for t in texts(batch.column(0))]
-            s = model.scores(data) if isinstance(model, Network) else np.full(len(data), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())], names=[*keep, "score"])
+            s = scores(model, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=[id_col, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    return df.mapInArrow(run, f"{schema}, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
-def held_out() :
+def scores(model: Network | float, column: pa.Array) -> np.ndarray:
+    data = [t.encode("utf-8") for t in texts(column)]
+    return model.scores(data) if isinstance(model, Network) else np.full(len(data), model)
+
+
+def keep_good(docs: DataFrame, model: Network | float, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(scores(model, batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def held_out():
     return crc32_mod("doc_id", 4) == 2
 
 

@@ -59,14 +59,17 @@ def bloom(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return made.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), n_blocks
 
 
-def possible_hits(probes: DataFrame, filter_: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows of ``probes`` whose ``key`` may be listed."""
+def possible_hits(probes: DataFrame, filter_: DataFrame, n_blocks: int, others: bool = False) -> DataFrame:
+    """Rows of ``probes`` whose ``key`` may be listed; with ``others`` all rows, and whether it may in ``__hit``."""
     hit = None
     for i, b in enumerate(_bits(F.col("key"))):
         c = F.col(f"w{i}").bitwiseAND(b) != 0
         hit = c if hit is None else hit & c
     # at most MAX_BLOCKS rows of nine numbers
-    return probes.withColumn("block", _block(F.col("key"), n_blocks)).join(F.broadcast(filter_), "block").where(hit).select(probes.columns)
+    met = probes.withColumn("block", _block(F.col("key"), n_blocks)).join(F.broadcast(filter_), "block", "left" if others else "inner")
+    if others:
+        return met.withColumn("__hit", F.coalesce(hit, F.lit(False))).select(*probes.columns, "__hit")
+    return met.where(hit).select(probes.columns)
 
 
 def page_keys(urls: DataFrame, lengths: list[int]) -> DataFrame:
