@@ -35,9 +35,10 @@ SNIPPET_WEIGHT = 0.5
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded by zeros to whole segments (WIDTH - 1 at least), and each text's number of segments."""
-    n = np.array([-(-(len(t) + WIDTH - 1) // SEGMENT) for t in texts], np.int64)
-    data = b"".join(t.ljust(int(k) * SEGMENT, b"\0") for t, k in zip(texts, n)) + bytes(WIDTH)
+    """All bytes, each text behind WIDTH zeros (so that no chunk holds bytes of two texts) and padded by zeros to whole
+    segments, and each text's number of segments."""
+    n = np.array([-(-(len(t) + WIDTH) // SEGMENT) for t in texts], np.int64)
+    data = b"".join((bytes(WIDTH) + t).ljust(int(k) * SEGMENT, b"\0") for t, k in zip(texts, n)) + bytes(WIDTH)
     return np.frombuffer(data, np.uint8), n
 
 
