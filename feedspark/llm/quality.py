@@ -31,7 +31,7 @@ WIDTH, STRIDE, SEGMENT, FILTERS, BYTE_DIM = 8, 2, 256, 16, 8
 SAMPLE_PER_CLASS, BATCH, EPOCHS, RATE, DECAY = 1500, 48, 14, 0.01, 1e-4
 THRESHOLD, SEED = 0.7, 11
 #: Weight of a short run of words cut from a labelled text, against the text itself.
-SNIPPET_WEIGHT = 0.5
+SNIPPET_WEIGHT = 1.0
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
