@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import combine_text, normalize_category, parse_published_at
-from .ranking import first_per_key, global_row_number, spread  # noqa: F401
-from .sampling import ARTICLE_CAP, SEED, sample_rows
+from ..session import cut_lineage
+from .ranking import first_per_key
+from .sampling import SEED, sample_rows
 
 TEXT_COLS = ("title", "description", "content")
 ID_COL = "article_id"
@@ -16,10 +17,12 @@ PROCESSED_COLS = (ID_COL, CATEGORY_COL, "category_encoded", DATE_COL, "combined_
 
 
 def with_row_order(df: DataFrame, order_col: str = "row_ord") -> DataFrame:
-    """Input order column; synthesised from the scan position when absent."""
+    """Input order column; where absent, a hash of the row's content, which does not change with the
+    layout of the files (rows that are equal in every column count as one)."""
     if order_col in df.columns:
         return df
-    return df.withColumn(order_col, F.monotonically_increasing_id())
+    whole = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    return df.withColumn(order_col, F.xxhash64(whole)).dropDuplicates([order_col])
 
 
 def with_article_id(df: DataFrame, order_col: str = "row_ord") -> DataFrame:
@@ -56,27 +59,20 @@ def category_labels(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:
     return distinct.select(col, (F.row_number().over(w) - 1).cast("int").alias("category_encoded"))
 
 
-# Largest label table broadcast to the article rows (one row per distinct category).
-MAX_BROADCAST_LABELS = 1_000_000
+def encode_category(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:
+    """Attach the label. The label table's real size is known when the join runs: adaptive execution
+    broadcasts it when it is small and splits a hot category otherwise."""
+    return df.join(category_labels(df, col), col)
 
 
-def encode_category(df: DataFrame, col: str = CATEGORY_COL, max_rows: int | None = None) -> DataFrame:
-    """Attach the label. ``max_rows`` is a proven bound on the rows of ``df`` (the sample cap): the
-    label table has at most that many rows, so within ``MAX_BROADCAST_LABELS`` it is broadcast and
-    the article rows are not shuffled by category (a key with few values)."""
-    labels = category_labels(df, col)
-    if max_rows is not None and max_rows <= MAX_BROADCAST_LABELS:
-        labels = F.broadcast(labels)
-    return df.join(labels, col)
-
-
-def prepare_articles(raw: DataFrame, cap: int = ARTICLE_CAP, seed: int = SEED,
+def prepare_articles(raw: DataFrame, cap: int | None = None, seed: int = SEED,
                      order_col: str = "row_ord", materialize: bool = True) -> DataFrame:
     """Raw article rows -> processed articles (article_id, category, category_encoded, published_at,
-    combined_text), in the reference's step order: sample, id, dedupe, combine, drop null category,
+    combined_text), in the reference's step order: sample (only with a ``cap``), id, dedupe, combine, drop null category,
     drop blank text, parse date, normalise category, label."""
     df = with_missing_text_cols(with_row_order(raw, order_col))
-    df = sample_rows(df, cap, seed, [order_col])
+    if cap is not None:
+        df = sample_rows(df, cap, seed, [order_col])
     df = with_article_id(df, order_col).where(F.col(ID_COL).isNotNull())
     df = dedupe_articles(df.select(ID_COL, *TEXT_COLS, CATEGORY_COL, DATE_COL, order_col), order_col)
     df = with_combined_text(df)
@@ -88,9 +84,8 @@ def prepare_articles(raw: DataFrame, cap: int = ARTICLE_CAP, seed: int = SEED,
     df = df.withColumn(CATEGORY_COL, normalize_category(CATEGORY_COL))
     if materialize:
         # the label table and the rows both read the prepared rows: write them once
-        from ..session import cut_lineage
         df = cut_lineage(df.select(ID_COL, CATEGORY_COL, DATE_COL, "combined_text"))
-    df = encode_category(df, max_rows=cap)
+    df = encode_category(df)
     return df.select(*PROCESSED_COLS)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.urls import is_likely_article_url
-from .joins import hot_key_join
 from .ranking import first_per_key
 
 # The online phase's search parameters.
@@ -15,10 +14,7 @@ NUM_SEARCH_RESULTS_TOTAL = 20
 DEFAULT_QUERY = "top breaking news"
 QUERY_PREFIX = "latest news "
 MIN_TEXT_CHARS = 30
-MAX_EMBED_CHARS = 1000
 FULLTEXT_OVER_SNIPPET = 1.5
-# Largest search side broadcast to the user queries (rows of query, pos, link, title, snippet).
-MAX_BROADCAST_HITS = 100_000
 
 
 def user_queries(users: DataFrame, top_categories: DataFrame) -> DataFrame:
@@ -41,19 +37,17 @@ def with_quota(queries: DataFrame, total: int = NUM_SEARCH_RESULTS_TOTAL) -> Dat
     return queries.withColumn("quota", quota.cast("int"))
 
 
-def search_hits(queries: DataFrame, search_results: DataFrame, total: int = NUM_SEARCH_RESULTS_TOTAL,
-                max_broadcast_hits: int = MAX_BROADCAST_HITS) -> DataFrame:
+def search_hits(queries: DataFrame, search_results: DataFrame, total: int = NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
     """Each query's first ``quota`` results (the pages a paged search would fetch):
     (user_id, query_idx, pos, link, title, snippet).
 
     No quota exceeds ``total``, so only the first ``total`` results of each query can match: that
     bounds the search side to ``total`` rows per distinct query. Many users share a query (a third
-    of them may be on the default one), so the search side is broadcast after a size check and
-    the user side is not shuffled by query; beyond the bound the join is salted on the user.
+    of them may be on the default one): adaptive execution broadcasts the search side when its real
+    size allows and splits the hot query's users over tasks otherwise.
     """
     s = search_results.where(F.col("pos") <= total).select("query", "pos", "link", "title", "snippet")
-    j = hot_key_join(queries.select("user_id", "query_idx", "query", "quota"), s, ["query"],
-                     max_broadcast_hits, ["user_id"])
+    j = queries.select("user_id", "query_idx", "query", "quota").join(s, "query")
     return j.where(F.col("pos") <= F.col("quota")).select("user_id", "query_idx", "pos", "link", "title", "snippet")
 
 
@@ -91,22 +85,18 @@ def embedding_text(full_text, snippet):
 
 def display_description(description, full_text, snippet):
     return F.coalesce(F.nullif(description, F.lit("")),
-                      F.when(full_text != "", F.concat(F.substring(full_text, 1, 250), F.lit("..."))),
+                      F.when(full_text != "", F.concat(F.substring(full_text, 1, H.FULLTEXT_DESCRIPTION_CHARS), F.lit(H.ELLIPSIS))),
                       snippet)
 
 
-def with_candidate_text(cands: DataFrame, features: DataFrame) -> DataFrame:
-    """Attach page text, choose the text to embed and the display description, drop candidates with
-    under 30 characters of text, cut the text to 1000 characters."""
-    j = cands.join(features.withColumnRenamed("url", "link"), "link", "left")
-    j = j.withColumn("text_for_embedding", embedding_text(F.col("full_text"), F.col("snippet"))) \
-         .withColumn("display_description", display_description(F.col("description"), F.col("full_text"),
-                                                                 F.col("snippet")))
-    j = j.where(F.col("text_for_embedding").isNotNull() & (F.length("text_for_embedding") >= MIN_TEXT_CHARS))
-    return j.withColumn("text_for_embedding", F.substring("text_for_embedding", 1, MAX_EMBED_CHARS))
+def with_candidate_text(hits: DataFrame, features: DataFrame) -> DataFrame:
+    """Attach page text, choose the text to embed and the display description."""
+    j = hits.join(features.withColumnRenamed("url", "link"), "link", "left")
+    return (j.withColumn("text_for_embedding", embedding_text(F.col("full_text"), F.col("snippet")))
+             .withColumn("display_description", display_description(F.col("description"), F.col("full_text"), F.col("snippet"))))
 
 
-def usable_candidates(queries: DataFrame, search_results: DataFrame, pages: DataFrame) -> DataFrame:
-    cands = candidate_articles(queries, search_results)
-    feats = page_features(pages, cands.select("link"))
-    return with_candidate_text(cands, feats)
+def with_enough_text(cands: DataFrame) -> DataFrame:
+    """Drop candidates with under 30 characters of text (whole texts are embedded; an encoder with a
+    length limit applies it itself)."""
+    return cands.where(F.col("text_for_embedding").isNotNull() & (F.length("text_for_embedding") >= MIN_TEXT_CHARS))

@@ -1,40 +1,21 @@
-"""Interaction tables: preference matching (simulated likes) and the interaction artifact."""
+"""Operators on the given interactions table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import hot_key_join
-from .sampling import ARTICLE_CAP, LIKE_PROBABILITY, SEED, bernoulli_thin
-
 INTERACTION_COLS = ("user_id", "item_id", "rating", "timestamp")
 
 
-def preference_match(processed: DataFrame, preferences: DataFrame,
-                     max_broadcast_articles: int = ARTICLE_CAP) -> DataFrame:
-    """Every (user, article) whose article category is one of the user's preferences (case-insensitive),
-    rating 1.0, timestamp = published_at.
+def preference_match(interactions: DataFrame, processed: DataFrame, preferences: DataFrame) -> DataFrame:
+    """Interactions with an article whose category is one of the user's preferences (case-insensitive).
 
-    The per-user preference list is exploded to distinct (user, category) pairs, so the match is an
-    equi-join on category: a key with few values, one of which may hold most articles and users.
-    Processed articles are capped (``ARTICLE_CAP``), so the article side is checked against that
-    bound and broadcast; the preference rows then stay where they are. Beyond the bound the join
-    is salted on the user (``hot_key_join``).
+    The item's category is joined by item id, and the pair (user, category) semi-joined with the exploded
+    preferences: the output never exceeds the given interactions.
     """
     prefs = (preferences.select("user_id", F.explode("preferences").alias("pref"))
              .select("user_id", F.lower("pref").alias("category")).distinct())
     arts = processed.where(F.col("category").isNotNull()).select(
-        F.lower("category").alias("category"), F.col("article_id").alias("item_id"),
-        F.col("published_at").alias("timestamp"))
-    return (hot_key_join(prefs, arts, ["category"], max_broadcast_articles, ["user_id"])
-            .select("user_id", "item_id", F.lit(1.0).alias("rating"), "timestamp"))
-
-
-def simulate_likes(processed: DataFrame, preferences: DataFrame, p: float = LIKE_PROBABILITY,
-                   seed: int = SEED) -> DataFrame:
-    """Preference matches kept with probability p (hash of user and item): the like table."""
-    return bernoulli_thin(preference_match(processed, preferences), p, seed, ["user_id", "item_id"])
-
-
-def empty_interactions(spark) -> DataFrame:
-    return spark.createDataFrame([], "user_id string, item_id string, rating double, timestamp timestamp_ntz")
+        F.col("article_id").alias("item_id"), F.lower("category").alias("category"))
+    return (interactions.join(arts, "item_id").join(prefs, ["user_id", "category"], "left_semi")
+            .select(*INTERACTION_COLS))

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row index in partition
 
 
@@ -16,16 +18,16 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
     a total order (end with a unique key) so the numbering is deterministic. ``total_col`` adds the
     total row count, taken from the same per-partition count table (no extra pass).
 
-    The range partitioner samples its input in a separate job, so pass a cheap or materialised
-    input (a table, a checkpoint), not an expensive lazy computation.
+    The numbered rows are written once and both the counts and the result read that table: a plan
+    that held the range exchange twice could sample different bounds for each and number rows wrongly.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    local = (df.repartitionByRange(n, *order_cols)
-               .sortWithinPartitions(*order_cols)
-               .withColumn("__mid", F.monotonically_increasing_id())
-               .withColumn("__pid", F.shiftright(F.col("__mid"), _LOCAL_BITS))
-               .withColumn("__lrn", F.col("__mid").bitwiseAND((1 << _LOCAL_BITS) - 1) + 1))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = cut_lineage(df.repartitionByRange(n, *order_cols)
+                          .sortWithinPartitions(*order_cols)
+                          .withColumn("__mid", F.monotonically_increasing_id())
+                          .withColumn("__pid", F.shiftright(F.col("__mid"), _LOCAL_BITS))
+                          .withColumn("__lrn", F.col("__mid").bitwiseAND((1 << _LOCAL_BITS) - 1) + 1)
+                          .drop("__mid"))
     counts = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     # One row per partition: a global window here is over at most n rows.
     offsets = counts.select("__pid", F.coalesce(
@@ -33,20 +35,20 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
         F.lit(0)).alias("__off"), F.sum("__cnt").over(Window.partitionBy()).alias("__total"))
     out = (local.join(F.broadcast(offsets), "__pid")
                 .withColumn(name, (F.col("__off") + F.col("__lrn")).cast("bigint"))
-                .drop("__mid", "__pid", "__lrn", "__off"))
+                .drop("__pid", "__lrn", "__off"))
     return out.withColumnRenamed("__total", total_col) if total_col else out.drop("__total")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Keep one row per key: the one with the smallest ``order`` (a total order within the key).
 
-    Aggregates ``min_by(struct(row), struct(order))`` so every map task keeps only its best row per
-    key before the shuffle: a key holding a third of all rows costs one row per map task.
+    The smallest order of each key is a hash aggregate over the narrow key and order columns (a hot
+    key costs one row per map task); the wide rows meet it in a semi-join on key and order, whose
+    hot keys can be split.
     """
-    cols = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), ordering).alias("__row"))
-    return agg.select(*keys, *[F.col("__row." + c).alias(c) for c in cols])
+    best = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
+    best = best.select(*keys, *[F.col("__first")[c].alias(c) for c in order])
+    return df.join(best, [*keys, *order], "left_semi")
 
 
 def top_n_per_group(df: DataFrame, partition: list[str], order: list[Column], n: int,
@@ -54,20 +56,3 @@ def top_n_per_group(df: DataFrame, partition: list[str], order: list[Column], n:
     """row_number within each group, keep rank <= n (planned as a WindowGroupLimit)."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
-
-
-def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition on ``keys`` when a scan yields fewer partitions than the cluster can run.
-
-    Text-heavy row work (tokenising, HTML regexes) then uses every core, and a later grouping on the
-    same keys reuses this partitioning. When the input already has enough splits (the normal case
-    on a large cluster) the DataFrame is returned unchanged, so no raw data is shuffled.
-    """
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the layout alone
-        return df
-    return df.repartition(target, *[F.col(k) for k in keys]) if keys else df.repartition(target)

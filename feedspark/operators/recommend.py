@@ -7,21 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import is_likely_article_url
 from ..functions.vectors import cosine
+from ..session import cut_lineage
 from . import candidates as C
 from .encoder import Encoder
-from .joins import hot_key_join
 from .ranking import top_n_per_group
 
 NUM_RECOMMENDATIONS = 10
 
 
-def embed_candidates(cands: DataFrame, encoder: Encoder, out_col: str = "cand_vec") -> DataFrame:
-    """Encode each distinct candidate text once and attach the vector."""
-    texts = cands.select("text_for_embedding").distinct()
-    vecs = encoder.encode(texts, ["text_for_embedding"], "text_for_embedding", out_col)
-    return cands.join(vecs, "text_for_embedding")
-
-
 def content_scores(cands_with_vec: DataFrame, profiles: DataFrame) -> DataFrame:
     """Cosine of each candidate to its user's profile (a zero profile scores 0)."""
     j = cands_with_vec.join(profiles.select("user_id", "profile_embedding"), "user_id")
@@ -36,31 +29,42 @@ def rank_candidates(scored: DataFrame, n: int | None = NUM_RECOMMENDATIONS) -> D
         .withColumn("rank", F.col("rank").cast("int"))
 
 
-def hit_candidates(search_results: DataFrame, pages: DataFrame, encoder: Encoder,
-                   total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
-    """Per search hit (query, pos) that can become a candidate: page text, the text to embed, the
-    display description and the vector.
+def hit_texts(search_results: DataFrame, pages: DataFrame, total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
+    """(query, pos, text_for_embedding, display_description) of every search hit that can become a candidate.
 
-    A candidate's text depends only on its hit (the hit's snippet and its page), never on the user,
-    so page extraction and encoding run once per hit. Only each query's first ``total`` hits can be
-    fetched, which bounds this table by ``total`` rows per distinct query.
+    A candidate's text depends only on its hit (the hit's snippet and its page), never on the user, so
+    pages are read once per hit. Only each query's first ``total`` hits can be fetched, which bounds
+    this table by ``total`` rows per distinct query.
     """
     hits = search_results.where(F.col("pos") <= total).select("query", "pos", "link", "title", "snippet")
     usable = hits.where(F.col("link").isNotNull() & (F.col("link") != "") & F.col("title").isNotNull()
                         & (F.col("title") != "") & is_likely_article_url(F.col("link")))
-    feats = C.page_features(pages, usable.select("link"))
-    with_text = C.with_candidate_text(usable, feats)
-    return embed_candidates(with_text, encoder).select(
-        "query", "pos", "text_for_embedding", "display_description", "cand_vec")
+    return C.with_candidate_text(usable, C.page_features(pages, usable.select("link"))).select(
+        "query", "pos", "text_for_embedding", "display_description")
+
+
+def hit_candidates(search_results: DataFrame, pages: DataFrame, encoder: Encoder,
+                   total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
+    """``hit_texts`` with enough text, and the vector of each, encoded by (query, pos); a hit that the
+    encoder gave no vector has a null one (``require_vectors``)."""
+    texts = C.with_enough_text(hit_texts(search_results, pages, total))
+    vecs = encoder.encode(texts.select("query", "pos", "text_for_embedding"), ["query", "pos"], "text_for_embedding", "cand_vec")
+    return texts.join(vecs, ["query", "pos"], "left")
+
 
+def require_vectors(per_hit: DataFrame) -> DataFrame:
+    """Output check: every usable hit has a vector; else the encoder lost rows and the run stops."""
+    lost = per_hit.where(F.col("cand_vec").isNull()).count()
+    if lost:
+        raise ValueError(f"the encoder returned no vector for {lost} search hits")
+    return per_hit
 
-def user_candidates(queries: DataFrame, search_results: DataFrame, total: int = C.NUM_SEARCH_RESULTS_TOTAL,
-                    materialize_small: bool = True) -> DataFrame:
+
+def user_candidates(queries: DataFrame, search_results: DataFrame, total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
     """(user_id, query_idx, query, pos, link, title, snippet): each user's deduped hits with a title
     and an article-like link, in the reference's order (dedupe first, then the title check)."""
     s = search_results.where(F.col("pos") <= total).select("query", "pos", "link", "title", "snippet")
-    j = hot_key_join(queries.select("user_id", "query_idx", "query", "quota"), s, ["query"],
-                     C.MAX_BROADCAST_HITS, ["user_id"], materialize_small=materialize_small)
+    j = queries.select("user_id", "query_idx", "query", "quota").join(s, "query")
     j = j.where(F.col("pos") <= F.col("quota")).drop("quota")
     d = C.dedupe_hits(j)
     d = d.where(F.col("title").isNotNull() & (F.col("title") != ""))
@@ -68,39 +72,28 @@ def user_candidates(queries: DataFrame, search_results: DataFrame, total: int =
 
 
 def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: DataFrame,
-              pages: DataFrame, encoder: Encoder, n: int = NUM_RECOMMENDATIONS,
+              pages: DataFrame, encoder: Encoder, n: int | None = NUM_RECOMMENDATIONS,
               total_results: int = C.NUM_SEARCH_RESULTS_TOTAL,
               materialize: bool = True) -> DataFrame:
-    """(user_id, rank, title, url, snippet, description, content_score) for all profiled users.
+    """(user_id, rank, title, url, snippet, description, content_score) for all profiled users; all
+    ranks with ``n=None``.
 
     Text work happens per search hit (``hit_candidates``: at most ``total_results`` rows per
-    distinct query), and reaches the users through a size-checked broadcast keyed by
-    (query, pos). Per-user rows never carry page text through a shuffle, and a popular page or
-    query does not become a hot key. With ``materialize`` the tables read by more than one branch
-    (profile vectors, the first hits per query, the per-hit candidates) are written once to the
-    shared checkpoint folder.
+    distinct query) and reaches the users through a join on (query, pos), whose small side adaptive
+    execution broadcasts when its real size allows. Per-user rows never carry page text through a
+    shuffle. With ``materialize`` the tables read by more than one branch (profile vectors, the
+    first hits per query, the per-hit candidates) are written once to the shared checkpoint folder,
+    and the number of vectors is checked.
     """
-    keep = _checkpoint if materialize else (lambda d: d)
+    keep = cut_lineage if materialize else (lambda d: d)
     profiles = keep(profiles.select("user_id", "profile_embedding"))
     first_hits = keep(search_results.where(F.col("pos") <= total_results)
                       .select("query", "pos", "link", "title", "snippet"))
     per_hit = keep(hit_candidates(first_hits, pages, encoder, total_results))
+    if materialize:
+        require_vectors(per_hit)
     queries = C.with_quota(C.user_queries(profiles.select("user_id"), top_categories), total_results)
-    cands = user_candidates(queries, first_hits, total_results, materialize_small=not materialize)
-    with_vec = hot_key_join(cands, per_hit, ["query", "pos"], C.MAX_BROADCAST_HITS, ["user_id"],
-                            materialize_small=not materialize)
-    scored = content_scores(with_vec, profiles)
-    ranked = rank_candidates(scored, n)
+    with_vec = user_candidates(queries, first_hits, total_results).join(per_hit, ["query", "pos"])
+    ranked = rank_candidates(content_scores(with_vec, profiles), n)
     return ranked.select("user_id", "rank", "title", F.col("link").alias("url"), "snippet",
                          F.col("display_description").alias("description"), "content_score")
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    from ..session import cut_lineage
-    return cut_lineage(df)
-
-
-def unembedded_candidates(cands: DataFrame, cands_with_vec: DataFrame) -> DataFrame:
-    """Output check: candidates that did not get a vector (must be empty; a non-empty result means
-    the encoder dropped rows and the run should stop, as the reference does on a count mismatch)."""
-    return cands.join(cands_with_vec.select("user_id", "link"), ["user_id", "link"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import TWO_POW_32, hash32
 
 # The reference's sampling parameters.
-ARTICLE_CAP = 20000
+# Rows of the reference's evaluation sample (used by the sampled exact silhouette alone).
 CLUSTER_EVAL_CAP = 3000
 SEED = 42
 TEST_FRACTION = 0.2

@@ -90,16 +90,12 @@ FROM (SELECT DISTINCT user_id, CAST(n_liked AS BIGINT) AS n_liked FROM pmean_e)
 JOIN (SELECT user_id, sum(value) AS s FROM punit_e GROUP BY 1) u USING (user_id)
 LEFT JOIN user_prefs pr USING (user_id)""")
 
-S.cte("pref_match", ("processed", "user_prefs_long"), """
-SELECT DISTINCT_PAIRS.user_id, p.article_id AS item_id, CAST(1.0 AS DOUBLE) AS rating, p.published_at AS timestamp
-FROM processed p
-JOIN (SELECT DISTINCT user_id, lower(lang) AS category FROM user_prefs_long) DISTINCT_PAIRS
-  ON lower(p.category) = DISTINCT_PAIRS.category""")
+oracle("preference_match", ["interactions", "processed", "user_prefs_long"], """
+SELECT i.user_id, i.item_id, i.rating, i.timestamp FROM interactions i JOIN processed p ON p.article_id = i.item_id
+WHERE EXISTS (SELECT 1 FROM user_prefs_long u WHERE u.user_id = i.user_id AND lower(u.lang) = lower(p.category))""")
 
-oracle("preference_match", ["pref_match"], "SELECT * FROM pref_match")
-
-oracle("bernoulli_thin", ["pref_match"], f"""
-SELECT * FROM pref_match WHERE {S.hash32("'42'", 'user_id', 'item_id')} < {int(0.7 * 4294967296.0)}""")
+oracle("bernoulli_thin", ["interactions"], f"""
+SELECT * FROM interactions WHERE {S.hash32("'42'", 'user_id', 'item_id')} < {int(0.7 * 4294967296.0)}""")
 
 oracle("user_category_counts", ["cat_counts"], "SELECT user_id, category, n FROM cat_counts")
 oracle("user_top_categories", ["top_cats"], "SELECT user_id, topic_rank, category, n FROM top_cats")

@@ -220,12 +220,12 @@ def q_user_profiles(spark, sf_dir):
 
 @query("preference_match")
 def q_preference_match(spark, sf_dir):
-    return I.preference_match(processed(spark, sf_dir), FX.user_preferences(spark, sf_dir))
+    return I.preference_match(FX.interactions(spark, sf_dir), processed(spark, sf_dir), FX.user_preferences(spark, sf_dir))
 
 
 @query("bernoulli_thin")
 def q_bernoulli_thin(spark, sf_dir):
-    return I.simulate_likes(processed(spark, sf_dir), FX.user_preferences(spark, sf_dir))
+    return bernoulli_thin(FX.interactions(spark, sf_dir), LIKE_PROBABILITY, SEED, ["user_id", "item_id"])
 
 
 @query("user_category_counts")
@@ -283,58 +283,49 @@ def q_page_full_text(spark, sf_dir):
     return p.select("url", H.page_full_text(F.col("clean")).alias("full_text"))
 
 
-def _usable(spark, sf_dir):
-    return C.usable_candidates(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir),
-                               FX.pages(spark, sf_dir))
+def _hits_and_candidates(spark, sf_dir):
+    """(users' candidates, texts of the hits they come from); both keyed by (query, pos)."""
+    found = FX.search_results(spark, sf_dir)
+    return R.user_candidates(flagship_queries(spark, sf_dir), found), R.hit_texts(found, FX.pages(spark, sf_dir))
 
 
 @query("embedding_text")
 def q_embedding_text(spark, sf_dir):
-    cands = C.candidate_articles(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir))
-    feats = C.page_features(FX.pages(spark, sf_dir), cands.select("link"))
-    j = cands.join(feats.withColumnRenamed("url", "link"), "link", "left")
-    return j.select("user_id", "link", C.embedding_text(F.col("full_text"), F.col("snippet")).alias("text_for_embedding"))
+    cands, texts = _hits_and_candidates(spark, sf_dir)
+    return cands.join(texts, ["query", "pos"]).select("user_id", "link", "text_for_embedding")
 
 
 @query("display_description")
 def q_display_description(spark, sf_dir):
-    cands = C.candidate_articles(flagship_queries(spark, sf_dir), FX.search_results(spark, sf_dir))
-    feats = C.page_features(FX.pages(spark, sf_dir), cands.select("link"))
-    j = cands.join(feats.withColumnRenamed("url", "link"), "link", "left")
-    return j.select("user_id", "link", C.display_description(F.col("description"), F.col("full_text"),
-                                                             F.col("snippet")).alias("display_description"))
+    cands, texts = _hits_and_candidates(spark, sf_dir)
+    return cands.join(texts, ["query", "pos"]).select("user_id", "link", "display_description")
 
 
 @query("usable_candidates")
 def q_usable_candidates(spark, sf_dir):
-    return _usable(spark, sf_dir).select("user_id", "link", "query_idx", "pos", "text_for_embedding",
-                                         "display_description")
+    cands, texts = _hits_and_candidates(spark, sf_dir)
+    return cands.join(C.with_enough_text(texts), ["query", "pos"]).select(
+        "user_id", "link", "query_idx", "pos", "text_for_embedding", "display_description")
 
 
 @query("embed_candidates")
 def q_embed_candidates(spark, sf_dir):
-    u = _usable(spark, sf_dir).select("link", "text_for_embedding").distinct()
-    v = encoder().encode(u, ["link", "text_for_embedding"], "text_for_embedding", "cand_vec")
-    return sparse_long(v, ["link"], "cand_vec")
-
-
-def _scored(spark, sf_dir):
-    _, _, _, profiles, top = flagship_parts(spark, sf_dir)
-    queries = C.with_quota(C.user_queries(profiles.select("user_id"), top))
-    cands = C.usable_candidates(queries, FX.search_results(spark, sf_dir), FX.pages(spark, sf_dir))
-    return R.content_scores(R.embed_candidates(cands, encoder()), profiles)
+    found = FX.search_results(spark, sf_dir)
+    cands = R.user_candidates(flagship_queries(spark, sf_dir), found).select("query", "pos", "link").distinct()
+    vecs = R.hit_candidates(found, FX.pages(spark, sf_dir), encoder())
+    return sparse_long(cands.join(vecs, ["query", "pos"]), ["link"], "cand_vec").distinct()
 
 
 @query("content_scores")
 def q_content_scores(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    return s.select("user_id", "link", F.round("content_score", 5).alias("content_score"))
+    return recommendations(spark, sf_dir, None).select("user_id", F.col("url").alias("link"),
+                                                       F.round("content_score", 5).alias("content_score"))
 
 
 @query("ranked_candidates")
 def q_ranked_candidates(spark, sf_dir):
-    r = R.rank_candidates(_scored(spark, sf_dir), None)
-    return r.select("user_id", "rank", "link", F.round("content_score", 5).alias("content_score"))
+    return recommendations(spark, sf_dir, None).select("user_id", "rank", F.col("url").alias("link"),
+                                                       F.round("content_score", 5).alias("content_score"))
 
 
 def recommendations(spark, sf_dir, n=R.NUM_RECOMMENDATIONS):
@@ -357,32 +348,35 @@ def q_recommendations_unknown_user(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ wave 5-7: evaluation, CF, report, I/O
-import os  # noqa: E402
 import uuid  # noqa: E402
 
 from ..operators import cf as CF  # noqa: E402
 from ..operators import cluster_eval as CE  # noqa: E402
 from ..operators import contrastive as CT  # noqa: E402
 from ..operators import report as RP  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..session import shared_dir  # noqa: E402
 from ..sources import articles_csv as CSV  # noqa: E402
 from ..sources import artifacts as AR  # noqa: E402
 
 
 def scratch_dir(spark, name):
     """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
-    return os.path.join(ensure_checkpoint_dir(spark), "feedspark-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark)}/feedspark-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def labelled(spark, sf_dir):
     return FX.article_embeddings(spark, sf_dir)
 
 
-def eval_assignments(spark, sf_dir, cap=CE.CLUSTER_EVAL_CAP):
-    """Nearest-class-centroid clusters on the capped evaluation sample of the labelled vectors."""
-    emb = labelled(spark, sf_dir)
-    keys = CE.eval_sample(emb, "article_id", cap)
-    return CE.nearest_centroid(emb.join(keys, "article_id", "left_semi"))
+def eval_assignments(spark, sf_dir):
+    """Nearest-class-centroid clusters of all labelled vectors."""
+    return CE.nearest_centroid(labelled(spark, sf_dir), dim=DIM)
+
+
+def sampled_assignments(spark, sf_dir, assign=None):
+    """The reference's evaluation sample of the assignments (its exact silhouette is quadratic), written once."""
+    assign = assign if assign is not None else eval_assignments(spark, sf_dir)
+    return cut_lineage(assign.join(CE.eval_sample(assign, "article_id"), "article_id", "left_semi"))
 
 
 @query("cluster_eval_sample")
@@ -393,7 +387,7 @@ def q_cluster_eval_sample(spark, sf_dir):
 
 @query("nearest_centroid")
 def q_nearest_centroid(spark, sf_dir):
-    return CE.nearest_centroid(labelled(spark, sf_dir)).select("article_id", "label", "cluster")
+    return CE.nearest_centroid(labelled(spark, sf_dir), dim=DIM).select("article_id", "label", "cluster")
 
 
 @query("adjusted_rand")
@@ -408,7 +402,7 @@ def q_nmi(spark, sf_dir):
 
 @query("silhouette_exact")
 def q_silhouette_exact(spark, sf_dir):
-    s = CE.silhouette_exact(eval_assignments(spark, sf_dir), "article_id")
+    s = CE.silhouette_exact(sampled_assignments(spark, sf_dir), "article_id")
     return s.select(F.round("silhouette", 5).alias("silhouette"))
 
 
@@ -490,11 +484,15 @@ def q_precision_recall_graded(spark, sf_dir):
 
 
 def pipeline_counts(spark, sf_dir, proc=None):
-    proc, inter, vecs, profiles, _ = flagship_parts(spark, sf_dir, proc, topics=False)
+    """Row counts of the artifacts; a user has a profile if some liked item has a vector (an id is enough to tell)."""
+    proc = proc if proc is not None else processed(spark, sf_dir)
+    inter = FX.interactions(spark, sf_dir)
+    known = FX.vector_documents(spark, sf_dir).select(F.col("article_id").alias("item_id"))
+    profiled = inter.join(known, "item_id", "left_semi").select("user_id").distinct()
     return (proc.agg(F.count(F.lit(1)).alias("processed_articles"))
             .select("processed_articles",
                     inter.agg(F.count(F.lit(1))).scalar().alias("interactions"),
-                    profiles.agg(F.count(F.lit(1))).scalar().alias("users_with_profiles")))
+                    profiled.agg(F.count(F.lit(1))).scalar().alias("users_with_profiles")))
 
 
 @query("pipeline_counts")
@@ -515,7 +513,7 @@ def evaluation_report(spark, sf_dir):
         RP.metric_rows("cf", CF.precision_recall_at_k(CF.baseline_predict(FX.interactions(spark, sf_dir)))),
         RP.metric_rows("clustering", CE.adjusted_rand(assign)),
         RP.metric_rows("clustering", CE.nmi(assign)),
-        RP.metric_rows("clustering", CE.silhouette_exact(assign, "article_id")),
+        RP.metric_rows("clustering", CE.silhouette_exact(sampled_assignments(spark, sf_dir, assign), "article_id")),
     ]
     return RP.union_all(parts)
 

@@ -87,10 +87,8 @@ SELECT * FROM articles
 QUALIFY row_number() OVER (ORDER BY {hash32(str(seed), 'row_ord')}, row_ord) <= {cap}""")
 
 
-sampled_articles_cte("art_sampled", 20000)
-
-cte("art_dedup", ("art_sampled",), """
-SELECT * FROM art_sampled WHERE article_id IS NOT NULL
+cte("art_dedup", ("articles",), """
+SELECT * FROM articles WHERE article_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY row_ord) = 1""")
 
 cte("art_steps", ("art_dedup",), f"""
@@ -130,20 +128,20 @@ FROM {name}_cnt c JOIN (SELECT k, sqrt(sum(c * c)) AS nrm FROM {name}_cnt GROUP
 
 
 cte("vector_docs", (), """
-SELECT CAST(doc_id AS VARCHAR) AS article_id, text FROM documents WHERE doc_id % 4 <> 3""")
+SELECT CAST(doc_id AS VARCHAR) AS article_id, text FROM documents""")
 encode_sparse("avec", "vector_docs", "article_id", "text", deps=("vector_docs",))
 
 cte("interactions", (), """
-SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % 1000 AS VARCHAR) AS item_id,
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % (SELECT max(doc_id) + 1 FROM documents) AS VARCHAR) AS item_id,
        CAST(1.0 AS DOUBLE) AS rating, ts AS timestamp
 FROM events
-WHERE event_type IN ('view', 'click', 'purchase') AND (user_id % 50 <> 0 OR (event_id % 1000) % 19 = 0)""")
+WHERE event_type IN ('view', 'click', 'purchase')""")
 
 cte("interactions_graded", (), """
-SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % 1000 AS VARCHAR) AS item_id,
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % (SELECT max(doc_id) + 1 FROM documents) AS VARCHAR) AS item_id,
        CAST(least(value / 100.0, 1.0) AS DOUBLE) AS rating, ts AS timestamp
 FROM events
-WHERE event_type IN ('view', 'click', 'purchase') AND (user_id % 50 <> 0 OR (event_id % 1000) % 19 = 0)""")
+WHERE event_type IN ('view', 'click', 'purchase')""")
 
 cte("emb_long", (), """
 SELECT CAST(vec_id AS VARCHAR) AS article_id, label, CAST(e.pos - 1 AS INTEGER) AS pos, CAST(e.value AS DOUBLE) AS value
@@ -288,8 +286,7 @@ FROM (
 
 cte("search_results", ("page_hits",), """
 SELECT query, CAST(pos AS INTEGER) AS pos, link, title, snippet FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY page_id) AS pos FROM page_hits) r
-WHERE pos <= 20""")
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY page_id) AS pos FROM page_hits) r""")
 
 
 # ---------------------------------------------------------------- URL rule and candidates
@@ -340,7 +337,7 @@ SELECT c.*, f.description, f.full_text,
 FROM cands c LEFT JOIN page_feat f ON f.url = c.link""")
 
 cte("ucands", ("cands_text",), """
-SELECT user_id, link, query_idx, pos, title, snippet, display_description, substr(te, 1, 1000) AS text_for_embedding
+SELECT user_id, link, query_idx, pos, title, snippet, display_description, te AS text_for_embedding
 FROM cands_text WHERE te IS NOT NULL AND length(te) >= 30""")
 
 cte("ctexts", ("ucands",), "SELECT DISTINCT text_for_embedding FROM ucands")
@@ -375,16 +372,9 @@ QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY cos DESC, cl) = 1"""
 
 cte("emb_eval", ("emb_long", "eval_keys"), "SELECT * FROM emb_long WHERE article_id IN (SELECT article_id FROM eval_keys)")
 
-cte("cents_eval", ("emb_eval",), "SELECT label, pos, avg(value) AS c FROM emb_eval GROUP BY 1, 2")
-
-cte("nc_eval", ("emb_eval", "cents_eval"), """
-SELECT article_id, label, CAST(cl AS INTEGER) AS cluster FROM (
-  SELECT e.article_id, e.label, c.label AS cl,
-         sum(e.value * c.c) / (sqrt(sum(e.value * e.value)) * sqrt(sum(c.c * c.c))) AS cos
-  FROM emb_eval e JOIN cents_eval c ON c.pos = e.pos GROUP BY 1, 2, 3) x
-QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY cos DESC, cl) = 1""")
+cte("nc_eval", ("nc_all", "eval_keys"), "SELECT * FROM nc_all WHERE article_id IN (SELECT article_id FROM eval_keys)")
 
-cte("cont", ("nc_eval",), "SELECT label, cluster, CAST(count(*) AS DOUBLE) AS nij FROM nc_eval GROUP BY 1, 2")
+cte("cont", ("nc_all",), "SELECT label, cluster, CAST(count(*) AS DOUBLE) AS nij FROM nc_all GROUP BY 1, 2")
 
 cte("ari_val", ("cont",), """
 SELECT CASE WHEN fn = 0 AND fp = 0 THEN 1.0
@@ -433,17 +423,16 @@ encode_sparse("pvec", "processed", "article_id", "combined_text", deps=("process
 
 cte("closs", ("cpairs", "pvec"), """
 SELECT avg(lse - own) AS loss FROM (
-  SELECT p.i, max(CASE WHEN p.i = p.j THEN 20.0 * coalesce(c.cos, 0.0) END) AS own,
-         max(20.0 * coalesce(c.cos, 0.0)) + ln(sum(exp(20.0 * coalesce(c.cos, 0.0) - mx))) AS lse
-  FROM (SELECT a.article_id AS i, b.article_id AS j, a.batch_id FROM cpairs a JOIN cpairs b USING (batch_id)) p
-  LEFT JOIN (SELECT x.k AS i, y.k AS j, sum(x.v * y.v) AS cos FROM pvec x JOIN pvec y ON x.b = y.b
-             JOIN cpairs px ON px.article_id = x.k JOIN cpairs py ON py.article_id = y.k AND py.batch_id = px.batch_id
-             GROUP BY 1, 2) c ON c.i = p.i AND c.j = p.j
-  JOIN (SELECT p2.i, max(20.0 * coalesce(c2.cos, 0.0)) AS mx
-        FROM (SELECT a.article_id AS i, b.article_id AS j FROM cpairs a JOIN cpairs b USING (batch_id)) p2
-        LEFT JOIN (SELECT x.k AS i, y.k AS j, sum(x.v * y.v) AS cos FROM pvec x JOIN pvec y ON x.b = y.b GROUP BY 1, 2) c2
-          ON c2.i = p2.i AND c2.j = p2.j GROUP BY 1) m ON m.i = p.i
-  GROUP BY p.i, m.mx) z""")
+  SELECT p.i, max(CASE WHEN p.i = p.j THEN lg END) AS own, max(mx) + ln(sum(exp(lg - mx))) AS lse
+  FROM (SELECT *, max(lg) OVER (PARTITION BY i) AS mx FROM (
+    SELECT a.article_id AS i, b.article_id AS j, 20.0 * coalesce(c.cos, 0.0) AS lg
+    FROM cpairs a JOIN cpairs b USING (batch_id)
+    LEFT JOIN (
+      SELECT x.k AS i, y.k AS j, sum(x.v * y.v) AS cos
+      FROM (SELECT v.*, p.batch_id FROM pvec v JOIN cpairs p ON p.article_id = v.k) x
+      JOIN (SELECT v.*, p.batch_id FROM pvec v JOIN cpairs p ON p.article_id = v.k) y ON x.batch_id = y.batch_id AND x.b = y.b
+      GROUP BY 1, 2) c ON c.i = a.article_id AND c.j = b.article_id) l) p
+  GROUP BY p.i) z""")
 
 
 def cf_ctes(prefix: str, src: str) -> None:

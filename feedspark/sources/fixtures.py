@@ -12,7 +12,6 @@ from ..functions import html as H
 from ..functions.text import py_strip
 from ..functions.urls import url_root
 from ..functions.vectors import to_double_array
-from ..operators.ranking import spread
 from .tables import read_table
 
 # Event types that count as a like.
@@ -21,10 +20,7 @@ LIKE_EVENT_TYPES = ("view", "click", "purchase")
 SEARCH_LANGS = ("en", "de", "fr", "es")
 DEFAULT_QUERY = "top breaking news"
 QUERY_PREFIX = "latest news "
-# How many hits a stand-in search serves per query (the most any user query asks for).
-MAX_HITS_PER_QUERY = 20
 SNIPPET_CHARS = 160
-ITEM_SPACE = 1000
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +29,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows with doc_id % 10 = 0 appear twice (the copy has an upper-cased category and no
     description); for doc_id % 20 = 10 the copy comes first, so dedupe order is visible.
     """
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     i = F.col("doc_id")
     ts = F.timestamp_add("HOUR", i, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     published = (F.when(i % 17 == 0, F.lit("not-a-date"))
@@ -73,21 +69,18 @@ def article_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have an article vector in the flagship: doc_id % 4 <> 3 (the gap exercises
-    liked items without a vector). Includes articles that fail preparation."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("doc_id") % 4 != 3)
-    # spread on the key the encoder groups by, so its aggregations need no further exchange
-    return spread(d.select(F.col("doc_id").cast("string").alias("article_id"), F.col("text")), ["article_id"])
+    """Documents that get an article vector in the flagship: all, also articles that fail preparation."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select(F.col("doc_id").cast("string").alias("article_id"), F.col("text"))
 
 
 def interactions(spark: SparkSession, sf_dir: str, graded: bool = False) -> DataFrame:
-    """(user_id, item_id, rating, timestamp) likes from view/click/purchase events.
-
-    Users with user_id % 50 = 0 only like items whose id % 19 = 0 (items without a category).
-    """
+    """(user_id, item_id, rating, timestamp) likes from view/click/purchase events; items are spread over
+    the documents' ids (0 to the largest)."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    item = F.col("event_id") % ITEM_SPACE
-    keep = F.col("event_type").isin(*LIKE_EVENT_TYPES) & ((F.col("user_id") % 50 != 0) | (item % 19 == 0))
+    n_items = read_table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).scalar()
+    item = F.col("event_id") % n_items
+    keep = F.col("event_type").isin(*LIKE_EVENT_TYPES)
     rating = F.least(F.col("value") / 100.0, F.lit(1.0)) if graded else F.lit(1.0)
     return e.where(keep).select(
         F.col("user_id").cast("string").alias("user_id"),
@@ -115,7 +108,7 @@ def user_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: the queries it answers, before ranking (query, page_id, link, title, snippet)."""
-    p = spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id"])
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     clean = H.remove_noise(F.col("html"))
     feats = p.select(
         "page_id", "url",
@@ -134,20 +127,19 @@ def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query", "page_id", link.alias("link"), title.alias("title"), "snippet")
 
 
-def search_results(spark: SparkSession, sf_dir: str, max_hits: int = MAX_HITS_PER_QUERY) -> DataFrame:
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query, pos 1-based, link, title, snippet): each query's hits ranked by page_id.
 
-    A search engine serves a ranked top list per query; ``pos <= max_hits`` is that feature. Spark
-    plans the filtered row_number as a WindowGroupLimit, so a query matching every page still sends
-    at most ``max_hits`` rows per map partition through the shuffle.
+    The whole ranked list. Its readers ask for the first ``total`` hits of a query (``pos <= total``):
+    Spark plans the filtered row_number as a WindowGroupLimit, so a query matching every page still
+    sends at most ``total`` rows per map partition through the shuffle.
     """
     from pyspark.sql import Window
     w = Window.partitionBy("query").orderBy("page_id")
     return (page_hits(spark, sf_dir)
             .withColumn("pos", F.row_number().over(w))
-            .where(F.col("pos") <= max_hits)
-            .select("query", F.col("pos").cast("int").alias("pos"), "link", "title", "snippet"))
+            .select("query", "pos", "link", "title", "snippet"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "pages").select("url", "html"), ["url"])
+    return read_table(spark, sf_dir, "pages").select("url", "html")
