@@ -22,7 +22,3 @@ def hash32_text(c) -> Column:
     """``hash32`` of one string column (no join step: the same value, cheaper per row)."""
     return F.conv(F.substring(F.md5(_c(c)), 1, 8), 16, 10).cast("bigint")
 
-
-def unit_hash(*parts) -> Column:
-    """hash32 scaled to [0, 1)."""
-    return hash32(*parts) / F.lit(TWO_POW_32)

@@ -4,6 +4,8 @@ Re-aims per-URL HTML parsing as column expressions over a ``pages(url, html)`` t
 """
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,8 @@ NOISE_RE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-
 FIRST_P_RE = r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p(?:\s[^>]*)?>|</article>|<div|$)"
 # The article body.
 ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)</article>"
-# The description meta tag (attribute value matched case-sensitively) and its content.
-META_DESC_RE = r"(?s)<(?i:meta)\b[^>]*\b(?i:name)\s*=\s*[\"']description[\"'][^>]*>"
-META_CONTENT_DQ_RE = r"(?s)\b(?i:content)\s*=\s*\"([^\"]*)\""
-META_CONTENT_SQ_RE = r"(?s)\b(?i:content)\s*=\s*'([^']*)'"
+# A meta tag: quoted attribute values may hold '>'.
+META_TAG_RE = r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title>"
 TAG_RE = r"<[^>]*>"
 # Tags whose boundaries become line breaks in the full text.
@@ -29,12 +29,11 @@ P_OPEN_RE = r"(?i)(<p(?:\s[^>]*)?>)"
 P_BREAK_RE = r"(?i)(</article>|<div)"
 ALL_P_RE = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
 
-# Named entities decoded in page text; '&amp;' is decoded last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"),
-            ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
-            ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-            ("&amp;", "&"))
+# Named character references of HTML 4 and the apostrophe of XML.
+ENTITIES = {**name2codepoint, "apos": 39}
+# A reference behind its '&': decimal, hexadecimal or named.
+REFERENCE_RE = r"^(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*));"
+REPLACEMENT = 0xFFFD
 
 # Description length limits and suffix.
 P_DESCRIPTION_CHARS = 300
@@ -46,11 +45,28 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _character(code: Column) -> Column:
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    code = F.when(valid, code).otherwise(F.lit(REPLACEMENT))
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
 def decode_entities(c) -> Column:
-    out = _c(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references replaced by their character, each once; unknown ones stay."""
+    text = _c(c)
+    names = F.create_map(*[F.lit(x) for pair in sorted(ENTITIES.items()) for x in pair])
+    parts = F.split(text, "&")
+
+    def decoded(part: Column) -> Column:
+        dec, hexa, name = (F.regexp_extract(part, REFERENCE_RE, g) for g in (1, 2, 3))
+        code = (F.when(dec != "", dec.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+                .when(name != "", F.try_element_at(names, name)))
+        rest = F.substr(part, F.locate(";", part) + 1)
+        return F.when(code.isNotNull(), F.concat(_character(code), rest)).otherwise(F.concat(F.lit("&"), part))
+
+    tail = F.transform(F.slice(parts, 2, F.size(parts)), decoded)
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def strip_tags(c) -> Column:
@@ -61,12 +77,16 @@ def remove_noise(html) -> Column:
     return F.regexp_replace(_c(html), NOISE_RE, "")
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, double-quoted, single-quoted or bare ('' when absent)."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
+
+
 def meta_description_raw(clean_html) -> Column:
-    """Content of <meta name="description">, entity-decoded, not stripped ('' when absent)."""
-    tag = F.regexp_extract(_c(clean_html), META_DESC_RE, 0)
-    dq = F.regexp_extract(tag, META_CONTENT_DQ_RE, 1)
-    sq = F.regexp_extract(tag, META_CONTENT_SQ_RE, 1)
-    return decode_entities(F.when(dq != "", dq).otherwise(sq))
+    """Content of the first <meta name=description>, entity-decoded, not stripped ('' when absent)."""
+    tags = F.filter(F.regexp_extract_all(_c(clean_html), F.lit(META_TAG_RE), F.lit(0)), lambda t: attribute(t, "name") == "description")
+    return decode_entities(attribute(F.coalesce(F.get(tags, F.lit(0)), F.lit("")), "content"))
 
 
 def has_paragraph(clean_html) -> Column:

@@ -3,11 +3,12 @@
 prepare articles -> embed -> clustering evaluation -> likes -> CF evaluation and final model ->
 user profiles -> report. Every artifact is a Parquet table (or ML model folder) under ``out``.
 
-usage: python -m feedspark.plans.offline --out DIR [--sf-dir DIR | --articles-csv PATH --preferences PATH]
+usage: python -m feedspark.plans.offline --out DIR [--sf-dir DIR | --articles-csv PATH --preferences PATH --interactions PATH]
 """
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +16,16 @@ from pyspark.sql import functions as F
 from ..operators import articles as A
 from ..operators import cf as CF
 from ..operators import cluster_eval as CE
-from ..operators import interactions as I
 from ..operators import profiles as P
 from ..operators import report as RP
 from ..operators.encoder import Encoder, HashedBagOfWords
 from ..sources import artifacts as AR
 
 
-def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataFrame, out: str,
-                encoder: Encoder | None = None, interactions: DataFrame | None = None,
-                final_encoder: Encoder | None = None) -> DataFrame:
+def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataFrame, interactions: DataFrame, out: str,
+                encoder: Encoder | None = None, final_encoder: Encoder | None = None) -> DataFrame:
     """Returns the metrics table (also written to ``out``)."""
+    started = time.perf_counter()
     enc = encoder or HashedBagOfWords()
     final_enc = final_encoder or enc
     parts = []
@@ -35,7 +35,7 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
     processed = spark.read.parquet(AR.artifact_path(out, "processed_articles"))  # lineage cut at the artifact
     n_processed = processed.count()
     if n_processed == 0:
-        raise ValueError("No articles left after processing.")
+        raise ValueError(f"none of {raw_articles.count()} input rows has an id, a category, text and a valid date")
     parts.append(RP.metric_rows("data", processed.agg(F.count(F.lit(1)).alias("processed_articles"))))
 
     text = processed.select("article_id", "combined_text")
@@ -50,21 +50,21 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
         cm = CE.compare_variants({"final": final, "base": base}, labels, k)
         parts.append(cm.select(F.concat(F.lit("clustering_"), "variant").alias("section"), "metric", "value", "note"))
 
-    likes = interactions if interactions is not None else I.simulate_likes(processed, preferences)
-    AR.write_table(likes, out, "interactions")
+    AR.write_table(interactions, out, "interactions")
     likes = spark.read.parquet(AR.artifact_path(out, "interactions"))
+    AR.write_table(P.user_item_counts(likes), out, "user_items")
     parts.append(RP.metric_rows("interactions", likes.agg(F.count(F.lit(1)).alias("interactions"))))
 
     if CF.enough_interactions(likes):
         try:
             pred = CF.fit_predict(likes)
             parts.append(RP.metric_rows("cf", CF.precision_recall_at_k(pred)))
-            _, model, _ = CF.fit_full(likes)
-            AR.save_model(model, spark, out, "cf_model")
+            AR.save_cf(CF.fit_full(likes), spark, out)
         except Exception as e:  # noqa: BLE001 - keep going without a CF model, like the reference
-            AR.remove(spark, AR.artifact_path(out, "cf_model"))
+            AR.remove_cf(spark, out)
             parts.append(spark.createDataFrame([("cf", "error", None, str(e)[:200])], "section string, metric string, value double, note string"))
     else:
+        AR.remove_cf(spark, out)
         parts.append(spark.createDataFrame([("cf", "skipped", None, "insufficient interactions")],
                                            "section string, metric string, value double, note string"))
 
@@ -74,6 +74,10 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
     parts.append(RP.metric_rows("profiles", spark.read.parquet(AR.artifact_path(out, "user_profiles"))
                                 .agg(F.count(F.lit(1)).alias("users_with_profiles"))))
 
+    parts.append(spark.createDataFrame([
+        ("run", "total_seconds", time.perf_counter() - started, ""),
+        ("run", "cluster_sample_rows", float(min(n_processed, CE.CLUSTER_EVAL_CAP)), ""),
+        ("run", "encoder_dim", float(dim), type(enc).__name__)], "section string, metric string, value double, note string"))
     report = RP.union_all(parts)
     AR.write_table(report, out, "evaluation_report")
     RP.write_report(spark.read.parquet(AR.artifact_path(out, "evaluation_report")),
@@ -87,15 +91,18 @@ def main(argv=None) -> None:
     ap.add_argument("--sf-dir")
     ap.add_argument("--articles-csv")
     ap.add_argument("--preferences", help="Parquet (user_id, preferences array<string>)")
+    ap.add_argument("--interactions", help="Parquet (user_id, item_id, rating, timestamp)")
     args = ap.parse_args(argv)
     from ..session import get_spark
     from ..sources import articles_csv, fixtures
     spark = get_spark("feedspark-offline")
     if args.sf_dir:
         raw, prefs = fixtures.articles(spark, args.sf_dir), fixtures.user_preferences(spark, args.sf_dir)
+        likes = fixtures.interactions(spark, args.sf_dir)
     else:
         raw, prefs = articles_csv.read_articles_csv(spark, args.articles_csv), spark.read.parquet(args.preferences)
-    run_offline(spark, raw, prefs, args.out).show(100, truncate=False)
+        likes = spark.read.parquet(args.interactions)
+    run_offline(spark, raw, prefs, likes, args.out).show(100, truncate=False)
 
 
 if __name__ == "__main__":

@@ -27,15 +27,15 @@ def run_online(spark: SparkSession, artifacts_dir: str, search_results: DataFram
     enc = encoder or HashedBagOfWords()
     arts, ok = AR.load_artifacts(spark, artifacts_dir)
     if not ok:
-        raise RuntimeError("Failed to load essential offline artifacts")
+        missing = [name for name, table in arts.items() if table is None and AR.ARTIFACTS[name]]
+        raise RuntimeError(f"{artifacts_dir} lacks {', '.join(missing)}; run the offline plan first")
     likes, base = arts["interactions"], arts["base_embeddings"]
-    if likes is None:
-        likes = spark.createDataFrame([], "user_id string, item_id string, rating double, timestamp timestamp_ntz")
     profiled = arts["user_profiles"].select("user_id")
     if users:
         profiled = profiled.where(F.col("user_id").isin(*users))
     likes = likes.join(profiled, "user_id", "left_semi")
-    profiles = P.user_profiles(likes, base, enc.dim)
+    # a user none of whose items has a base vector gets the zero vector: every candidate scores 0
+    profiles = P.profile_embedding(likes, base, enc.dim)
     counts = P.user_category_counts(likes, base, A.category_lookup(arts["processed_articles"]))
     return recommend(profiles, P.user_top_categories(counts), search_results, pages, enc, n)
 

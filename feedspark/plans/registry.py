@@ -541,13 +541,10 @@ def write_offline_artifacts(spark, sf_dir, root):
     AR.write_table(vecs, root, "article_embeddings")
     inter = FX.interactions(spark, sf_dir)
     AR.write_table(inter, root, "interactions")
+    AR.write_table(P.user_item_counts(inter), root, "user_items")
     AR.write_table(P.user_profiles(inter, vecs, DIM, FX.user_preferences(spark, sf_dir)), root, "user_profiles")
     if CF.enough_interactions(inter):
-        try:
-            _, model, _ = CF.fit_full(inter)
-            AR.save_model(model, spark, root, "cf_model")
-        except Exception:  # noqa: BLE001 - a failed fit leaves no stale model behind
-            AR.remove(spark, AR.artifact_path(root, "cf_model"))
+        AR.save_cf(CF.fit_full(inter), spark, root)
     AR.write_table(evaluation_report(spark, sf_dir), root, "evaluation_report")
     return root
 

@@ -1,7 +1,9 @@
 """SQL fragments for the oracle (DuckDB dialect): the same stand-in views and scalar rules as the
-Spark code, written independently in SQL."""
+Spark code in SQL. Patterns that both engines share are checked against literal cases in tests."""
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from ..functions.text import PY_WHITESPACE
 
 WS = "(" + " || ".join(f"chr({ord(ch)})" for ch in PY_WHITESPACE) + ")"
@@ -213,16 +215,11 @@ NOISE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
 FIRST_P = r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p(?:\s[^>]*)?>|</article>|<div|$)"
 ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
-META = r"(?s)<(?i:meta)\b[^>]*\b(?i:name)\s*=\s*[\"']description[\"'][^>]*>"
-META_DQ = r"(?s)\b(?i:content)\s*=\s*\"([^\"]*)\""
-META_SQ = r"(?s)\b(?i:content)\s*=\s*'([^']*)'"
+META_TAG = r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
 BLOCK = (r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|blockquote|section|article|header|"
          r"footer|nav|pre|hr)\b[^>]*>")
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"),
-            ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
-            ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-            ("&amp;", "&"))
+REFERENCE = r"^(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*));"
+NAMES = "MAP {" + ", ".join(f"'{n}': {c}" for n, c in sorted({**name2codepoint, "apos": 39}.items())) + "}"
 
 
 def q(s: str) -> str:
@@ -230,9 +227,20 @@ def q(s: str) -> str:
 
 
 def decode(x: str) -> str:
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    """Character references in one go: text is cut at every '&'."""
+    ref = lambda g: f"regexp_extract(p, {q(REFERENCE)}, {g})"
+    code = (f"CASE WHEN {ref(1)} <> '' THEN CAST({ref(1)} AS INTEGER) WHEN {ref(2)} <> '' THEN CAST('0x' || {ref(2)} AS INTEGER) "
+            f"WHEN {ref(3)} <> '' THEN {NAMES}[{ref(3)}] END")
+    safe = f"CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN ({code}) ELSE 65533 END"
+    one = f"CASE WHEN ({code}) IS NULL THEN '&' || p ELSE chr({safe}) || substr(p, strpos(p, ';') + 1) END"
+    parts = f"string_split({x}, '&')"
+    return (f"CASE WHEN contains({x}, '&') THEN {parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {one}), '') "
+            f"ELSE {x} END")
+
+
+def attribute(tag: str, name: str) -> str:
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return "(" + " || ".join(f"regexp_extract({tag}, {q(pattern)}, {g})" for g in (1, 2, 3)) + ")"
 
 
 def untag(x: str) -> str:
@@ -256,13 +264,15 @@ SELECT url,
       chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), chr(10) || chr(10)) AS full_text
 FROM (
   SELECT url, clean,
-    {decode(f"CASE WHEN regexp_extract(mtag, {q(META_DQ)}, 1) <> '' THEN regexp_extract(mtag, {q(META_DQ)}, 1) ELSE regexp_extract(mtag, {q(META_SQ)}, 1) END")} AS meta,
+    {decode("mcontent")} AS meta,
     {first_p_text('clean')} AS ptext,
     regexp_extract(clean, {q(ARTICLE)}, 1) AS body,
     array_to_string(regexp_extract_all(
         regexp_replace(regexp_replace(clean, '(?i)(<p(?:\\s[^>]*)?>)', '</p>\\1', 'g'), '(?i)(</article>|<div)', '</p>\\1', 'g') || '</p>',
         '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), chr(10)) AS allp
-  FROM (SELECT url, clean, regexp_extract(clean, {q(META)}, 0) AS mtag FROM page_clean) m
+  FROM (SELECT url, clean, {attribute("mtag", "content")} AS mcontent FROM (
+    SELECT url, clean, coalesce(list_filter(regexp_extract_all(clean, {q(META_TAG)}, 0), lambda t: {attribute("t", "name")} = 'description')[1], '') AS mtag
+    FROM page_clean) m0) m
 ) f""")
 
 cte("page_hits", ("page_clean",), f"""

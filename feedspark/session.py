@@ -6,21 +6,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(app: str = "feedspark", cores: str | int = "*", shuffle_partitions: int = 8,
+def get_spark(app: str = "feedspark", cores: str | int | None = None, shuffle_partitions: int | None = None,
               driver_memory: str | None = None) -> SparkSession:
-    """Local session with the settings every entry point here assumes.
+    """Session with the SQL settings every entry point here assumes.
 
-    On a cluster the session comes from the launcher; only the SQL settings below matter there.
+    Master and number of shuffle partitions are the launcher's; tests and the bench, which run on one
+    machine, pass ``cores`` and ``shuffle_partitions``.
     """
-    b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if cores is not None:
+        b = b.master(f"local[{cores}]")
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory:
         b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()

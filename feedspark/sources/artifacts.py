@@ -14,8 +14,12 @@ ARTIFACTS = {
     "processed_articles": True,   # name -> required by the online phase?
     "base_embeddings": True,
     "article_embeddings": False,
-    "interactions": False,
+    "interactions": True,
+    "user_items": True,
     "user_profiles": True,
+    "cf_mean": False,
+    "cf_users": False,
+    "cf_items": False,
     "cf_model": False,
     "evaluation_report": False,
 }
@@ -34,9 +38,19 @@ def _hadoop_fs(spark: SparkSession, path: str):
 def publish(spark: SparkSession, tmp: str, final: str) -> None:
     fs, src = _hadoop_fs(spark, tmp)
     _, dst = _hadoop_fs(spark, final)
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    fs.rename(src, dst)
+    old = None
+    if fs.exists(dst):  # the old artifact stays until the new one has its name
+        old = dst.suffix(".__old")
+        if fs.exists(old):
+            fs.delete(old, True)
+        if not fs.rename(dst, old):
+            raise OSError(f"could not set aside {final}")
+    if not fs.rename(src, dst):
+        if old is not None:
+            fs.rename(old, dst)
+        raise OSError(f"could not publish {tmp} as {final}")
+    if old is not None:
+        fs.delete(old, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -66,6 +80,29 @@ def save_model(model, spark: SparkSession, root: str, name: str = "cf_model") ->
     return final
 
 
+def save_cf(model, spark: SparkSession, root: str) -> None:
+    """A collaborative filter: its tables and its factors."""
+    for name, table in model.tables().items():
+        write_table(table, root, name)
+    save_model(model.factors, spark, root, "cf_model")
+
+
+def remove_cf(spark: SparkSession, root: str) -> None:
+    for name in ("cf_mean", "cf_users", "cf_items", "cf_model"):
+        remove(spark, artifact_path(root, name))
+
+
+def load_cf(spark: SparkSession, root: str):
+    """The saved collaborative filter, ready to predict; None when there is none."""
+    from pyspark.ml.recommendation import ALSModel
+
+    from ..operators.cf import CfModel
+    if not exists(spark, artifact_path(root, "cf_model")):
+        return None
+    tables = [spark.read.parquet(artifact_path(root, n)) for n in ("cf_mean", "cf_users", "cf_items")]
+    return CfModel(*tables, ALSModel.load(artifact_path(root, "cf_model")))
+
+
 def load_artifacts(spark: SparkSession, root: str) -> tuple[dict, bool]:
     """(artifacts, ok): required tables missing -> ok False; optional ones missing -> None."""
     out, ok = {}, True

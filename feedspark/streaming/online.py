@@ -2,9 +2,9 @@
 
 The reference's online phase answers one user per run. Here requests (``user_id`` rows) arrive as
 files in a folder; every micro-batch recommends for the requested users (a semi-join of the batch
-onto the profile table, so only those users' candidates are built) and appends the result to a
-Parquet sink. Progress and output commits go through the checkpoint location, so a restarted query
-neither loses nor repeats a batch.
+onto the profile table, so only those users' candidates are built) and writes the result to its own
+partition ``batch_id`` of a Parquet sink. Progress goes through the checkpoint location; a batch that runs
+again after a failure overwrites its partition, so rows are neither lost nor repeated.
 """
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def start(spark: SparkSession, requests_dir: str, sink_dir: str, checkpoint_dir:
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         t = inputs(batch.sparkSession)
         out = recommend_for(batch, t["profiles"], t["top_categories"], t["search_results"], t["pages"], encoder, n)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+        out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(**trigger) if trigger else w.trigger(availableNow=True)
