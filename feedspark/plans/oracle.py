@@ -171,3 +171,33 @@ SELECT user_id, rank, title, link AS url, snippet, display_description AS descri
        {R5('content_score')} AS content_score
 FROM ranked WHERE rank <= 10
   AND user_id IN (SELECT user_id FROM interactions WHERE user_id NOT IN (SELECT user_id FROM prof_users))""")
+
+S.cte("sq_sums", ("emb_long", "nc_all"), """
+SELECT n.cluster, e.pos, sum(e.value) AS s FROM emb_long e JOIN nc_all n USING (article_id) GROUP BY 1, 2""")
+S.cte("sq_sizes", ("emb_long", "nc_all"), """
+SELECT n.cluster, CAST(count(DISTINCT article_id) AS DOUBLE) AS n, sum(e.value * e.value) AS sq
+FROM emb_long e JOIN nc_all n USING (article_id) GROUP BY 1""")
+S.cte("sq_means", ("emb_long", "nc_all", "sq_sums", "sq_sizes"), """
+SELECT d.article_id, d.cluster = o.cluster AS own, g.n,
+       (g.n * d.xs + g.sq - 2 * d.dot) / CASE WHEN d.cluster = o.cluster AND g.n > 1 THEN g.n - 1 ELSE g.n END AS m
+FROM (SELECT e.article_id, c.cluster, sum(e.value * c.s) AS dot, sum(e.value * e.value) AS xs
+      FROM emb_long e JOIN sq_sums c USING (pos) GROUP BY 1, 2) d
+JOIN sq_sizes g ON g.cluster = d.cluster JOIN nc_all o ON o.article_id = d.article_id""")
+oracle("silhouette_scalable", ["sq_means"], f"""
+SELECT {R5('avg(CASE WHEN n = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette_sq_euclidean FROM (
+  SELECT article_id, max(CASE WHEN own THEN m END) AS a, min(CASE WHEN NOT own THEN m END) AS b, max(CASE WHEN own THEN n END) AS n
+  FROM sq_means GROUP BY 1) s""")
+
+oracle("artifact_manifest", ["processed", "vector_docs", "interactions", "prof_users"], """
+SELECT artifact, true AS present, CAST(rows AS BIGINT) AS rows FROM (
+  SELECT 'processed_articles' AS artifact, (SELECT count(*) FROM processed) AS rows
+  UNION ALL SELECT 'base_embeddings', (SELECT count(*) FROM vector_docs)
+  UNION ALL SELECT 'article_embeddings', (SELECT count(*) FROM vector_docs)
+  UNION ALL SELECT 'interactions', (SELECT count(*) FROM interactions)
+  UNION ALL SELECT 'user_items', (SELECT count(*) FROM (SELECT DISTINCT user_id, item_id FROM interactions) x)
+  UNION ALL SELECT 'user_profiles', (SELECT count(*) FROM prof_users)
+  UNION ALL SELECT 'cf_mean', 1
+  UNION ALL SELECT 'cf_users', (SELECT count(DISTINCT user_id) FROM interactions)
+  UNION ALL SELECT 'cf_items', (SELECT count(DISTINCT item_id) FROM interactions)
+  UNION ALL SELECT 'cf_model', NULL
+  UNION ALL SELECT 'evaluation_report', 9) r""")

@@ -409,7 +409,7 @@ def q_silhouette_exact(spark, sf_dir):
 @query("silhouette_scalable")
 def q_silhouette_scalable(spark, sf_dir):
     v = CE.silhouette_scalable(eval_assignments(spark, sf_dir))
-    return spark.range(1).select(F.lit(v).cast("double").alias("silhouette_sq_euclidean"))
+    return spark.range(1).select(F.round(F.lit(v).cast("double"), 5).alias("silhouette_sq_euclidean"))
 
 
 @query("kmeans_clusters")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +46,14 @@ def publish(spark: SparkSession, tmp: str, final: str) -> None:
             fs.delete(old, True)
         if not fs.rename(dst, old):
             raise OSError(f"could not set aside {final}")
-    if not fs.rename(src, dst):
+    try:
+        done, cause = fs.rename(src, dst), None
+    except Py4JJavaError as e:
+        done, cause = False, e
+    if not done:
         if old is not None:
             fs.rename(old, dst)
-        raise OSError(f"could not publish {tmp} as {final}")
+        raise OSError(f"could not publish {tmp} as {final}") from cause
     if old is not None:
         fs.delete(old, True)
 

@@ -57,13 +57,13 @@ def test_text_choice_and_display(spark):
     assert got == ["meta", "f" * 250 + "...", "snip", "snip"]
 
 
-def test_usable_filter_and_truncate(spark):
+def test_usable_filter_keeps_whole_texts(spark):
     cands = spark.createDataFrame([("u", "https://x.com/a/b", 1, 1, "T", "s" * 29),
                                    ("u", "https://x.com/c/d", 1, 2, "T", "s" * 10)],
                                   "user_id string, link string, query_idx int, pos int, title string, snippet string")
     feats = spark.createDataFrame([("https://x.com/c/d", None, "w" * 2000)], "url string, description string, full_text string")
-    out = C.with_candidate_text(cands, feats).collect()
-    assert len(out) == 1 and out[0].link == "https://x.com/c/d" and len(out[0].text_for_embedding) == 1000
+    out = C.with_enough_text(C.with_candidate_text(cands, feats)).collect()
+    assert len(out) == 1 and out[0].link == "https://x.com/c/d" and len(out[0].text_for_embedding) == 2000
 
 
 def test_url_dedupe_before_title_check(spark):

@@ -23,6 +23,12 @@ def test_description_fixtures(spark):
                                       "Real & text..."]
 
 
+def test_description_of_bare_attributes_and_references(spark):
+    htmls = ['<meta name=description content="Hi there">', '<META NAME="description" CONTENT=\'a > b\'>', "<meta content='x' name=keywords><meta name='description' content=bare>",
+             '<meta name="Description" content="other case"><p>P</p>', '<p>It&#8217;s caf&eacute; &#x27;q&#x27; &amp;lt; &unknown; &#0; &#55296; R&D; &euro;</p>']
+    assert describe(spark, htmls) == ["Hi there", "a > b", "bare", "P...", "It’s café 'q' &lt; &unknown; \ufffd \ufffd R&D; €..."]
+
+
 def test_full_text_article_then_paragraphs(spark):
     htmls = ["<nav>menu</nav><article><h1>T</h1><p>One</p><p>Two &middot; 2</p></article><footer>f</footer>",
              "<body><p>First<p>Second</p><div>x</div></body>"]

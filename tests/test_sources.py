@@ -36,9 +36,22 @@ def test_artifacts_required_and_optional(spark, tmp_path):
     arts, ok = load_artifacts(spark, root)
     assert not ok
     df = spark.range(3).selectExpr("cast(id as string) as user_id")
-    for name in ("processed_articles", "base_embeddings", "user_profiles"):
+    for name in ("processed_articles", "base_embeddings", "user_profiles", "interactions", "user_items"):
         write_table(df, root, name)
     arts, ok = load_artifacts(spark, root)
     assert ok and arts["cf_model"] is None and arts["user_profiles"].count() == 3
     man = {r.artifact: (r.present, r.rows) for r in artifact_manifest(spark, root).collect()}
     assert man["user_profiles"] == (True, 3) and man["cf_model"] == (False, None)
+
+
+def test_publish_replaces_and_keeps_the_old_on_failure(spark, tmp_path):
+    import pytest
+
+    from feedspark.sources.artifacts import publish
+    root = str(tmp_path / "art")
+    write_table(spark.range(3), root, "user_items")
+    write_table(spark.range(5), root, "user_items")
+    assert spark.read.parquet(f"{root}/user_items").count() == 5
+    with pytest.raises(Exception):
+        publish(spark, f"{root}/not-there", f"{root}/user_items")
+    assert spark.read.parquet(f"{root}/user_items").count() == 5
