@@ -431,18 +431,18 @@ WHERE total >= 8""")
 
 encode_sparse("pvec", "processed", "article_id", "combined_text", deps=("processed",))
 
-cte("closs", ("cpairs", "pvec"), """
-SELECT avg(lse - own) AS loss FROM (
-  SELECT p.i, max(CASE WHEN p.i = p.j THEN lg END) AS own, max(mx) + ln(sum(exp(lg - mx))) AS lse
-  FROM (SELECT *, max(lg) OVER (PARTITION BY i) AS mx FROM (
-    SELECT a.article_id AS i, b.article_id AS j, 20.0 * coalesce(c.cos, 0.0) AS lg
-    FROM cpairs a JOIN cpairs b USING (batch_id)
-    LEFT JOIN (
-      SELECT x.k AS i, y.k AS j, sum(x.v * y.v) AS cos
-      FROM (SELECT v.*, p.batch_id FROM pvec v JOIN cpairs p ON p.article_id = v.k) x
-      JOIN (SELECT v.*, p.batch_id FROM pvec v JOIN cpairs p ON p.article_id = v.k) y ON x.batch_id = y.batch_id AND x.b = y.b
-      GROUP BY 1, 2) c ON c.i = a.article_id AND c.j = b.article_id) l) p
-  GROUP BY p.i) z""")
+cte("pdense", ("cpairs", "pvec"), """
+SELECT g.article_id, g.batch_id, list(coalesce(v.v, 0.0) ORDER BY g.pos) AS vec
+FROM (SELECT article_id, batch_id, r.pos FROM cpairs, range(64) r(pos)) g
+LEFT JOIN pvec v ON v.k = g.article_id AND v.b = g.pos GROUP BY 1, 2""")
+
+cte("closs", ("pdense",), """
+SELECT avg(mx + ln(se) - own) AS loss FROM (
+  SELECT i, max(own) AS own, max(mx) AS mx, sum(exp(lg - mx)) AS se FROM (
+    SELECT *, max(lg) OVER (PARTITION BY i) AS mx, CASE WHEN i = j THEN lg END AS own FROM (
+      SELECT a.article_id AS i, b.article_id AS j, 20.0 * list_dot_product(a.vec, b.vec) AS lg
+      FROM pdense a JOIN pdense b USING (batch_id)) p) w
+  GROUP BY i) z""")
 
 
 def cf_ctes(prefix: str, src: str) -> None:
