@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import is_likely_article_url
 from ..functions.vectors import cosine
-from ..session import cut_lineage
+from ..session import cut_all, cut_lineage
 from . import candidates as C
 from .encoder import Encoder
 from .ranking import top_n_per_group
@@ -85,13 +85,13 @@ def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: Da
     first hits per query, the per-hit candidates) are written once to the shared checkpoint folder,
     and the number of vectors is checked.
     """
-    keep = cut_lineage if materialize else (lambda d: d)
-    profiles = keep(profiles.select("user_id", "profile_embedding"))
-    first_hits = keep(search_results.where(F.col("pos") <= total_results)
-                      .select("query", "pos", "link", "title", "snippet"))
-    per_hit = keep(hit_candidates(first_hits, pages, encoder, total_results))
+    profiles = profiles.select("user_id", "profile_embedding")
+    first_hits = search_results.where(F.col("pos") <= total_results).select("query", "pos", "link", "title", "snippet")
     if materialize:
-        require_vectors(per_hit)
+        profiles, first_hits = cut_all(profiles, first_hits)
+    per_hit = hit_candidates(first_hits, pages, encoder, total_results)
+    if materialize:
+        per_hit = require_vectors(cut_lineage(per_hit))
     queries = C.with_quota(C.user_queries(profiles.select("user_id"), top_categories), total_results)
     with_vec = user_candidates(queries, first_hits, total_results).join(per_hit, ["query", "pos"])
     ranked = rank_candidates(content_scores(with_vec, profiles), n)

@@ -109,7 +109,7 @@ from ..operators import profiles as P  # noqa: E402
 from ..operators import recommend as R  # noqa: E402
 from ..operators.encoder import HashedBagOfWords  # noqa: E402
 from ..operators.sampling import LIKE_PROBABILITY, SEED, bernoulli_thin  # noqa: E402,F401
-from ..session import cut_lineage  # noqa: E402
+from ..session import cut_all, cut_lineage  # noqa: E402
 
 DIM = 64
 
@@ -132,26 +132,37 @@ def sparse_long(df, keys, vec):
 def flagship_parts(spark, sf_dir, proc=None, topics=True):
     """(processed, interactions, article vectors, profiles, top categories); ``topics=False`` skips
     the category lookup and returns None for the top categories."""
-    proc = proc if proc is not None else processed(spark, sf_dir)
+    # the lookup is written below, so the prepared rows need no table of their own
+    proc = proc if proc is not None else A.prepare_articles(FX.articles(spark, sf_dir), materialize=not topics)
     inter = FX.interactions(spark, sf_dir)
     # The embedding table is an artifact read by several branches (profiles, topics, scoring):
     # materialise it once (Parquet in the shared checkpoint folder) instead of re-encoding every
     # document in each branch.
-    vecs = cut_lineage(article_vectors(spark, sf_dir))
-    profiles = P.user_profiles(inter, vecs, DIM)
-    if not topics:
-        return proc, inter, vecs, profiles, None
     # Likewise the id -> category lookup (the reference re-reads it from the processed-article
     # file): article preparation then runs once, not once per branch that needs a category.
-    lookup = cut_lineage(A.category_lookup(proc))
+    if not topics:
+        vecs = cut_lineage(article_vectors(spark, sf_dir))
+        return proc, inter, vecs, P.user_profiles(inter, vecs, DIM), None
+    vecs, lookup = cut_all(article_vectors(spark, sf_dir), A.category_lookup(proc))
+    profiles = P.user_profiles(inter, vecs, DIM)
     cat_counts = P.user_category_counts(inter, vecs, lookup)
     top = P.user_top_categories(cat_counts)
     return proc, inter, vecs, profiles, top
 
 
+def flagship_topics(spark, sf_dir):
+    """(users with a profile, category counts): whether an item has a vector shows in its id, so nothing is encoded."""
+    inter = FX.interactions(spark, sf_dir)
+    known = FX.vector_documents(spark, sf_dir).select("article_id", F.lit(None).alias("embedding"))
+    proc = A.prepare_articles(FX.articles(spark, sf_dir), materialize=False)
+    lookup = cut_lineage(A.category_lookup(proc))
+    users = inter.join(P.item_vectors(known).select("item_id"), "item_id", "left_semi").select("user_id").distinct()
+    return users, P.user_category_counts(inter, known, lookup)
+
+
 def flagship_queries(spark, sf_dir):
-    _, _, _, profiles, top = flagship_parts(spark, sf_dir)
-    return C.with_quota(C.user_queries(profiles.select("user_id"), top))
+    users, counts = flagship_topics(spark, sf_dir)
+    return C.with_quota(C.user_queries(users, P.user_top_categories(counts)))
 
 
 @query("embedding_table")
@@ -230,13 +241,12 @@ def q_bernoulli_thin(spark, sf_dir):
 
 @query("user_category_counts")
 def q_user_category_counts(spark, sf_dir):
-    proc, inter, vecs, _, _ = flagship_parts(spark, sf_dir, topics=False)
-    return P.user_category_counts(inter, vecs, A.category_lookup(proc))
+    return flagship_topics(spark, sf_dir)[1]
 
 
 @query("user_top_categories")
 def q_user_top_categories(spark, sf_dir):
-    return flagship_parts(spark, sf_dir)[4]
+    return P.user_top_categories(flagship_topics(spark, sf_dir)[1])
 
 
 @query("user_queries")

@@ -2,16 +2,17 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "feedspark", cores: str | int | None = None, shuffle_partitions: int | None = None,
-              driver_memory: str | None = None) -> SparkSession:
+              driver_memory: str | None = None, options: dict[str, str] | None = None) -> SparkSession:
     """Session with the SQL settings every entry point here assumes.
 
     Master and number of shuffle partitions are the launcher's; tests and the bench, which run on one
-    machine, pass ``cores`` and ``shuffle_partitions``.
+    machine, pass ``cores``, ``shuffle_partitions`` and other ``options``.
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
@@ -21,6 +22,8 @@ def get_spark(app: str = "feedspark", cores: str | int | None = None, shuffle_pa
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if options:
+        b = b.config(map=options)
     if cores is not None:
         b = b.master(f"local[{cores}]")
     if shuffle_partitions is not None:
@@ -66,6 +69,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_all(*tables: DataFrame) -> list[DataFrame]:
+    """``cut_lineage`` of independent tables, whose jobs run side by side."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+        return list(pool.map(cut_lineage, tables))
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete the files behind tables made by ``cut_lineage`` that are read no more."""
     for df in tables:

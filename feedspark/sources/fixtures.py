@@ -29,7 +29,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows with doc_id % 10 = 0 appear twice (the copy has an upper-cased category and no
     description); for doc_id % 20 = 10 the copy comes first, so dedupe order is visible.
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = read_table(spark, sf_dir, "documents", deal=True).select("doc_id", "text", "lang")
     i = F.col("doc_id")
     ts = F.timestamp_add("HOUR", i, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     published = (F.when(i % 17 == 0, F.lit("not-a-date"))
@@ -70,7 +70,7 @@ def article_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that get an article vector in the flagship: all, also articles that fail preparation."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = read_table(spark, sf_dir, "documents", deal=True).select("doc_id", "text")
     return d.select(F.col("doc_id").cast("string").alias("article_id"), F.col("text"))
 
 
@@ -108,7 +108,7 @@ def user_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: the queries it answers, before ranking (query, page_id, link, title, snippet)."""
-    p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    p = read_table(spark, sf_dir, "pages", deal=True).select("page_id", "url", "html")
     clean = H.remove_noise(F.col("html"))
     feats = p.select(
         "page_id", "url",
@@ -142,4 +142,4 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select("url", "html")
+    return read_table(spark, sf_dir, "pages", deal=True).select("url", "html")
