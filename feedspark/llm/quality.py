@@ -30,6 +30,8 @@ WIDTH, STRIDE, SEGMENT, FILTERS, BYTE_DIM = 8, 2, 256, 16, 8
 #: Bound of the labelled sample, and of the bytes of it that are learned from at once.
 SAMPLE_PER_CLASS, BATCH, EPOCHS, RATE, DECAY = 1500, 48, 14, 0.01, 1e-4
 THRESHOLD, SEED = 0.7, 11
+#: Least number of steps of a fit.
+MIN_STEPS = 800
 #: Weight of a short run of words cut from a labelled text, against the text itself.
 SNIPPET_WEIGHT = 1.0
 
@@ -100,6 +102,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
     p = {"byte": rng.normal(0, 0.3, (256, BYTE_DIM)), "place": rng.normal(0, 0.3, (WIDTH, BYTE_DIM, FILTERS)),
          "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.1, 2 * FILTERS), "const": np.zeros(1)}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    epochs = max(epochs, -(-MIN_STEPS * BATCH // len(texts)))  # a small sample is gone through more often
     total = epochs * -(-len(texts) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
