@@ -136,6 +136,12 @@ oracle("nearest_centroid", ["nc_all"], "SELECT article_id, label, cluster FROM n
 oracle("adjusted_rand", ["ari_val"], f"SELECT {R5('ari')} AS ari FROM ari_val")
 oracle("nmi", ["nmi_val"], f"SELECT {R5('nmi')} AS nmi FROM nmi_val")
 oracle("silhouette_exact", ["sil_val"], f"SELECT {R5('silhouette')} AS silhouette FROM sil_val")
+oracle("lloyd_steps", ["lloyd2"], "SELECT article_id, cluster FROM lloyd2")
+oracle("assignment_metrics", ["ari_val", "nmi_val", "sil_val"], f"""
+SELECT 'silhouette' AS metric, {R5('silhouette')} AS value FROM sil_val
+UNION ALL SELECT 'ari', {R5('ari')} FROM ari_val UNION ALL SELECT 'nmi', {R5('nmi')} FROM nmi_val""")
+oracle("cf_prediction_rows", ["cfg_pairs"], f"""
+SELECT user_id, item_id, {R5('rating')} AS rating, true AS in_range FROM cfg_pairs WHERE is_test""")
 oracle("contrastive_pairs", ["cpairs"], "SELECT article_id, batch_id, slot FROM cpairs")
 oracle("contrastive_loss", ["closs"], f"SELECT {R5('loss')} AS loss FROM closs")
 oracle("train_test_split", ["cfg_pairs"], "SELECT user_id, item_id, is_test FROM cfg_pairs")

@@ -441,6 +441,21 @@ def q_cluster_metrics(spark, sf_dir):
     return CE.compare_variants(variants, labels, int(k))
 
 
+@query("lloyd_steps")
+def q_lloyd_steps(spark, sf_dir):
+    """Two rounds of k-means from the class means."""
+    emb = labelled(spark, sf_dir)
+    return CE.lloyd_steps(emb, CE.class_centroids(emb, dim=DIM), 2, dim=DIM).select("article_id", "cluster")
+
+
+@query("assignment_metrics")
+def q_assignment_metrics(spark, sf_dir):
+    """The metric rows of a variant, on the nearest-centroid clusters."""
+    m = CE.assignment_metrics(eval_assignments(spark, sf_dir))
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.round(F.lit(float(v)), 5).alias("value")) for k, v in m.items()])
+    return spark.range(1).select(F.inline(rows))
+
+
 @query("contrastive_pairs")
 def q_contrastive_pairs(spark, sf_dir):
     return CT.contrastive_pairs(cut_lineage(processed(spark, sf_dir))).select("article_id", "batch_id", "slot")
@@ -475,6 +490,14 @@ def q_cf_fit_predict(spark, sf_dir):
     return p.select("user_id", "item_id", F.round("rating", 5).alias("rating"), F.round("est", 5).alias("est"))
 
 
+@query("cf_prediction_rows")
+def q_cf_prediction_rows(spark, sf_dir):
+    """Keys and ratings of the fitted model's predictions, and whether each estimate is a number in the rating range."""
+    p = CF.fit_predict(graded(spark, sf_dir))
+    return p.select("user_id", "item_id", F.round("rating", 5).alias("rating"),
+                    F.coalesce(F.col("est").between(CF.RATING_MIN, CF.RATING_MAX), F.lit(False)).alias("in_range"))
+
+
 @query("precision_recall_per_user")
 def q_precision_recall_per_user(spark, sf_dir):
     per = CF.precision_recall_per_user(CF.baseline_predict(FX.interactions(spark, sf_dir)))

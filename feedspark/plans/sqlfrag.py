@@ -380,6 +380,21 @@ SELECT article_id, label, CAST(cl AS INTEGER) AS cluster FROM (
   FROM emb_long e JOIN cents c ON c.pos = e.pos GROUP BY 1, 2, 3) x
 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY cos DESC, cl) = 1""")
 
+
+def lloyd(name: str, src: str) -> None:
+    """One round of k-means: rows go to the nearest mean of ``src`` (label, pos, c)."""
+    cte(name, ("emb_long", src), f"""
+SELECT article_id, CAST(cl AS INTEGER) AS cluster FROM (
+  SELECT e.article_id, c.label AS cl, sum((e.value - c.c) * (e.value - c.c)) AS d
+  FROM emb_long e JOIN {src} c ON c.pos = e.pos GROUP BY 1, 2) x
+QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY d, cl) = 1""")
+
+
+lloyd("lloyd1", "cents")
+cte("cents1", ("emb_long", "lloyd1"), """
+SELECT l.cluster AS label, e.pos, avg(e.value) AS c FROM emb_long e JOIN lloyd1 l USING (article_id) GROUP BY 1, 2""")
+lloyd("lloyd2", "cents1")
+
 cte("emb_eval", ("emb_long", "eval_keys"), "SELECT * FROM emb_long WHERE article_id IN (SELECT article_id FROM eval_keys)")
 
 cte("nc_eval", ("nc_all", "eval_keys"), "SELECT * FROM nc_all WHERE article_id IN (SELECT article_id FROM eval_keys)")
