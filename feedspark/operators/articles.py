@@ -17,16 +17,20 @@ PROCESSED_COLS = (ID_COL, CATEGORY_COL, "category_encoded", DATE_COL, "combined_
 
 
 def with_row_order(df: DataFrame, order_col: str = "row_ord") -> DataFrame:
-    """Input order column; where absent, a hash of the row's content, which does not change with the
-    layout of the files (rows that are equal in every column count as one)."""
+    """Input order column; where absent, from a 128-bit digest of the row's content, which does not change with
+    the layout of the files (rows that are equal in every column count as one). Without an id column either, the
+    digest becomes the id."""
     if order_col in df.columns:
         return df
     whole = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
-    return df.withColumn(order_col, F.xxhash64(whole)).dropDuplicates([order_col])
+    df = df.withColumn("__digest", F.md5(whole)).dropDuplicates(["__digest"]).withColumn(order_col, F.xxhash64("__digest"))
+    if ID_COL not in df.columns:
+        df = df.withColumn(ID_COL, F.col("__digest"))
+    return df.drop("__digest")
 
 
 def with_article_id(df: DataFrame, order_col: str = "row_ord") -> DataFrame:
-    """String id; when the input has no id column the row position becomes the id."""
+    """String id; where the input has an order column but no id, the order becomes the id."""
     if ID_COL not in df.columns:
         df = df.withColumn(ID_COL, F.col(order_col))
     return df.withColumn(ID_COL, F.col(ID_COL).cast("string"))
