@@ -17,6 +17,7 @@ ids are packed like any other row; no rows give no sequences; other columns are
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -47,12 +48,17 @@ class ByteEncoder:
 
     def __init__(self, tokenizer: str, ranks: str):
         import tiktoken
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(tokenizer)
+        self.tokenizer = tokenizer
         with open(ranks, "rb") as f:
             table = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @functools.cached_property
+    def library(self):
+        """Read only by tasks that meet a text which needs it."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.tokenizer)
+
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or EXOTIC.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
