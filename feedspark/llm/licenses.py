@@ -1,17 +1,18 @@
 """Operator 7: license scans by an exact set-similarity join, in DataFrame expressions alone.
 
-A text block is a line of a document, a template a known license text; both are sets of words. A block meets
-a template if it holds at least THRESHOLD of the template's words. Words are put in one global order, by rising
-number of occurrences in all documents. With n template words, a = ceil(THRESHOLD * n) of which are needed,
-and k template words in the block (words of no template match nothing and are left out):
+A template is a known license text, a set of words; a text block is a window of WIDTH times as many consecutive
+words of a document as the template has. Windows start at every word and take no notice of line breaks, so that a
+wrapped wording is met, and words scattered over a long line are not. A block meets a template if it holds at
+least THRESHOLD of the template's words. Words are put in one global order, by rising number of occurrences in all
+documents. With n template words, a = ceil(THRESHOLD * n) of which are needed:
 
-* prefix filter: one of the block's first k - a + 1 words is among the template's first n - a + 1;
-* length filter: k >= a;
-* positional filter: a first common word at place i of the template and j of the block (from 0) leaves at
-  most min(n - i, k - j) common words, which must be a at least.
+* prefix filter: a block that meets a template holds one of the template's first n - a + 1 words;
+* length filter: the document, and the words within a window's length of that word, hold a template words at least;
+* positional filter: a block starts at a word of the template, after the prefix word before, so that each block
+  is confirmed once, at the first prefix word in it.
 
-The prefixes of all templates form an index (a parameter of bounded size, so broadcast) that meets the blocks'
-prefix words in an equi-join; each pair is confirmed on the full sets, once, at its first common word.
+The prefixes of all templates form an index (a parameter of bounded size, so broadcast) that meets the documents'
+prefix words in an equi-join. n_blocks counts for each template the blocks that do not overlap, from the first on.
 
 Defined results: a null or empty text has no words, places or labels and score 0; rows that repeat an id or a
 text, and null ids, give a row each; other columns are not read; the empty table gives no rows.
@@ -27,6 +28,8 @@ from . import common
 from .literals import constant_table
 
 THRESHOLD = 0.9
+#: Words of a block for each word of the template (the rest is room for words in between, such as comment marks).
+WIDTH = 2
 #: Everything but words (fixed value: words are runs of other characters).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases looked for as they stand, and their labels (fixed values).
@@ -55,8 +58,12 @@ def words_of(text: Column) -> Column:
     return F.when(n != "", F.split(n, " ")).otherwise(F.array().cast("array<string>"))
 
 
+def _words(template: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in template.lower()).split()
+
+
 def _set(template: str) -> list[str]:
-    return sorted({w for w in "".join(c if c.isalnum() else " " for c in template.lower()).split()})
+    return sorted(set(_words(template)))
 
 
 def frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -66,31 +73,46 @@ def frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def template_matches(texts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(__id, __text_key, label, containment) of every line of ``texts`` (__id, __text) that meets a template; a row for each pair."""
-    sets = [(_set(t), label) for t, label in templates]
-    vocabulary = sorted({w for s, _ in sets for w in s})
+    """(__id, __text_key, label, containment, blocks) of every text of ``texts`` (__id, __text) and template that it meets."""
+    sets = [(_set(t), label, len(_words(t))) for t, label in templates]
+    vocabulary = sorted({w for s, _, _ in sets for w in s})
     seen = frequencies(texts, vocabulary)
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     index, least = [], 1 << 30
-    for s, label in sets:
+    for t, (s, label, own) in enumerate(sets):
         s = sorted(s, key=rank.__getitem__)
         need = math.ceil(threshold * len(s) - 1e-9)
         least = min(least, need)
-        index += [(w, i, label, s, len(s), need) for i, w in enumerate(s[:len(s) - need + 1])]
-    prefixes = constant_table(texts.sparkSession, ["token", "i", "label", "template", "n", "need"], index,
-                              ["string", "int", "string", "array<string>", "int", "int"])
-    lines = texts.select("__id", F.xxhash64("__text").alias("__text_key"), F.explode(F.split("__text", "\n")).alias("line"))
-    known = F.array(*[F.lit(w) for w in order])
-    blocks = lines.select("__id", "__text_key", F.array_intersect(known, words_of(F.col("line"))).alias("b"))
-    blocks = blocks.withColumn("k", F.size("b")).where(F.col("k") >= least)
-    firsts = blocks.select("*", F.posexplode(F.slice("b", F.lit(1), F.col("k") - least + 1)).alias("j", "token"))
-    pairs = firsts.join(F.broadcast(prefixes), "token").where(
-        (F.col("k") >= F.col("need")) & (F.col("j") <= F.col("k") - F.col("need"))
-        & (F.least(F.col("n") - F.col("i"), F.col("k") - F.col("j")) >= F.col("need")))
-    common_ = F.array_intersect("template", "b")
-    pairs = pairs.withColumn("c", common_).where((F.size("c") >= F.col("need")) & (F.col("c")[0] == F.col("token")))
-    return pairs.select("__id", "__text_key", "label", (F.size("c") / F.col("n")).alias("containment"))
+        prefix = s[:len(s) - need + 1]
+        index += [(w, t, label, s, prefix, len(s), need, own, WIDTH * own) for w in prefix]
+    prefixes = constant_table(texts.sparkSession, ["token", "t", "label", "template", "prefix", "n", "need", "own", "width"], index,
+                              ["string", "int", "string", "array<string>", "array<string>", "int", "int", "int", "int"])
+    widest = max((r[-1] for r in index), default=0)
+    known, tokens = F.array(*[F.lit(w) for w in order]), sorted({r[0] for r in index})
+    docs = texts.select("__id", F.xxhash64("__text").alias("__text_key"), words_of(F.col("__text")).alias("w"))
+    docs = docs.where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in tokens])) & (F.size(F.array_intersect(known, "w")) >= least))
+    # the words around each prefix word, as far as a window that holds it reaches
+    places = F.filter(F.sequence(F.lit(1), F.size("w")), lambda p: F.get("w", p - 1).isin(tokens))
+    around = F.transform(places, lambda p: F.struct(
+        F.get("w", p - 1).alias("token"), F.greatest(p - widest, F.lit(0)).alias("before"), F.least(p, F.lit(widest)).alias("at"),
+        F.slice("w", F.greatest(p - widest + 1, F.lit(1)), F.least(p, F.lit(widest)) + widest - 1).alias("near")))
+    firsts = docs.select("__id", "__text_key", F.inline(around))
+    pairs = firsts.join(F.broadcast(prefixes), "token").where(F.size(F.array_intersect("template", "near")) >= F.col("need"))
+    starts = F.filter(F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(1)), F.col("at")), lambda j:
+                      F.array_contains("template", F.get("near", j - 1)) & ~F.arrays_overlap(F.slice("near", j, F.col("at") - j), "prefix"))
+    pairs = pairs.select("__id", "__text_key", "t", "label", "n", "need", "own", "width", "template", "near", "before", F.explode(starts).alias("j"))
+    # places of the template's words in the window that starts at j
+    pairs = pairs.withColumn("window", F.slice("near", F.col("j"), F.col("width")))
+    pairs = pairs.withColumn("found", F.array_sort(F.filter(F.transform("template", lambda x: F.array_position("window", x)), lambda x: x > 0)))
+    pairs = pairs.where(F.size("found") >= F.col("need"))
+    end = F.col("before") + F.col("j") + F.get("found", F.col("need") - 1)
+    met = pairs.groupBy("__id", "__text_key", "t", "label", "own").agg(
+        F.max(F.size("found") / F.col("n")).alias("containment"),
+        F.array_sort(F.collect_set(F.struct(end.alias("end"), (-F.col("before") - F.col("j")).alias("back")))).alias("spans"))
+    blocks = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("free"), F.lit(0).cast("long").alias("n")), lambda a, x: F.when(
+        -x["back"] >= a["free"], F.struct(F.greatest(x["end"], F.col("own") - x["back"]).cast("long").alias("free"), (a["n"] + 1).alias("n"))).otherwise(a))
+    return met.select("__id", "__text_key", "label", "containment", blocks["n"].alias("blocks"))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -125,7 +147,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         F.array_min("__all").cast("long").alias("first_word"), F.array_max("__all").cast("long").alias("last_word"),
         F.array_distinct(F.filter(F.array(*[F.when(F.size(f"__p{i}") > 0, label) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())).alias("__base"))
     hits = template_matches(texts, templates, threshold).groupBy("__id", "__text_key").agg(
-        F.collect_set("label").alias("__labels"), F.max("containment").alias("__c"), F.count(F.lit(1)).alias("__m"))
+        F.collect_set("label").alias("__labels"), F.max("containment").alias("__c"), F.sum("blocks").alias("__m"))
     left, right = base.alias("l"), hits.alias("r")
     joined = left.join(right, F.col("l.__id").eqNullSafe(F.col("r.__id")) & (F.col("l.__text_key") == F.col("r.__text_key")), "left")
     found = F.coalesce(F.col("r.__labels"), F.array().cast("array<string>"))
