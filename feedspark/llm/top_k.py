@@ -8,9 +8,10 @@ result by them alone. Essential postings are traversed and added up; the others
 terms at a time, for rows whose sum and remaining bounds are still competitive. Shards are merged.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows
-with a null id; missing components of a shorter vector count as 0; components beyond +-2**19 count as
-that (so that sums fit a long); rows with the query's own id are not its candidates; an id that occurs
-in several rows is listed once, with its highest score; empty tables give no rows.
+with a null id; missing components of a shorter vector count as 0; a score that does not fit a
+long is taken from components clipped to +-2**19 (and is the long nearest to that); a block in which scores may
+come near the end of a long is scored whole; rows with the query's own id are not its candidates; an id that
+occurs in several rows is listed once, with its highest score; empty tables give no rows.
 """
 from __future__ import annotations
 
@@ -27,7 +28,30 @@ FIRST_ROWS, PROBE_TERMS = 128, 8
 
 
 def quantised(m: np.ndarray) -> np.ndarray:
-    return np.floor(np.clip(m, -LIMIT, LIMIT) * SCALE)
+    """Whole-number components, kept finite when scaled."""
+    return np.floor(np.clip(m, -2.0**1015, 2.0**1015) * SCALE)
+
+
+def large_scores(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of the rows of ``x`` where sums may be beyond a long: exact where they fit, else of clipped components."""
+    x, w = x[:, w != 0], w[w != 0]
+    with np.errstate(all="ignore"):
+        size, about = np.abs(x) @ np.abs(w), x @ w
+        fits = size < 2.0**62
+        beyond = np.abs(about) - size * 2.0**-50 * (len(w) + 1) > 2.0**63
+    most = LIMIT * SCALE
+    cut_w, cut_x = np.clip(w, -most, most).astype(np.int64), np.clip(x, -most, most).astype(np.int64)
+    beyond &= len(w) < 512  # clipped sums fit a long then
+    out = np.zeros(len(x), np.int64)
+    with np.errstate(all="ignore"):  # a component too large for a long meets zeros only
+        out[fits] = x[fits].astype(np.int64) @ w.astype(np.int64)
+    out[beyond] = cut_x[beyond] @ cut_w
+    for r in np.flatnonzero(~fits & ~beyond):
+        s = sum(int(a) * int(b) for a, b in zip(w, x[r]))
+        if abs(s) >= 1 << 63:
+            s = sum(int(a) * int(b) for a, b in zip(cut_w, cut_x[r]))
+        out[r] = max(1 - (1 << 63), min((1 << 63) - 1, s))
+    return out
 
 
 def maxscore(k: int):
@@ -37,12 +61,24 @@ def maxscore(k: int):
         q, x = quantised(q), quantised(x)
         if not x.shape[1]:
             q, x = np.zeros((len(q), 1)), np.zeros((len(x), 1))
+        x = np.where(q.any(axis=0), x, 0.0)
+        q = np.where(x.any(axis=0), q, 0.0)
         low, high = x.min(axis=0), x.max(axis=0)
-        most = float((np.abs(q).max(axis=0) * np.maximum(-low, high)).sum())
+        with np.errstate(over="ignore"):
+            most = float((np.abs(q).max(axis=0) * np.maximum(-low, high)).sum())
         kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # sums are exact in it
-        postings, weights = np.ascontiguousarray(x.T.astype(kind)), q.astype(kind)
+        with np.errstate(invalid="ignore"):
+            postings, weights = np.ascontiguousarray(x.T.astype(kind)), q.astype(kind)
         at, found, scores = [], [], []
         for i in range(len(q_ids)):
+            if most >= 2**62:
+                rows = np.flatnonzero(ids != q_ids[i])
+                sums = large_scores(q[i], x[rows])
+                top = best(sums, ids[rows], k)
+                at.append(np.full(len(top), i))
+                found.append(ids[rows[top]])
+                scores.append(sums[top])
+                continue
             w = weights[i]
             bound = np.maximum(w * low.astype(kind), w * high.astype(kind))
             terms = np.argsort(-bound, kind="stable")
