@@ -7,7 +7,7 @@ import pytest
 
 LONG = " ".join(f"word{i % 977} of the thing" for i in range(12000))
 BASE = " ".join(f"alpha{i} beta{i * 7 % 31}" for i in range(60))
-CLASH = ["id", "key", "score", "path", "u", "v", "label", "tokens", "block", "__text", "__label", "held_out", "rank", "unit", "family"]
+CLASH = ["id", "key", "score", "path", "u", "v", "label", "tokens", "block", "conv", "part", "row", "digest", "h1", "data", "x", "n", "weight", "comp1", "__text", "__label", "held_out", "rank", "unit", "family"]
 
 
 def mod(doc_id: int, n: int) -> int:
@@ -50,12 +50,24 @@ def odd_labels() -> list[dict]:
     return [{c: "x" for c in CLASH} | r for r in rows]
 
 
+def odd_conversations() -> list[dict]:
+    deep = [(300, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(120)]
+    same = [(c, t, "user", f"hello {t}") for c in range(401, 460) for t in range(3)]
+    rows = deep + same + [(310 + c, t, "user" if t % 2 else "assistant", f"turn {t}" if t < 7 + 9 * c else f"own {c} {t}") for c in range(9) for t in range(90)]
+    rows += [(500, t, "user", f"b {t}") for t in range(2)] + [(501 + c, t, None if t == 1 else "user", None if t == 2 else f"own {t}") for c in range(12) for t in range(c % 7)]
+    rows += [(700 + c, None, "system", "first of all") for c in range(8)] + [(700 + c, t, "user", "日本 é\U0001f600") for c in range(8) for t in (-1, 3, 3, 9)]
+    rows += [(700, 3, "assistant", "a tie"), (700, 3, "assistant", "another tie"), (-205, 0, "user", "below zero"), (-200, 0, "user", "base below zero"), (None, 0, "user", "nobody"), (None, None, None, None)]
+    rows += [(9, 0, "", ""), (9, 1, None, None), (8, 0, None, None), (7, 5, "user", "x" * 20000)]
+    return [{c: "x" for c in CLASH} | dict(zip(("conv_id", "turn", "role", "text"), r)) for r in rows]
+
+
 SCHEMAS = {
     "documents": [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())],
     "embeddings": [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())],
     "pages": [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())],
     "labels": [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())],
     "benchmark": [("item_id", pa.int64()), ("text", pa.string())],
+    "conversations": [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())],
 }
 
 
@@ -70,7 +82,8 @@ def write(folder, tables: dict[str, list[dict]]) -> str:
 
 @pytest.fixture(scope="session")
 def odd_dir(tmp_path_factory):
-    return write(tmp_path_factory.mktemp("odd"), {"documents": odd_documents(), "embeddings": odd_embeddings(), "pages": odd_pages(), "labels": odd_labels()})
+    return write(tmp_path_factory.mktemp("odd"), {"documents": odd_documents(), "embeddings": odd_embeddings(), "pages": odd_pages(), "labels": odd_labels(),
+                                                      "conversations": odd_conversations()})
 
 
 @pytest.fixture(scope="session")
