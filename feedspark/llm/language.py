@@ -13,12 +13,12 @@ from; without any such row all is ``und``; other columns are not read.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ REJECT = 0.6
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Marks and digits of the first alphabets count as spaces.
 LETTERS = np.array([i if chr(i).isalpha() else 32 for i in range(0x370)], np.uint32)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SIZES = 24
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .literals import constant_table
+from .url_filter import LOWER, UPPER
 
 THRESHOLD = 0.9
 #: Words of a block for each word of the template (the rest is room for words in between, such as comment marks).
@@ -49,8 +50,8 @@ TEMPLATES = (
 
 
 def normal(text: Column) -> Column:
-    """Lower-cased words with one space between them."""
-    return F.trim(F.regexp_replace(F.lower(text), BETWEEN, " "))
+    """Words with one space between them; only A-Z are lower-cased."""
+    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), BETWEEN, " "))
 
 
 def words_of(text: Column) -> Column:
@@ -165,22 +166,28 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-    rows = ", ".join(f"({quoted(_set(t))}, '{label}', {math.ceil(THRESHOLD * len(_set(t)) - 1e-9)})" for t, label in TEMPLATES)
+    rows = ", ".join(f"({i}, {quoted(_set(t))}, '{label}', {math.ceil(THRESHOLD * len(_set(t)) - 1e-9)}, {len(_words(t))}::BIGINT)" for i, (t, label) in enumerate(TEMPLATES))
     between = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    norm = lambda x: f"trim(regexp_replace(lower({x}), '{between}', ' ', 'g'))"
+    norm = lambda x: f"trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '{between}', ' ', 'g'))"
     places = []
     for phrase, label in PHRASES:
         parts = phrase.split(" ")
         cond = " AND ".join(f"w[i + {d + 1}] = '{p}'" for d, p in enumerate(parts))
         places.append(f"list_transform(list_filter(range(0, len(w)), lambda i: {cond}), lambda i: {{'i': i, 'label': '{label}'}})")
     return f"""
-WITH t(words, label, need) AS (VALUES {rows}),
+WITH t(t, words, label, need, own) AS (VALUES {rows}),
 d AS (SELECT doc_id, coalesce(text, '') AS text, {norm("coalesce(text, '')")} AS n FROM documents),
 e AS (SELECT row_number() OVER () AS r, doc_id, text, CASE WHEN n = '' THEN [] ELSE string_split(n, ' ') END AS w FROM d),
 p AS (SELECT r, doc_id, text, len(w) AS n_words, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS ps FROM e),
-b AS (SELECT r, list_distinct(string_split({norm("line")}, ' ')) AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM e)),
-m AS (SELECT b.r, t.label, len(list_intersect(t.words, b.ws)) / len(t.words) AS c FROM b JOIN t ON len(list_intersect(t.words, b.ws)) >= t.need),
-g AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c, count(*) AS n_blocks FROM m GROUP BY r)
+b AS (SELECT r, t.*, w, unnest(list_filter(range(1, len(w) + 1), lambda j: list_contains(words, w[j]))) AS j FROM e JOIN t ON len(list_intersect(t.words, e.w)) >= t.need),
+f AS (SELECT r, t, label, need, own, len(words) AS n, j, list_sort(list_filter(list_transform(words, lambda x: list_position(w[j:j + {WIDTH} * own - 1], x)), lambda x: x > 0)) AS found FROM b),
+s AS (
+  SELECT r, label, own, max(len(found) / n) AS c, list_sort(list(DISTINCT {{'a': (j + found[need])::BIGINT, 'b': (-j)::BIGINT}})) AS spans
+  FROM f WHERE len(found) >= need GROUP BY r, t, label, own),
+m AS (
+  SELECT r, label, c, list_reduce(list_prepend({{'a': 0::BIGINT, 'b': 0::BIGINT}}, spans),
+    lambda x, y: CASE WHEN -y.b >= x.a THEN {{'a': greatest(y.a, own - y.b), 'b': x.b + 1}} ELSE x END).b AS blocks FROM s),
+g AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c, sum(blocks) AS n_blocks FROM m GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_base,
   CAST(list_min(list_transform(ps, lambda x: x.i)) AS BIGINT) AS first_word, CAST(list_max(list_transform(ps, lambda x: x.i)) AS BIGINT) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(ps, lambda x: x.label))), ',') AS base_labels,

@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 import pytest
 
 LONG = " ".join(f"word{i % 977} of the thing" for i in range(12000))
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted"
 BASE = " ".join(f"alpha{i} beta{i * 7 % 31}" for i in range(60))
 CLASH = ["id", "key", "score", "path", "u", "v", "label", "tokens", "block", "conv", "part", "row", "digest", "h1", "data", "x", "n", "weight", "comp1", "__text", "__label", "held_out", "rank", "unit", "family"]
 
@@ -19,7 +21,9 @@ def odd_documents() -> list[dict]:
              "Released under the MIT License.\nmit license mit license", "The Apache License\nand the GNU General Public License text",
              "Licensed under CC BY-NC 4.0.", "日本語のテキスト Straße ΣΑΣ İstanbul é", "<|endoftext|> and <|startoftext|>", "\x00 \x1c \x85 \u2028 end",
              "the of and to in is that it for was on with as by this are be", "el la de que y en los del se las por un para con",
-             "THIS!! IS!! LOUD!! AND!! BAD!!", "junk*** words$$$ here### and%%% there&&&", "alpha beta", "alpha beta gamma"]
+             "THIS!! IS!! LOUD!! AND!! BAD!!", "junk*** words$$$ here### and%%% there&&&", "alpha beta", "alpha beta gamma",
+             "² ½ ① Ⅷ", "² ½ ① Ⅷ é", " ".join(MIT.split()[:9]) + "\n# " + "\n# ".join(MIT.split()[9:]), (" filler" * 50).join([""] + MIT.split()), f"{BSD} {BSD} {BSD}",
+             "MIT LİCENSE the MIT lıcense, mit license. " + " ".join(BSD.split()[1:]) + " " + MIT + " " + BSD.upper()]
     rows = [{"doc_id": i, "text": t, "lang": "es" if t and t.startswith("el ") else "en", "source": None, "n_chars": len(t or "")} for i, t in enumerate(texts)]
     rows += [dict(rows[8]), dict(rows[8]), dict(rows[0])]  # repeated rows
     rows += [{"doc_id": None, "text": BASE, "lang": None, "source": "s", "n_chars": None}, {"doc_id": None, "text": None, "lang": None, "source": None, "n_chars": None}]
