@@ -1,7 +1,9 @@
 """Deterministic sampling and splitting by hash of key (the same rows on every run and layout)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO_POW_32, hash32
@@ -18,9 +20,8 @@ LIKE_PROBABILITY = 0.7
 HISTOGRAM_BITS = 16
 
 
-def sample_rows(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFrame:
-    """Keep the ``n`` rows with the smallest (hash(seed, key), key); all rows when there are at
-    most ``n``.
+def _among_smallest(keyed: DataFrame, n: int, order: list[str]) -> Column | None:
+    """Whether a row is among the ``n`` rows of smallest (hash, key), which ``order`` names; None if all are.
 
     The n-th smallest value is found without sending ``n`` rows per input partition to one task
     (which is what ``orderBy(...).limit(n)`` does): rows are counted per bucket of the hash's top
@@ -28,12 +29,10 @@ def sample_rows(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFr
     n-th row is located, and only that bucket's rows go through a top-k. All rows of lower buckets
     are kept whole. The full rows are then filtered against the found (hash, key) value.
     """
-    keyed = df.withColumn("__h", hash32(seed, *key_cols))
-    order = ["__h", *key_cols]
-    bucket = F.shiftright(F.col("__h"), 32 - HISTOGRAM_BITS)
+    bucket = F.shiftright(F.col(order[0]), 32 - HISTOGRAM_BITS)
     hist = sorted((r[0], r[1]) for r in keyed.groupBy(bucket.alias("__b")).count().collect())
     if sum(c for _, c in hist) <= n:
-        return keyed.drop("__h")
+        return None
     below = 0
     for b, c in hist:
         if below + c >= n:
@@ -41,12 +40,24 @@ def sample_rows(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFr
         below += c
     threshold = (keyed.where(bucket == b).select(*order).orderBy(*order).limit(n - below)
                       .agg(F.max(F.struct(*order)).alias("t")).scalar())
-    return keyed.where((bucket < b) | ((bucket == b) & (F.struct(*order) <= threshold))).drop("__h")
+    return (bucket < b) | ((bucket == b) & F.coalesce(F.struct(*order) <= threshold, F.lit(False)))
+
 
+def sample_rows(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFrame:
+    """Keep the ``n`` rows with the smallest (hash(seed, key), key); all rows when there are at most ``n``."""
+    keyed = df.withColumn("__h", hash32(seed, *key_cols))
+    chosen = _among_smallest(keyed, n, ["__h", *key_cols])
+    return (keyed if chosen is None else keyed.where(chosen)).drop("__h")
 
-def split_test(df: DataFrame, seed: int, key_cols: list[str], test_fraction: float = TEST_FRACTION) -> DataFrame:
-    """Add ``is_test``: hash(seed, key) / 2^32 < test_fraction (one pass, no shuffle)."""
-    return df.withColumn("is_test", hash32(seed, *key_cols) < F.lit(int(test_fraction * TWO_POW_32)))
+
+def split_test(df: DataFrame, seed: int, key_cols: list[str], test_fraction: float = TEST_FRACTION, exact: bool = False) -> DataFrame:
+    """Add ``is_test``: hash(seed, key) / 2^32 < test_fraction (one pass, no shuffle); with ``exact`` the rows of smallest
+    (hash, key), ceil(test_fraction * rows) of them (keys must differ)."""
+    if not exact:
+        return df.withColumn("is_test", hash32(seed, *key_cols) < F.lit(int(test_fraction * TWO_POW_32)))
+    keyed = df.withColumn("__h", hash32(seed, *key_cols))
+    chosen = _among_smallest(keyed, math.ceil(test_fraction * df.count() - 1e-9), ["__h", *key_cols])
+    return keyed.withColumn("is_test", F.lit(True) if chosen is None else chosen).drop("__h")
 
 
 def bernoulli_thin(df: DataFrame, p: float, seed: int, key_cols: list[str]) -> DataFrame:
