@@ -18,3 +18,19 @@ def failing(query, start, num, **_):
     if start > 1:
         raise RuntimeError("quota exceeded")
     return {"items": CORPUS["q"][:num], "next_start": start + num}
+
+
+def any_query(query, start, num, **_):
+    return {"items": [{"link": f"https://x.com/{query}/{i}", "title": "T", "snippet": "s"} for i in range(start, start + num)], "next_start": start + num}
+
+
+def only_q7(query, start, num, **_):
+    if query != "q7" or num > 1:
+        raise RuntimeError("not asked for")
+    return any_query(query, start, num)
+
+
+def serve_or_fail(query, start, num, **_):
+    if query == "bad":
+        raise RuntimeError("quota exceeded")
+    return serve(query, start, num)
