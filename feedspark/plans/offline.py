@@ -1,7 +1,8 @@
 """Offline run (the reference's first script) as one Spark job sequence.
 
-prepare articles -> embed -> clustering evaluation -> likes -> CF evaluation and final model ->
-user profiles -> report. Every artifact is a Parquet table (or ML model folder) under ``out``.
+prepare articles -> embed -> tune -> clustering evaluation -> likes -> CF evaluation and final model ->
+user profiles -> report. Every artifact is a Parquet table in this run's folder under ``out``, which becomes the
+current one in one step when all are written: a failed run leaves the former set as it is.
 
 usage: python -m feedspark.plans.offline --out DIR [--sf-dir DIR | --articles-csv PATH --preferences PATH --interactions PATH]
 """
@@ -19,15 +20,17 @@ from ..operators import cluster_eval as CE
 from ..operators import profiles as P
 from ..operators import report as RP
 from ..operators.encoder import Encoder, HashedBagOfWords
+from ..operators.tuning import tune
 from ..sources import artifacts as AR
 
 
 def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataFrame, interactions: DataFrame, out: str,
                 encoder: Encoder | None = None, final_encoder: Encoder | None = None) -> DataFrame:
-    """Returns the metrics table (also written to ``out``)."""
+    """Returns the metrics table (also written to ``out``). Without ``final_encoder`` the final vectors are the base vectors under a
+    projection tuned by the contrastive loss."""
     started = time.perf_counter()
+    root, out = out, AR.new_snapshot(out)
     enc = encoder or HashedBagOfWords()
-    final_enc = final_encoder or enc
     parts = []
 
     processed = A.prepare_articles(raw_articles)
@@ -40,8 +43,14 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
 
     text = processed.select("article_id", "combined_text")
     AR.write_table(enc.encode(text, ["article_id"], "combined_text"), out, "base_embeddings")
-    AR.write_table(final_enc.encode(text, ["article_id"], "combined_text"), out, "article_embeddings")
     base = spark.read.parquet(AR.artifact_path(out, "base_embeddings"))
+    if final_encoder:
+        final = final_encoder.encode(text, ["article_id"], "combined_text")
+    else:
+        projection = tune(base)
+        final = projection.project(base)
+        parts += [spark.createDataFrame([("tuning", f"held_out_loss_{i}", float(v), "") for i, v in enumerate(projection.held_out)], "section string, metric string, value double, note string")]
+    AR.write_table(final, out, "article_embeddings")
     final = spark.read.parquet(AR.artifact_path(out, "article_embeddings"))
 
     labels = processed.select("article_id", F.col("category_encoded").alias("label"))
@@ -76,12 +85,14 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
 
     parts.append(spark.createDataFrame([
         ("run", "total_seconds", time.perf_counter() - started, ""),
-        ("run", "cluster_sample_rows", float(min(n_processed, CE.CLUSTER_EVAL_CAP)), ""),
+        ("run", "cluster_rows", float(n_processed), ""),
         ("run", "encoder_dim", float(dim), type(enc).__name__)], "section string, metric string, value double, note string"))
     report = RP.union_all(parts)
     AR.write_table(report, out, "evaluation_report")
     RP.write_report(spark.read.parquet(AR.artifact_path(out, "evaluation_report")),
                     AR.artifact_path(out, "evaluation_report_txt"), "Offline Evaluation Report")
+    AR.publish_snapshot(spark, root, out)
+    AR.prune_snapshots(spark, root)
     return spark.read.parquet(AR.artifact_path(out, "evaluation_report"))
 
 

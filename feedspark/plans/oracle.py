@@ -29,7 +29,7 @@ oracle("filter_category", ["articles"],
        "SELECT article_id, row_ord, category FROM articles WHERE category IS NOT NULL")
 
 oracle("filter_nonblank", ["articles"], f"""
-SELECT article_id, row_ord FROM articles WHERE {strip(combine('title', 'description'))} <> ''""")
+SELECT article_id, row_ord FROM articles WHERE {strip(combine('title', 'description', 'content'))} <> ''""")
 
 oracle("parse_published_at", ["articles"], f"""
 SELECT article_id, row_ord, try_cast({strip('published_at')} AS TIMESTAMP) AS published_at FROM articles""")
@@ -85,10 +85,9 @@ JOIN punit_e p ON p.user_id = l.user_id AND p.pos = e.pos
 GROUP BY 1, 2""")
 
 oracle("user_profiles", ["pmean_e", "punit_e", "user_prefs"], f"""
-SELECT m.user_id, m.n_liked, coalesce(pr.preferences, '') AS preferences, {R5('u.s')} AS vec_sum
+SELECT m.user_id, m.n_liked, coalesce(pr.preferences, '') AS preferences, CAST(u.pos AS INTEGER) AS pos, {R5('u.value')} AS value
 FROM (SELECT DISTINCT user_id, CAST(n_liked AS BIGINT) AS n_liked FROM pmean_e) m
-JOIN (SELECT user_id, sum(value) AS s FROM punit_e GROUP BY 1) u USING (user_id)
-LEFT JOIN user_prefs pr USING (user_id)""")
+JOIN punit_e u USING (user_id) LEFT JOIN user_prefs pr USING (user_id) WHERE u.value <> 0""")
 
 oracle("preference_match", ["interactions", "processed", "user_prefs_long"], """
 SELECT i.user_id, i.item_id, i.rating, i.timestamp FROM interactions i JOIN processed p ON p.article_id = i.item_id
@@ -136,6 +135,8 @@ oracle("nearest_centroid", ["nc_all"], "SELECT article_id, label, cluster FROM n
 oracle("adjusted_rand", ["ari_val"], f"SELECT {R5('ari')} AS ari FROM ari_val")
 oracle("nmi", ["nmi_val"], f"SELECT {R5('nmi')} AS nmi FROM nmi_val")
 oracle("silhouette_exact", ["sil_val"], f"SELECT {R5('silhouette')} AS silhouette FROM sil_val")
+oracle("silhouette_points", ["sil_points"], f"SELECT i AS article_id, {R5('s')} AS silhouette FROM sil_points")
+oracle("cf_baseline_top_n", ["cfa_top"], "SELECT user_id, rank, item_id, round(est, 6) AS est FROM cfa_top")
 oracle("lloyd_steps", ["lloyd2"], "SELECT article_id, cluster FROM lloyd2")
 oracle("assignment_metrics", ["ari_val", "nmi_val", "sil_val"], f"""
 SELECT 'silhouette' AS metric, {R5('silhouette')} AS value FROM sil_val
@@ -145,6 +146,11 @@ SELECT user_id, item_id, {R5('rating')} AS rating, true AS in_range FROM cfg_pai
 oracle("contrastive_pairs", ["cpairs"], "SELECT article_id, batch_id, slot FROM cpairs")
 oracle("contrastive_loss", ["closs"], f"SELECT {R5('loss')} AS loss FROM closs")
 oracle("train_test_split", ["cfg_pairs"], "SELECT user_id, item_id, is_test FROM cfg_pairs")
+oracle("train_test_split_exact", ["cfg_pairs"], f"""
+SELECT user_id, item_id, row_number() OVER (ORDER BY {S.hash32("'42'", 'user_id', 'item_id')}, user_id, item_id) <= ceil(0.2 * count(*) OVER () - 1e-9) AS is_test FROM cfg_pairs""")
+oracle("recommendation_counts", ["interactions", "ranked"], """
+SELECT u.user_id, count(r.user_id) AS n_recommendations FROM (SELECT DISTINCT user_id FROM interactions) u
+LEFT JOIN (SELECT user_id FROM ranked WHERE rank <= 10) r USING (user_id) GROUP BY 1""")
 oracle("cf_baseline_predict", ["cfg_pred"], f"""
 SELECT user_id, item_id, {R5('rating')} AS rating, {R5('est')} AS est FROM cfg_pred""")
 oracle("precision_recall_per_user", ["pr1_per_user"], f"""
@@ -205,5 +211,4 @@ SELECT artifact, true AS present, CAST(rows AS BIGINT) AS rows FROM (
   UNION ALL SELECT 'cf_mean', 1
   UNION ALL SELECT 'cf_users', (SELECT count(DISTINCT user_id) FROM interactions)
   UNION ALL SELECT 'cf_items', (SELECT count(DISTINCT item_id) FROM interactions)
-  UNION ALL SELECT 'cf_model', NULL
   UNION ALL SELECT 'evaluation_report', 9) r""")

@@ -62,7 +62,7 @@ def q_filter_category(spark, sf_dir):
 
 @query("filter_nonblank")
 def q_filter_nonblank(spark, sf_dir):
-    a = FX.articles(spark, sf_dir).withColumn("t", T.combine_text("title", "description"))
+    a = FX.articles(spark, sf_dir).withColumn("t", T.combine_text(*A.TEXT_COLS))
     return a.where(~T.is_blank("t")).select("article_id", "row_ord")
 
 
@@ -101,6 +101,7 @@ def q_category_lookup(spark, sf_dir):
 
 # ------------------------------------------------------------------ wave 2-4: vectors, profiles, candidates
 from ..functions import html as H  # noqa: E402
+from ..functions.main_text import with_main_text  # noqa: E402
 from ..functions.urls import is_likely_article_url  # noqa: E402
 from ..functions.vectors import cosine, explode_vector, with_l2_normalized  # noqa: E402
 from ..operators import candidates as C  # noqa: E402
@@ -225,8 +226,8 @@ def q_cosine_scores(spark, sf_dir):
 def q_user_profiles(spark, sf_dir):
     inter = FX.interactions(spark, sf_dir)
     prof = P.user_profiles(inter, FX.article_embeddings(spark, sf_dir), DIM, FX.user_preferences(spark, sf_dir))
-    return prof.select("user_id", "n_liked", F.array_join("preferences", ",").alias("preferences"),
-                       F.round(F.aggregate("profile_embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("vec_sum"))
+    prof = prof.withColumn("preferences", F.array_join("preferences", ","))
+    return sparse_long(prof, ["user_id", "n_liked", "preferences"], "profile_embedding")
 
 
 @query("preference_match")
@@ -357,6 +358,20 @@ def q_recommendations_unknown_user(spark, sf_dir):
     return recommendations(spark, sf_dir).join(no_profile, "user_id", "left_semi")
 
 
+@query("recommendation_counts")
+def q_recommendation_counts(spark, sf_dir):
+    """Recommendations of every user with likes; users whose items are all unknown have no profile and get none."""
+    users = FX.interactions(spark, sf_dir).select("user_id").distinct()
+    counts = recommendations(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return users.join(counts, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("n_recommendations"))
+
+
+@query("page_main_text")
+def q_page_main_text(spark, sf_dir):
+    """Main text by text and link density (the column expressions of page_full_text know <article> and <p> alone)."""
+    return with_main_text(FX.pages(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ wave 5-7: evaluation, CF, report, I/O
 import uuid  # noqa: E402
 
@@ -364,6 +379,9 @@ from ..operators import cf as CF  # noqa: E402
 from ..operators import cluster_eval as CE  # noqa: E402
 from ..operators import contrastive as CT  # noqa: E402
 from ..operators import report as RP  # noqa: E402
+from ..operators.cf_top_n import model_top_n, top_n  # noqa: E402
+from ..operators.silhouette import silhouette_points  # noqa: E402
+from ..operators.tuning import tune  # noqa: E402
 from ..session import shared_dir  # noqa: E402
 from ..sources import articles_csv as CSV  # noqa: E402
 from ..sources import artifacts as AR  # noqa: E402
@@ -383,12 +401,6 @@ def eval_assignments(spark, sf_dir):
     return CE.nearest_centroid(labelled(spark, sf_dir), dim=DIM)
 
 
-def sampled_assignments(spark, sf_dir, assign=None):
-    """The reference's evaluation sample of the assignments (its exact silhouette is quadratic), written once."""
-    assign = assign if assign is not None else eval_assignments(spark, sf_dir)
-    return cut_lineage(assign.join(CE.eval_sample(assign, "article_id"), "article_id", "left_semi"))
-
-
 @query("cluster_eval_sample")
 def q_cluster_eval_sample(spark, sf_dir):
     # Sampling operator with a cap below the table size so the cap is exercised.
@@ -412,10 +424,16 @@ def q_nmi(spark, sf_dir):
 
 @query("silhouette_exact")
 def q_silhouette_exact(spark, sf_dir):
-    s = CE.silhouette_exact(sampled_assignments(spark, sf_dir), "article_id")
+    s = CE.silhouette_exact(cut_lineage(eval_assignments(spark, sf_dir)), "article_id")
     return s.select(F.round("silhouette", 5).alias("silhouette"))
 
 
+@query("silhouette_points")
+def q_silhouette_points(spark, sf_dir):
+    s = silhouette_points(cut_lineage(eval_assignments(spark, sf_dir)), "article_id")
+    return s.select("article_id", F.round("silhouette", 5).alias("silhouette"))
+
+
 @query("silhouette_scalable")
 def q_silhouette_scalable(spark, sf_dir):
     v = CE.silhouette_scalable(eval_assignments(spark, sf_dir))
@@ -431,14 +449,13 @@ def q_kmeans_clusters(spark, sf_dir):
 
 @query("cluster_metrics")
 def q_cluster_metrics(spark, sf_dir):
-    """Two encoder variants of the processed articles, same sampled rows, labels = category."""
+    """Base vectors of the processed articles and the same tuned by the contrastive loss, all rows, labels = category."""
     proc = cut_lineage(processed(spark, sf_dir))  # read by every metric step below
     labels = proc.select("article_id", F.col("category_encoded").alias("label"))
     k = A.category_count(proc).first()[0]
     text = proc.select("article_id", "combined_text")
-    variants = {"final": HashedBagOfWords(256).encode(text, ["article_id"], "combined_text"),
-                "base": HashedBagOfWords(DIM).encode(text, ["article_id"], "combined_text")}
-    return CE.compare_variants(variants, labels, int(k))
+    base = cut_lineage(encoder().encode(text, ["article_id"], "combined_text"))
+    return CE.compare_variants({"final": tune(base).project(base), "base": base}, labels, int(k))
 
 
 @query("lloyd_steps")
@@ -469,6 +486,14 @@ def q_contrastive_loss(spark, sf_dir):
     return CT.contrastive_loss(vecs).select(F.round("loss", 5).alias("loss"))
 
 
+@query("contrastive_tuning")
+def q_contrastive_tuning(spark, sf_dir):
+    """Mean held-out loss before tuning and after each pass."""
+    vecs = cut_lineage(encoder().encode(processed(spark, sf_dir).select("article_id", "combined_text"), ["article_id"], "combined_text"))
+    losses = tune(vecs).held_out
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "pass int, held_out_loss double").withColumn("held_out_loss", F.round("held_out_loss", 4))
+
+
 def graded(spark, sf_dir):
     return FX.interactions(spark, sf_dir, graded=True)
 
@@ -478,6 +503,11 @@ def q_train_test_split(spark, sf_dir):
     return CF.train_test(CF.rating_pairs(graded(spark, sf_dir))).select("user_id", "item_id", "is_test")
 
 
+@query("train_test_split_exact")
+def q_train_test_split_exact(spark, sf_dir):
+    return CF.train_test(CF.rating_pairs(graded(spark, sf_dir)), exact=True).select("user_id", "item_id", "is_test")
+
+
 @query("cf_baseline_predict")
 def q_cf_baseline_predict(spark, sf_dir):
     p = CF.baseline_predict(graded(spark, sf_dir))
@@ -498,6 +528,24 @@ def q_cf_prediction_rows(spark, sf_dir):
                     F.coalesce(F.col("est").between(CF.RATING_MIN, CF.RATING_MAX), F.lit(False)).alias("in_range"))
 
 
+@query("cf_top_n")
+def q_cf_top_n(spark, sf_dir):
+    """Ten unseen items for every user by the fitted model."""
+    pairs = cut_lineage(CF.rating_pairs(graded(spark, sf_dir)))
+    return model_top_n(CF.fit_full(pairs), pairs).withColumn("est", F.round("est", 5))
+
+
+@query("cf_baseline_top_n")
+def q_cf_baseline_top_n(spark, sf_dir):
+    """Ten unseen items for every user by the baseline model (biases to 6 decimals, so that both engines add the same numbers)."""
+    pairs = cut_lineage(CF.rating_pairs(graded(spark, sf_dir)))
+    _, bi, bu = CF.fit_baseline(pairs)
+    mean = pairs.agg(F.round(F.avg("rating"), 6).alias("m")).first()["m"] or 0.0
+    none = F.array().cast("array<double>").alias("factors")
+    top = top_n(mean, bu.select("user_id", F.round("b_user", 6).alias("bias"), none), bi.select("item_id", F.round("b_item", 6).alias("bias"), none), pairs)
+    return top.withColumn("est", F.round("est", 6))
+
+
 @query("precision_recall_per_user")
 def q_precision_recall_per_user(spark, sf_dir):
     per = CF.precision_recall_per_user(CF.baseline_predict(FX.interactions(spark, sf_dir)))
@@ -544,9 +592,8 @@ def evaluation_report(spark, sf_dir):
         RP.metric_rows("interactions", counts.select("interactions")),
         RP.metric_rows("profiles", counts.select("users_with_profiles")),
         RP.metric_rows("cf", CF.precision_recall_at_k(CF.baseline_predict(FX.interactions(spark, sf_dir)))),
-        RP.metric_rows("clustering", CE.adjusted_rand(assign)),
-        RP.metric_rows("clustering", CE.nmi(assign)),
-        RP.metric_rows("clustering", CE.silhouette_exact(sampled_assignments(spark, sf_dir, assign), "article_id")),
+        RP.metric_rows("clustering", CE.agreement(cut_lineage(CE.contingency(assign)))),
+        RP.metric_rows("clustering", CE.silhouette_exact(assign, "article_id")),
     ]
     return RP.union_all(parts)
 

@@ -60,9 +60,9 @@ def with_ctes(names: list[str] | tuple[str, ...], final: str) -> str:
 # ---------------------------------------------------------------- stand-in views
 cte("art_base", (), f"""
 SELECT CAST(doc_id AS VARCHAR) AS article_id,
-       split_part(text, chr(10), 1) AS title,
-       CASE WHEN doc_id % 7 = 0 THEN 'NaN' ELSE substr(text, 1, 200) END AS description,
-       text AS content,
+       CASE WHEN doc_id % 41 = 7 THEN '  ' ELSE split_part(text, chr(10), 1) END AS title,
+       CASE WHEN doc_id % 7 = 0 OR doc_id % 41 = 7 THEN 'NaN' ELSE substr(text, 1, 200) END AS description,
+       CASE WHEN doc_id % 41 = 7 THEN 'none' ELSE text END AS content,
        CASE WHEN doc_id % 19 = 0 THEN NULL
             WHEN doc_id % 23 = 0 THEN 'general'
             WHEN doc_id % 29 = 0 THEN 'News '
@@ -134,13 +134,13 @@ SELECT CAST(doc_id AS VARCHAR) AS article_id, text FROM documents""")
 encode_sparse("avec", "vector_docs", "article_id", "text", deps=("vector_docs",))
 
 cte("interactions", (), """
-SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % (SELECT max(doc_id) + 1 FROM documents) AS VARCHAR) AS item_id,
+SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN user_id % 50 = 7 THEN 'unknown-' || event_id % 7 ELSE CAST(event_id % (SELECT max(doc_id) + 1 FROM documents) AS VARCHAR) END AS item_id,
        CAST(1.0 AS DOUBLE) AS rating, ts AS timestamp
 FROM events
 WHERE event_type IN ('view', 'click', 'purchase')""")
 
 cte("interactions_graded", (), """
-SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % (SELECT max(doc_id) + 1 FROM documents) AS VARCHAR) AS item_id,
+SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN user_id % 50 = 7 THEN 'unknown-' || event_id % 7 ELSE CAST(event_id % (SELECT max(doc_id) + 1 FROM documents) AS VARCHAR) END AS item_id,
        CAST(least(value / 100.0, 1.0) AS DOUBLE) AS rating, ts AS timestamp
 FROM events
 WHERE event_type IN ('view', 'click', 'purchase')""")
@@ -254,7 +254,10 @@ def first_p_text(clean: str) -> str:
 cte("page_clean", (), f"""
 SELECT page_id, url, regexp_replace(html, {q(NOISE)}, '', 'g') AS clean FROM pages""")
 
-cte("page_feat", ("page_clean",), f"""
+cte("page_given", ("page_clean",), """
+SELECT page_id, url, CASE WHEN page_id % 17 = 3 THEN '' ELSE clean END AS clean FROM page_clean""")
+
+cte("page_feat", ("page_given",), f"""
 SELECT url,
   CASE WHEN meta <> '' THEN {strip('meta')}
        WHEN regexp_matches(clean, '(?i)<p(?:\\s[^>]*)?>') AND ptext <> '' THEN substr({strip('ptext')}, 1, 300) || '...'
@@ -272,7 +275,7 @@ FROM (
         '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), chr(10)) AS allp
   FROM (SELECT url, clean, {attribute("mtag", "content")} AS mcontent FROM (
     SELECT url, clean, coalesce(list_filter(regexp_extract_all(clean, {q(META_TAG)}, 0), lambda t: {attribute("t", "name")} = 'description')[1], '') AS mtag
-    FROM page_clean) m0) m
+    FROM page_given) m0) m
 ) f""")
 
 cte("page_hits", ("page_clean",), f"""
@@ -284,14 +287,14 @@ FROM (
   SELECT 'latest news ' || v.qlang AS query, p.* FROM (
     SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS lang,
            {strip(decode(untag(f"regexp_extract(clean, {q(TITLE)}, 1)")))} AS page_title,
-           substr({strip(first_p_text('clean'))}, 1, 160) AS snippet
+           substr({strip(first_p_text('clean'))}, 1, CASE WHEN page_id % 17 = 3 THEN 29 ELSE 160 END) AS snippet
     FROM page_clean) p
   JOIN (VALUES ('en'), ('de'), ('fr'), ('es')) v(qlang) ON p.lang = v.qlang OR p.page_id % 5 = 0
   UNION ALL
   SELECT 'top breaking news' AS query, page_id, url,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS lang,
          {strip(decode(untag(f"regexp_extract(clean, {q(TITLE)}, 1)")))} AS page_title,
-         substr({strip(first_p_text('clean'))}, 1, 160) AS snippet
+         substr({strip(first_p_text('clean'))}, 1, CASE WHEN page_id % 17 = 3 THEN 29 ELSE 160 END) AS snippet
   FROM page_clean) h""")
 
 cte("search_results", ("page_hits",), """
@@ -395,10 +398,6 @@ cte("cents1", ("emb_long", "lloyd1"), """
 SELECT l.cluster AS label, e.pos, avg(e.value) AS c FROM emb_long e JOIN lloyd1 l USING (article_id) GROUP BY 1, 2""")
 lloyd("lloyd2", "cents1")
 
-cte("emb_eval", ("emb_long", "eval_keys"), "SELECT * FROM emb_long WHERE article_id IN (SELECT article_id FROM eval_keys)")
-
-cte("nc_eval", ("nc_all", "eval_keys"), "SELECT * FROM nc_all WHERE article_id IN (SELECT article_id FROM eval_keys)")
-
 cte("cont", ("nc_all",), "SELECT label, cluster, CAST(count(*) AS DOUBLE) AS nij FROM nc_all GROUP BY 1, 2")
 
 cte("ari_val", ("cont",), """
@@ -422,20 +421,22 @@ FROM (
          (SELECT count(DISTINCT cluster) FROM cont) AS kv
   FROM (SELECT sum(nij) AS n FROM cont) t) x""")
 
-cte("sil_val", ("emb_eval", "nc_eval"), """
-SELECT avg(s) AS silhouette FROM (
-  SELECT i, CASE WHEN own_n > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s FROM (
-    SELECT i, max(CASE WHEN own THEN sd / (n - 1) END) AS a, min(CASE WHEN NOT own THEN sd / n END) AS b,
-           max(CASE WHEN own THEN n END) AS own_n
-    FROM (
-      SELECT d.i, cj.cluster = ci.cluster AS own, sum(d.d) AS sd, cnt.n
-      FROM (SELECT x.article_id AS i, y.article_id AS j, sqrt(sum((x.value - y.value) * (x.value - y.value))) AS d
-            FROM emb_eval x JOIN emb_eval y ON x.pos = y.pos GROUP BY 1, 2) d
-      JOIN nc_eval ci ON ci.article_id = d.i
-      JOIN nc_eval cj ON cj.article_id = d.j
-      JOIN (SELECT cluster, count(*) AS n FROM nc_eval GROUP BY 1) cnt ON cnt.cluster = cj.cluster
-      GROUP BY d.i, cj.cluster, ci.cluster, cnt.n) g
-    GROUP BY i) h) z""")
+cte("vec_cl", ("emb_long", "nc_all"), """
+SELECT e.article_id, n.cluster, list(e.value ORDER BY e.pos) AS v FROM emb_long e JOIN nc_all n USING (article_id) GROUP BY 1, 2""")
+
+cte("sil_points", ("vec_cl", "nc_all"), """
+SELECT i, CASE WHEN own_n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s FROM (
+  SELECT i, max(CASE WHEN own AND n > 1 THEN sd / (n - 1) END) AS a, min(CASE WHEN NOT own THEN sd / n END) AS b,
+         max(CASE WHEN own THEN n END) AS own_n
+  FROM (
+    SELECT d.i, d.cj = d.ci AS own, sum(d.d) AS sd, cnt.n
+    FROM (SELECT x.article_id AS i, x.cluster AS ci, y.cluster AS cj, sqrt(list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d
+          FROM vec_cl x, vec_cl y) d
+    JOIN (SELECT cluster, count(*) AS n FROM nc_all GROUP BY 1) cnt ON cnt.cluster = d.cj
+    GROUP BY d.i, d.cj, d.ci, cnt.n) g
+  GROUP BY i) h""")
+
+cte("sil_val", ("sil_points",), "SELECT avg(s) AS silhouette FROM sil_points")
 
 cte("cpairs", ("processed",), f"""
 SELECT article_id, CAST((rn - 1) // 8 AS BIGINT) AS batch_id, CAST((rn - 1) % 8 AS INTEGER) AS slot FROM (
@@ -501,3 +502,17 @@ pr_ctes("prg", "cfg_pred", 0.5)
 cte("counts", ("processed", "interactions", "prof_users"), """
 SELECT (SELECT count(*) FROM processed) AS processed_articles, (SELECT count(*) FROM interactions) AS interactions,
        (SELECT count(*) FROM prof_users) AS users_with_profiles""")
+
+
+cte("cfa_pairs", ("interactions_graded",), "SELECT user_id, item_id, avg(rating) AS rating FROM interactions_graded GROUP BY 1, 2")
+cte("cfa_bi", ("cfa_pairs",), """
+SELECT item_id, sum(rating - (SELECT avg(rating) FROM cfa_pairs)) / (10.0 + count(*)) AS b_item FROM cfa_pairs GROUP BY 1""")
+cte("cfa_bu", ("cfa_pairs", "cfa_bi"), """
+SELECT p.user_id, sum(p.rating - (SELECT avg(rating) FROM cfa_pairs) - i.b_item) / (15.0 + count(*)) AS b_user
+FROM cfa_pairs p JOIN cfa_bi i USING (item_id) GROUP BY 1""")
+cte("cfa_top", ("cfa_pairs", "cfa_bi", "cfa_bu"), """
+SELECT * FROM (
+  SELECT user_id, item_id, est, CAST(row_number() OVER (PARTITION BY user_id ORDER BY est DESC, item_id) AS INTEGER) AS rank FROM (
+    SELECT u.user_id, i.item_id, least(greatest((SELECT round(avg(rating), 6) FROM cfa_pairs) + round(u.b_user, 6) + round(i.b_item, 6), 0.0), 1.0) AS est
+    FROM cfa_bu u, cfa_bi i WHERE NOT EXISTS (SELECT 1 FROM cfa_pairs p WHERE p.user_id = u.user_id AND p.item_id = i.item_id)) x) y
+WHERE rank <= 10""")

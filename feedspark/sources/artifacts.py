@@ -1,13 +1,16 @@
-"""Offline artifacts as Parquet tables (and a Spark ML model directory) in one folder.
+"""Offline artifacts as Parquet tables in one folder.
 
 Writes go to a sibling folder first and are then published by rename, so a failed job never leaves
-a half-written artifact behind under the final name.
+a half-written artifact behind under the final name. A whole run writes to a folder of its own, and the pointer file CURRENT is
+swapped to it in one step at the end, so that a reader never meets tables of two runs.
 """
 from __future__ import annotations
 
 import os
+import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,6 @@ ARTIFACTS = {
     "cf_mean": False,
     "cf_users": False,
     "cf_items": False,
-    "cf_model": False,
     "evaluation_report": False,
 }
 
@@ -77,65 +79,90 @@ def write_table(df: DataFrame, root: str, name: str) -> str:
     return final
 
 
-def save_model(model, spark: SparkSession, root: str, name: str = "cf_model") -> str:
-    final = artifact_path(root, name)
-    tmp = final + ".__writing"
-    model.write().overwrite().save(tmp)
-    publish(spark, tmp, final)
-    return final
+def new_snapshot(root: str) -> str:
+    """Folder of a run that nothing points to yet."""
+    return os.path.join(root, "runs", uuid.uuid4().hex)
+
+
+def publish_snapshot(spark: SparkSession, root: str, folder: str) -> None:
+    """Make ``folder`` (of ``new_snapshot``) the set that readers of ``root`` get: one rename over the pointer file."""
+    fs, final = _hadoop_fs(spark, os.path.join(root, "CURRENT"))
+    _, tmp = _hadoop_fs(spark, os.path.join(root, f".CURRENT-{uuid.uuid4().hex}"))
+    stream = fs.create(tmp, True)
+    stream.write(bytearray(os.path.basename(folder).encode()))
+    stream.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(final).toUri(), conf).rename(fs.makeQualified(tmp), fs.makeQualified(final), options)
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """The folder that ``root`` points to; ``root`` itself without a pointer."""
+    if not exists(spark, os.path.join(root, "CURRENT")):
+        return root
+    fs, p = _hadoop_fs(spark, os.path.join(root, "CURRENT"))
+    stream = fs.open(p)
+    name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return os.path.join(root, "runs", name.strip())
+
+
+def prune_snapshots(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete all but the current and the ``keep`` - 1 latest other runs; returns how many."""
+    fs, p = _hadoop_fs(spark, os.path.join(root, "runs"))
+    if not fs.exists(p):
+        return 0
+    now = os.path.basename(current(spark, root))
+    others = sorted(((f.getModificationTime(), f.getPath()) for f in fs.listStatus(p) if f.getPath().getName() != now), key=lambda x: -x[0])
+    for _, path in others[keep - 1:]:
+        fs.delete(path, True)
+    return len(others[keep - 1:])
 
 
 def save_cf(model, spark: SparkSession, root: str) -> None:
-    """A collaborative filter: its tables and its factors."""
+    """A collaborative filter: its tables."""
     for name, table in model.tables().items():
         write_table(table, root, name)
-    save_model(model.factors, spark, root, "cf_model")
 
 
 def remove_cf(spark: SparkSession, root: str) -> None:
-    for name in ("cf_mean", "cf_users", "cf_items", "cf_model"):
+    for name in ("cf_mean", "cf_users", "cf_items"):
         remove(spark, artifact_path(root, name))
 
 
 def load_cf(spark: SparkSession, root: str):
     """The saved collaborative filter, ready to predict; None when there is none."""
-    from pyspark.ml.recommendation import ALSModel
-
-    from ..operators.cf import CfModel
-    if not exists(spark, artifact_path(root, "cf_model")):
-        return None
-    tables = [spark.read.parquet(artifact_path(root, n)) for n in ("cf_mean", "cf_users", "cf_items")]
-    return CfModel(*tables, ALSModel.load(artifact_path(root, "cf_model")))
+    from ..operators.cf_sgd import SgdModel
+    paths = [artifact_path(current(spark, root), n) for n in ("cf_mean", "cf_users", "cf_items")]
+    return SgdModel(*map(spark.read.parquet, paths)) if all(exists(spark, p) for p in paths) else None
 
 
 def load_artifacts(spark: SparkSession, root: str) -> tuple[dict, bool]:
-    """(artifacts, ok): required tables missing -> ok False; optional ones missing -> None."""
+    """(artifacts, ok) of the current run: required tables missing or without a schema -> ok False; optional ones -> None. Other errors
+    (no right to read, a store out of reach) are raised."""
     out, ok = {}, True
+    folder = current(spark, root)
     for name, required in ARTIFACTS.items():
-        path = artifact_path(root, name)
-        if not exists(spark, path):
-            out[name] = None
-            ok = ok and not required
-            continue
-        if name == "cf_model":
-            out[name] = path
-            continue
-        try:
-            out[name] = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - unreadable artifact counts as missing
-            out[name] = None
-            ok = ok and not required
+        path = artifact_path(folder, name)
+        out[name] = None
+        if exists(spark, path):
+            try:
+                out[name] = spark.read.parquet(path)
+            except AnalysisException:  # a folder without a readable table
+                pass
+        ok = ok and (out[name] is not None or not required)
     return out, ok
 
 
 def artifact_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(artifact, path, present, rows): one row per known artifact; rows from Parquet metadata."""
-    rows = []
+    rows, folder = [], current(spark, root)
     for name in ARTIFACTS:
-        path = artifact_path(root, name)
+        path = artifact_path(folder, name)
         present = exists(spark, path)
-        n = None
-        if present and name != "cf_model":
-            n = spark.read.parquet(path).count()
+        n = spark.read.parquet(path).count() if present else None
         rows.append((name, path, present, n))
     return spark.createDataFrame(rows, "artifact string, path string, present boolean, rows long")

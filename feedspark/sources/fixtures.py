@@ -21,12 +21,14 @@ SEARCH_LANGS = ("en", "de", "fr", "es")
 DEFAULT_QUERY = "top breaking news"
 QUERY_PREFIX = "latest news "
 SNIPPET_CHARS = 160
+# One character less than a usable text, for hits whose page came back empty.
+SHORT_SNIPPET_CHARS = 29
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw article rows (all strings) with an explicit input order ``row_ord``.
 
-    Rows with doc_id % 10 = 0 appear twice (the copy has an upper-cased category and no
+    Rows with doc_id % 41 = 7 have no text in any field. Rows with doc_id % 10 = 0 appear twice (the copy has an upper-cased category and no
     description); for doc_id % 20 = 10 the copy comes first, so dedupe order is visible.
     """
     d = read_table(spark, sf_dir, "documents", deal=True).select("doc_id", "text", "lang")
@@ -41,11 +43,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(i % 29 == 0, F.lit("News "))
                 .when(i % 3 == 0, F.concat(F.lit(" "), F.upper("lang"), F.lit(" ")))
                 .otherwise(F.col("lang")))
+    blank = i % 41 == 7
     base = d.select(
         i.cast("string").alias("article_id"),
-        F.substring_index("text", "\n", 1).alias("title"),
-        F.when(i % 7 == 0, F.lit("NaN")).otherwise(F.substring("text", 1, 200)).alias("description"),
-        F.col("text").alias("content"),
+        F.when(blank, F.lit("  ")).otherwise(F.substring_index("text", "\n", 1)).alias("title"),
+        F.when((i % 7 == 0) | blank, F.lit("NaN")).otherwise(F.substring("text", 1, 200)).alias("description"),
+        F.when(blank, F.lit("none")).otherwise(F.col("text")).alias("content"),
         category.alias("category"),
         published.alias("published_at"),
         (i * 2).alias("row_ord"))
@@ -79,12 +82,13 @@ def interactions(spark: SparkSession, sf_dir: str, graded: bool = False) -> Data
     the documents' ids (0 to the largest)."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     n_items = read_table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).scalar()
-    item = F.col("event_id") % n_items
+    # users with user_id % 50 = 7 like only items that no article has
+    item = F.when(F.col("user_id") % 50 == 7, F.concat(F.lit("unknown-"), F.col("event_id") % 7)).otherwise((F.col("event_id") % n_items).cast("string"))
     keep = F.col("event_type").isin(*LIKE_EVENT_TYPES)
     rating = F.least(F.col("value") / 100.0, F.lit(1.0)) if graded else F.lit(1.0)
     return e.where(keep).select(
         F.col("user_id").cast("string").alias("user_id"),
-        item.cast("string").alias("item_id"),
+        item.alias("item_id"),
         rating.cast("double").alias("rating"),
         F.col("ts").alias("timestamp"))
 
@@ -114,7 +118,7 @@ def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url",
         F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1).alias("lang"),
         H.page_title(clean).alias("page_title"),
-        F.substring(py_strip(H.first_paragraph_text(clean)), 1, SNIPPET_CHARS).alias("snippet"))
+        F.substr(py_strip(H.first_paragraph_text(clean)), F.lit(1), F.when(empty_page(), SHORT_SNIPPET_CHARS).otherwise(SNIPPET_CHARS)).alias("snippet"))
     lang_q = feats.select("*", F.explode(F.array(*[F.lit(v) for v in SEARCH_LANGS])).alias("qlang")) \
         .where((F.col("lang") == F.col("qlang")) | (F.col("page_id") % 5 == 0)) \
         .select(F.concat(F.lit(QUERY_PREFIX), F.col("qlang")).alias("query"), "page_id", "url",
@@ -141,5 +145,11 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("query", "pos", "link", "title", "snippet"))
 
 
+def empty_page() -> Column:
+    """Pages that came back without a text: their hits have a short snippet alone."""
+    return F.col("page_id") % 17 == 3
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages", deal=True).select("url", "html")
+    p = read_table(spark, sf_dir, "pages", deal=True).select("page_id", "url", "html")
+    return p.select("url", F.when(empty_page(), F.lit("")).otherwise(F.col("html")).alias("html"))

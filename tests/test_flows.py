@@ -25,12 +25,15 @@ def test_offline_then_online(spark, sf, tmp_path):
     metrics = {(r.section, r.metric): r.value for r in report.collect()}
     assert metrics[("data", "processed_articles")] > 0 and metrics[("run", "total_seconds")] > 0
     assert ("clustering_final", "ari") in metrics and ("cf", "precision_at_k") in metrics
-    assert os.path.isdir(os.path.join(out, "cf_model"))
+    root, out = out, AR.current(spark, out)
+    assert os.path.isdir(os.path.join(out, "cf_users")) and AR.load_cf(spark, root) is not None
+    losses = [metrics["tuning", f"held_out_loss_{i}"] for i in range(3)]
+    assert min(losses) < losses[0]
     lines = spark.read.text(os.path.join(out, "evaluation_report_txt")).collect()
     assert lines[0].value.startswith("--- Offline Evaluation Report")
     # the same artifacts in memory give the same recommendations
     found, pages = FX.search_results(spark, sf), FX.pages(spark, sf)
-    online = run_online(spark, out, found, pages)
+    online = run_online(spark, root, found, pages)
     proc = spark.read.parquet(f"{out}/processed_articles")
     base = HashedBagOfWords().encode(proc.select("article_id", "combined_text"), ["article_id"], "combined_text")
     likes = inter.join(P.user_profiles(inter, base, 64).select("user_id"), "user_id", "left_semi")
@@ -58,7 +61,7 @@ def test_online_needs_every_artifact_and_keeps_users_without_vectors(spark, sf,
 
 def test_saved_filter_predicts_the_same(spark, sf, tmp_path):
     inter = FX.interactions(spark, sf, graded=True)
-    model = CF.fit_full(inter, rank=4, max_iter=2)
+    model = CF.fit_full(inter, rank=4, epochs=2)
     AR.save_cf(model, spark, str(tmp_path / "m"))
     pairs = CF.rating_pairs(inter).limit(50).unionByName(spark.createDataFrame([("nobody", "nothing", 0.5)], "user_id string, item_id string, rating double"))
     key = lambda m: sorted((r.user_id, r.item_id, round(r.est, 9)) for r in m.predict(pairs).collect())

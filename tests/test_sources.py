@@ -39,9 +39,9 @@ def test_artifacts_required_and_optional(spark, tmp_path):
     for name in ("processed_articles", "base_embeddings", "user_profiles", "interactions", "user_items"):
         write_table(df, root, name)
     arts, ok = load_artifacts(spark, root)
-    assert ok and arts["cf_model"] is None and arts["user_profiles"].count() == 3
+    assert ok and arts["cf_users"] is None and arts["user_profiles"].count() == 3
     man = {r.artifact: (r.present, r.rows) for r in artifact_manifest(spark, root).collect()}
-    assert man["user_profiles"] == (True, 3) and man["cf_model"] == (False, None)
+    assert man["user_profiles"] == (True, 3) and man["cf_users"] == (False, None)
 
 
 def test_publish_replaces_and_keeps_the_old_on_failure(spark, tmp_path):
