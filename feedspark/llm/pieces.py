@@ -2,7 +2,8 @@
 
 A text starts with the word mark and every space becomes one. Its symbols (characters, at first) stand in a
 linked list; an agenda holds each adjacent pair whose concatenation is a piece, best score first, ties to the
-left. The best pair is merged, its new neighbours enter the agenda, and entries whose symbols have changed since are
+left. The best pair is merged and its new neighbours enter the agenda. In a short part the agenda is a list beside the symbols,
+in which the best entry is looked up; in a longer one it is a heap, in which entries whose symbols have changed since are
 passed over. Symbols that are no piece become byte pieces.
 
 No piece holds a word mark behind another character (tested when the file is read), so no merge
@@ -38,6 +39,9 @@ MARK = "▁"
 CACHE_PARTS, CACHE_CHARS = 600_000, 64
 #: Bytes of text taken at once.
 BYTES_AT_ONCE = 8 << 20
+#: Most symbols of a part whose agenda is a list.
+SHORT = 40
+NEVER = float("inf")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -111,9 +115,39 @@ class Pieces:
 
     def merge(self, part: str) -> list[int]:
         """Ids of a text's part by the agenda."""
+        if len(part) <= SHORT:
+            symbols = self.merge_short(part)
+        else:
+            symbols = self.merge_long(part)
+        out = []
+        for s in symbols:
+            one = self.ids.get(s)
+            if one is not None:
+                out.append(one)
+            else:
+                out.extend([self.bytes[b] for b in s.encode()])
+        return out
+
+    def merge_short(self, part: str) -> list[str]:
+        get = self.cost.get
+        symbols = list(part)
+        agenda = [get(a + b, NEVER) for a, b in zip(symbols, part[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            pair = symbols[i] + symbols[i + 1]
+            symbols[i:i + 2] = [pair]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(pair + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + pair, NEVER)
+        return symbols
+
+    def merge_long(self, part: str) -> list[str]:
         cost = self.cost
-        if part in cost and len(part) <= 1:
-            return [self.ids[part]]
         symbols: list[str | None] = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -137,12 +171,7 @@ class Pieces:
             h = before[i]
             if h >= 0 and (c := cost.get(more := symbols[h] + pair)) is not None:
                 push(agenda, (c, h, more))
-        out = []
-        for s in symbols:
-            if s is not None:
-                one = self.ids.get(s)
-                out.extend([one] if one is not None else [self.bytes[b] for b in s.encode()])
-        return out
+        return [s for s in symbols if s is not None]
 
     def encode(self, text: str) -> bytes:
         """Ids, without begin and end, as little-endian 32-bit numbers."""
@@ -163,13 +192,21 @@ class Pieces:
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts: pieces side by side, marks as spaces, without the mark before the text; bytes that are no UTF-8 become U+FFFD one by one."""
         offsets, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten()
-        joined = pc.binary_join(lists(pa.array(offsets, pa.int32()), self.table.take(flat)), b"").to_pylist()
+        joined = pc.binary_join(lists(pa.array(offsets, pa.int32()), self.table.take(flat)), b"")
         number, control = flat.to_numpy(), np.append(self.is_control[flat.to_numpy()], True)
         other = np.append(np.flatnonzero(~control), len(flat))
         first = other[np.searchsorted(other, offsets[:-1])]
         count = np.append(0, np.cumsum(control[:-1]))
+        lo, hi = offsets[:-1], offsets[1:]
+        marked = (first < hi) & self.leading[np.append(number, 0)[np.minimum(first, len(flat))]]
+        if (count[hi] - count[lo] <= 1 * control[lo] + control[np.maximum(lo, hi - 1)] * (hi > lo + 1)).all():
+            try:
+                text = joined.cast(pa.string())  # fails where bytes are no UTF-8
+                return pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(text, 1), text)
+            except pa.ArrowInvalid:
+                pass
         out = []
-        for lo, hi, at, raw in zip(offsets[:-1], offsets[1:], first, joined):
+        for lo, hi, at, raw in zip(offsets[:-1], offsets[1:], first, joined.to_pylist()):
             if count[hi] - count[lo] > control[lo] + control[max(lo, hi - 1)] * (hi > lo + 1):  # control ids between others part the bytes beside them
                 runs = np.split(number[lo:hi], np.flatnonzero(control[lo:hi]))
                 text = "".join(b"".join(self.surface[i] for i in run).decode("utf-8", "one-by-one") for run in runs)
@@ -180,7 +217,7 @@ class Pieces:
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """(id_col, ids array<int> with begin and end, decoded string) of every row: one scan, no shuffle."""
+    """(id_col, n_tokens long, ids binary, decoded string) of every row, ids with begin and end, as little-endian unsigned 32-bit numbers: one scan, no shuffle."""
     file = model or path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +226,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in (small for b in slices(batches) for small in by_bytes(b)):
             got = [begin + pieces.encode(t) + end for t in texts(batch.column(1))]
             pieces.check()
-            offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in got])])
-            ids = lists(offsets, pa.array(np.frombuffer(b"".join(got), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pieces.decode(ids)], names=[id_col, "ids", "decoded"])
+            size = np.array([len(b) // 4 for b in got], np.int64)
+            decoded = pieces.decode(lists(np.concatenate([[0], np.cumsum(size)]), pa.array(np.frombuffer(b"".join(got), "<i4"))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(got, pa.binary()), decoded], names=[id_col, "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string")
 
 
 def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -210,9 +247,4 @@ def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def op13(spark, sf_dir: str) -> DataFrame:
     out = encode_decode(read(spark, sf_dir, "documents"))
-    # a little-endian 32-bit id in hex: its four bytes from the low one up
-    word = lambda i: F.lpad(F.hex(i.bitwiseAND(0xFF) * (1 << 24) + F.shiftright(i, 8).bitwiseAND(0xFF) * (1 << 16) + F.shiftright(i, 16).bitwiseAND(0xFF) * 256 + F.shiftright(i, 24).bitwiseAND(0xFF)), 8, "0")
-    return out.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.unhex(F.concat_ws("", F.transform("ids", lambda i: word(i.cast("long"))))), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
