@@ -46,9 +46,9 @@ def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return mean, np.packbits(y > 0, axis=1), length, fit
 
 
-def estimate(q: np.ndarray, mean, bits, length, fit) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates (queries by rows) and half-widths of their bounds."""
-    turned = (q @ rotation(q.shape[1])).astype(np.float32)
+def estimate(q: np.ndarray, turn: np.ndarray, mean, bits, length, fit) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates (queries by rows) and half-widths of their bounds; ``turn`` is the rotation."""
+    turned = (q @ turn).astype(np.float32)
     n = turned.shape[1]
     signs = np.unpackbits(bits, axis=1, count=n).astype(np.float32) * 2 - 1
     by_code = turned @ signs.T / np.sqrt(n)
@@ -58,16 +58,19 @@ def estimate(q: np.ndarray, mean, bits, length, fit) -> tuple[np.ndarray, np.nda
 
 
 def one_bit(k: int):
-    """Search function of a block."""
+    """Preparation of a block: its codes are made once, whatever the number of query blocks."""
 
-    def run(q_ids, q, ids, x):
+    def prepare(ids, x):
         if not x.shape[1]:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        code = encode(x)
+            return lambda q_ids, q: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        code, turn = encode(x), rotation(x.shape[1])
         repeats = int(np.unique(ids, return_counts=True)[1].max())
+        return lambda q_ids, q: asked(q_ids, q, ids, x, code, turn, repeats)
+
+    def asked(q_ids, q, ids, x, code, turn, repeats):
         at, found, scores = [], [], []
         for lo in range(0, len(q_ids), 64):
-            est, half = estimate(q[lo:lo + 64], *code)
+            est, half = estimate(q[lo:lo + 64], turn, *code)
             for i in range(lo, min(lo + 64, len(q_ids))):
                 mid, width = est[i - lo], half[i - lo]
                 other = ids != q_ids[i]
@@ -88,7 +91,7 @@ def one_bit(k: int):
                 scores.append(exact[top])
         return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
 
-    return run
+    return prepare
 
 
 def nearest(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -55,20 +55,36 @@ def large_scores(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def maxscore(k: int):
-    """Search function of a shard."""
-
-    def run(q_ids, q, ids, x):
-        q, x = quantised(q), quantised(x)
-        if not x.shape[1]:
-            q, x = np.zeros((len(q), 1)), np.zeros((len(x), 1))
-        x = np.where(q.any(axis=0), x, 0.0)
-        q = np.where(x.any(axis=0), q, 0.0)
+    """Preparation of a shard: its posting lists and their bounds are made once, whatever the number of query blocks."""
+
+    def prepare(ids, x):
+        x = quantised(x if x.shape[1] else np.zeros((len(x), 1)))
         low, high = x.min(axis=0), x.max(axis=0)
-        with np.errstate(over="ignore"):
-            most = float((np.abs(q).max(axis=0) * np.maximum(-low, high)).sum())
-        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # sums are exact in it
+        lists = {}
+
+        def asked(q_ids, q):
+            q = quantised(q if q.shape[1] else np.zeros((len(q), 1)))
+            terms = np.flatnonzero(q.any(axis=0) & ((low != 0) | (high != 0)))  # others add nothing to any score
+            if not len(terms):
+                terms = np.arange(1)
+                return scored(q_ids, 0 * q[:, :1], ids, 0 * x[:, :1], 0 * low[:1], 0 * high[:1], np.zeros((1, len(ids)), np.float32), 0.0)
+            whole = len(terms) == x.shape[1]
+            with np.errstate(over="ignore"):
+                most = float((np.abs(q).max(axis=0)[terms] * np.maximum(-low, high)[terms]).sum())
+            kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # sums are exact in it
+            if kind not in lists:
+                with np.errstate(invalid="ignore", over="ignore"):
+                    lists[kind] = np.ascontiguousarray(x.T.astype(kind))
+            if whole:
+                return scored(q_ids, q, ids, x, low, high, lists[kind], most)
+            return scored(q_ids, q[:, terms], ids, x[:, terms], low[terms], high[terms], lists[kind][terms], most)
+
+        return asked
+
+    def scored(q_ids, q, ids, x, low, high, postings, most):
+        kind = postings.dtype.type
         with np.errstate(invalid="ignore"):
-            postings, weights = np.ascontiguousarray(x.T.astype(kind)), q.astype(kind)
+            weights = q.astype(kind)
         at, found, scores = [], [], []
         for i in range(len(q_ids)):
             if most >= 2**62:
@@ -105,7 +121,7 @@ def maxscore(k: int):
             scores.append(sums[top].astype(np.int64))
         return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
 
-    return run
+    return prepare
 
 
 def top_k(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

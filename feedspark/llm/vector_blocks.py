@@ -1,9 +1,9 @@
 """Vectors in blocks: a stated query set against all rows without pairs of rows ever being shuffled.
 
 Candidates and queries are dealt over tasks by round robin and packed into blocks of a bounded number
-of rows; each block is one row that holds its ids and its vectors. Every query block then meets every
-candidate block through an equi-join on the candidate block's number, and a search function returns the
-block's best rows of each query, which are merged by query.
+of rows; each block is one row that holds its ids and its vectors. A candidate block travels once, to the task of its
+number, and is prepared there once (codes, postings, bounds); all query blocks are sent to every candidate
+block, and a search function returns the block's best rows of each query, which are merged by query.
 """
 from __future__ import annotations
 
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 CANDIDATE_ROWS, QUERY_ROWS = 8192, 512
 BLOCK = "block int, ids binary, dim int, vectors binary"
-#: (query ids, query vectors, candidate ids, candidate vectors) -> query positions, candidate ids, scores
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (query ids, query vectors) -> query positions, candidate ids, scores
+Search = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (candidate ids, candidate vectors) -> the search function of this block
+Prepare = Callable[[np.ndarray, np.ndarray], Search]
 
 
 def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +57,9 @@ def blocks(rows: DataFrame, id_col: str, vector_col: str, size: int, count: int,
     return rows.select(id_col, vector_col).where(F.col(id_col).isNotNull()).repartition(n).mapInArrow(run, BLOCK)
 
 
-def _widen(m: np.ndarray, dim: int) -> np.ndarray:
-    return m if m.shape[1] == dim else np.pad(m, ((0, 0), (0, dim - m.shape[1])))
+def _fit(m: np.ndarray, dim: int) -> np.ndarray:
+    """Columns of a query for candidates of ``dim`` components: missing ones are 0, and those beyond meet nothing but 0."""
+    return m[:, :dim] if m.shape[1] >= dim else np.pad(m, ((0, 0), (0, dim - m.shape[1])))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -76,30 +79,35 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[:k]
 
 
-def search(rows: DataFrame, is_query: Column, k: int, function: Search, score_type: str, id_col: str = "vec_id",
+def search(rows: DataFrame, is_query: Column, k: int, prepare: Prepare, score_type: str, id_col: str = "vec_id",
            vector_col: str = "embedding", drop_zero: bool = False) -> DataFrame:
-    """(query_id, rank, id_col, score): the k best rows of each query by ``function``."""
+    """(query_id, rank, id_col, score): the k best rows of each query by the search functions that ``prepare`` makes of the blocks."""
     rows = rows.select(id_col, vector_col)
     is_query = F.coalesce(is_query, F.lit(False))
     n, n_query = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     n_blocks = max(1, math.ceil(n / CANDIDATE_ROWS))
-    candidates = blocks(rows, id_col, vector_col, CANDIDATE_ROWS, n, drop_zero)
-    queries = blocks(rows.where(is_query), id_col, vector_col, QUERY_ROWS, n_query, drop_zero)
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-                             F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("vectors").alias("q_vectors"))
+    candidates = blocks(rows, id_col, vector_col, CANDIDATE_ROWS, n, drop_zero).withColumn("asks", F.lit(0))
+    queries = blocks(rows.where(is_query), id_col, vector_col, QUERY_ROWS, n_query, drop_zero).withColumn("asks", F.lit(1))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # a task may hold several pieces of a block (few rows each): every piece is prepared, and asked, by itself
+    stream = candidates.unionByName(queries).repartition(n_blocks, "block").sortWithinPartitions("block", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = None, []
         for batch in batches:
-            for r in range(batch.num_rows):  # a row is a pair of blocks
+            for r in range(batch.num_rows):
                 row = {name: batch.column(j)[r].as_py() for j, name in enumerate(batch.schema.names)}
-                q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                dim = max(row["q_dim"], row["dim"])
-                q = _widen(np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), row["q_dim"]), dim)
-                x = _widen(np.frombuffer(row["vectors"], "<f8").reshape(len(ids), row["dim"]), dim)
-                at, found, scores = function(q_ids, q, ids, x)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(found), pa.array(scores)], names=["query_id", id_col, "score"])
-
-    found = queries.join(candidates, "block").drop("block").mapInArrow(run, f"query_id long, `{id_col}` long, score {score_type}")
+                ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                if row["block"] != number:
+                    number, held = row["block"], []
+                if not row["asks"]:
+                    held.append((row["dim"], prepare(ids, x)))
+                    continue
+                for dim, asked in held:
+                    at, found, scores = asked(ids, _fit(x, dim))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(scores)], names=["query_id", id_col, "score"])
+
+    found = stream.mapInArrow(run, f"query_id long, `{id_col}` long, score {score_type}")
     # one exchange by query serves both steps
     merged = found.repartition("query_id").groupBy("query_id", id_col).agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))

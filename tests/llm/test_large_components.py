@@ -17,7 +17,7 @@ def exact(w, v):
 def test_components_beyond_the_old_limit():
     q = np.array([[1.0, 2.0, 0.0]])
     x = np.array([[600000.0, 1.0, 0.0], [700000.0, 1.0, 0.0], [700000.5, 1.0, 1e300]])
-    _, ids, scores = top_k.maxscore(3)(np.array([9]), q, np.array([1, 2, 3]), x)
+    _, ids, scores = top_k.maxscore(3)(np.array([1, 2, 3]), x)(np.array([9]), q)
     assert ids.tolist() == [3, 2, 1] and scores.tolist() == [exact(q[0], v) for v in x[::-1]]
 
 
@@ -26,7 +26,7 @@ def test_scores_about_the_limits_of_a_long():
     m = rng.normal(size=(60, 6)) * 10.0 ** rng.integers(-1, 9, (60, 6))
     m[0], m[1], m[2], m[3] = [1e300] * 6, [1e12, -1e12, 1, 0, 0, 0], [1e12, 1e12, 0, 0, 0, 0], [-1e300, 0, 0, 0, 0, 1]
     ids = np.arange(60)
-    at, found, scores = top_k.maxscore(59)(ids, m, ids, m)
+    at, found, scores = top_k.maxscore(59)(ids, m)(ids, m)
     assert len(scores) == 60 * 59
     assert scores.tolist() == [exact(m[i], m[j]) for i, j in zip(at, found)]
     for i in ids:
