@@ -149,6 +149,56 @@ def test_packing(spark, request, folder):
     check_packing(documents(spark, d), QUERIES["op10_cost_balanced_packing"](spark, d).collect())
 
 
+def test_short_sequences_do_not_depend_on_partitions(spark, monkeypatch):
+    texts = [f"document {i} " + "word " * (i * 37 % 260) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short = set()
+    for parts in (1, 4, 40):
+        got = packing.pack(docs.repartition(parts)).collect()
+        check_packing(list(enumerate(texts)), got)
+        assert all(len(r["ids"]) == 4 * r["length"] and crc32(r["ids"]) == r["ids_crc32"] for r in got)
+        size = defaultdict(int)
+        for r in got:
+            size[r["sequence_id"]] += r["length"]
+        short.add(tuple(sorted(n for n in size.values() if n < 1024)))
+    assert len(short) == 1 and len(short.pop()) <= 10
+
+
+def by_steps(lengths, capacity):
+    """Plain assignment: remainders by falling length to the cheapest sequence with room, else cut over the gaps, widest first."""
+    out, n_seq = [], 0
+    for d, n in enumerate(lengths):
+        for k in range(n // capacity):
+            out.append((d, k * capacity, capacity, n_seq, 0))
+            n_seq += 1
+    rest = [(n % capacity, d) for d, n in enumerate(lengths)]
+    sequences = [[] for _ in range(sum(n for n, _ in rest) // capacity)]
+    used = lambda s: sum(n for _, _, n in s)
+    cost = lambda s: sum(packing.LINEAR * n + packing.QUADRATIC * n * n for _, _, n in s)
+    for n, d in sorted(rest, key=lambda r: -r[0]):
+        at = lengths[d] - n
+        while n:
+            room = [b for b, s in enumerate(sequences) if used(s) + n <= capacity]
+            if room:
+                b = min(room, key=lambda b: (cost(sequences[b]), b))
+            elif any(used(s) < capacity for s in sequences):
+                b = min(range(len(sequences)), key=lambda b: (used(sequences[b]), b))
+            else:
+                out.append((d, at, n, -1, 0))
+                break
+            take = min(n, capacity - used(sequences[b]))
+            out.append((d, at, take, n_seq + b, used(sequences[b])))
+            sequences[b].append((d, at, take))
+            n, at = n - take, at + take
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_plan_equals_a_plain_assignment(seed):
+    lengths = np.random.default_rng(seed).integers(1, 60, 90).tolist()
+    assert sorted(packing.plan(np.array(lengths), 32, short=False)) == sorted(by_steps(lengths, 32))
+
+
 def test_packing_plan_balances_cost():
     lengths = np.random.default_rng(3).integers(1, 3000, 400)
     pieces = packing.plan(lengths)
