@@ -29,7 +29,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, with_ids=False).drop("ids")
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_dup_stage), ("packing", packing_stage)]
