@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.main_text import with_main_text
 from ..functions.urls import is_likely_article_url
 from .ranking import first_per_key
 
@@ -66,13 +67,17 @@ def candidate_articles(queries: DataFrame, search_results: DataFrame,
     return d.where(is_likely_article_url(F.col("link")))
 
 
-def page_features(pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+def page_features(pages: DataFrame, urls: DataFrame | None = None, main_text: bool = False) -> DataFrame:
     """(url, description, full_text) extracted once per page; restricted to ``urls`` first when given
-    so only candidate pages are parsed."""
+    so only candidate pages are parsed. The full text is the <article> or all paragraphs, or with ``main_text`` what
+    text and link density give, which suits pages without such tags."""
     p = pages.select("url", "html")
     if urls is not None:
         p = p.join(urls.select(F.col("link").alias("url")).distinct(), "url", "left_semi")
     clean = p.select("url", H.remove_noise(F.col("html")).alias("clean"))
+    if main_text:
+        texts = with_main_text(p.dropDuplicates(["url"])).select("url", F.col("main_text").alias("full_text"))
+        return clean.select("url", H.page_description(F.col("clean")).alias("description")).join(texts, "url")
     return clean.select("url", H.page_description(F.col("clean")).alias("description"),
                         H.page_full_text(F.col("clean")).alias("full_text"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import is_zero, with_l2_normalized, zeros
 from .ranking import top_n_per_group
+from .skew import split_join
 from .vector_agg import vector_mean
 
 # Categories too generic to drive a search, unless nothing else is left.
@@ -31,24 +32,26 @@ def user_item_counts(interactions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_likes"), F.min("timestamp").alias("first_liked"))
 
 
-def _liked_counts_with_vectors(interactions: DataFrame, embeddings: DataFrame) -> DataFrame:
+def _liked_counts_with_vectors(interactions: DataFrame, embeddings: DataFrame, split_hot: bool = False) -> DataFrame:
     counts = interactions.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(item_vectors(embeddings), "item_id")
+    # a viral item's rows stay where they are, and its vector comes to them
+    return split_join(counts, item_vectors(embeddings), "item_id") if split_hot else counts.join(item_vectors(embeddings), "item_id")
 
 
-def profile_mean(interactions: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:
+def profile_mean(interactions: DataFrame, embeddings: DataFrame, dim: int, split_hot: bool = False) -> DataFrame:
     """(user_id, n_liked, profile_mean): unnormalised mean vector of the liked items that have a
     vector; an item liked twice weighs twice. Users with no such item get no row."""
-    joined = _liked_counts_with_vectors(interactions, embeddings)
+    joined = _liked_counts_with_vectors(interactions, embeddings, split_hot)
     return vector_mean(joined, ["user_id"], "embedding", dim, weight="w", out="profile_mean", count_col="n_liked") \
         .withColumn("n_liked", F.col("n_liked").cast("bigint"))
 
 
 def user_profiles(interactions: DataFrame, embeddings: DataFrame, dim: int,
-                  preferences: DataFrame | None = None) -> DataFrame:
+                  preferences: DataFrame | None = None, split_hot: bool = False) -> DataFrame:
     """(user_id, n_liked, profile_embedding L2-normalised, preferences array) for users with at
-    least one liked item that has a vector."""
-    prof = profile_mean(interactions, embeddings, dim)
+    least one liked item that has a vector. ``split_hot`` looks for items with a large share of the likes first (one more
+    pass over them) and joins these apart."""
+    prof = profile_mean(interactions, embeddings, dim, split_hot)
     prof = with_l2_normalized(prof, "profile_mean", "profile_embedding").drop("profile_mean")
     if preferences is not None:
         prof = prof.join(preferences.select("user_id", "preferences"), "user_id", "left")

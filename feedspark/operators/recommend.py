@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import is_likely_article_url
 from ..functions.vectors import cosine
-from ..session import cut_all, cut_lineage
+from ..session import cut_all, cut_observed
 from . import candidates as C
 from .encoder import Encoder
 from .ranking import top_n_per_group
@@ -29,35 +29,36 @@ def rank_candidates(scored: DataFrame, n: int | None = NUM_RECOMMENDATIONS) -> D
         .withColumn("rank", F.col("rank").cast("int"))
 
 
-def hit_texts(search_results: DataFrame, pages: DataFrame, total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
+def hit_texts(search_results: DataFrame, pages: DataFrame, total: int = C.NUM_SEARCH_RESULTS_TOTAL, main_text: bool = False) -> DataFrame:
     """(query, pos, text_for_embedding, display_description) of every search hit that can become a candidate.
 
     A candidate's text depends only on its hit (the hit's snippet and its page), never on the user, so
     pages are read once per hit. Only each query's first ``total`` hits can be fetched, which bounds
-    this table by ``total`` rows per distinct query.
+    this table by ``total`` rows per distinct query. ``main_text``: full texts by text and link density.
     """
     hits = search_results.where(F.col("pos") <= total).select("query", "pos", "link", "title", "snippet")
     usable = hits.where(F.col("link").isNotNull() & (F.col("link") != "") & F.col("title").isNotNull()
                         & (F.col("title") != "") & is_likely_article_url(F.col("link")))
-    return C.with_candidate_text(usable, C.page_features(pages, usable.select("link"))).select(
+    return C.with_candidate_text(usable, C.page_features(pages, usable.select("link"), main_text)).select(
         "query", "pos", "text_for_embedding", "display_description")
 
 
 def hit_candidates(search_results: DataFrame, pages: DataFrame, encoder: Encoder,
-                   total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
+                   total: int = C.NUM_SEARCH_RESULTS_TOTAL, main_text: bool = False) -> DataFrame:
     """``hit_texts`` with enough text, and the vector of each, encoded by (query, pos); a hit that the
     encoder gave no vector has a null one (``require_vectors``)."""
-    texts = C.with_enough_text(hit_texts(search_results, pages, total))
+    texts = C.with_enough_text(hit_texts(search_results, pages, total, main_text))
     vecs = encoder.encode(texts.select("query", "pos", "text_for_embedding"), ["query", "pos"], "text_for_embedding", "cand_vec")
     return texts.join(vecs, ["query", "pos"], "left")
 
 
 def require_vectors(per_hit: DataFrame) -> DataFrame:
-    """Output check: every usable hit has a vector; else the encoder lost rows and the run stops."""
-    lost = per_hit.where(F.col("cand_vec").isNull()).count()
-    if lost:
-        raise ValueError(f"the encoder returned no vector for {lost} search hits")
-    return per_hit
+    """Output check: every usable hit has a vector; else the encoder lost rows and the run stops. The rows are written, and those
+    without a vector counted on the way."""
+    table, seen = cut_observed(per_hit, lost=F.count_if(F.col("cand_vec").isNull()))
+    if seen["lost"]:
+        raise ValueError(f"the encoder returned no vector for {seen['lost']} search hits")
+    return table
 
 
 def user_candidates(queries: DataFrame, search_results: DataFrame, total: int = C.NUM_SEARCH_RESULTS_TOTAL) -> DataFrame:
@@ -74,7 +75,7 @@ def user_candidates(queries: DataFrame, search_results: DataFrame, total: int =
 def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: DataFrame,
               pages: DataFrame, encoder: Encoder, n: int | None = NUM_RECOMMENDATIONS,
               total_results: int = C.NUM_SEARCH_RESULTS_TOTAL,
-              materialize: bool = True) -> DataFrame:
+              materialize: bool = True, main_text: bool = False) -> DataFrame:
     """(user_id, rank, title, url, snippet, description, content_score) for all profiled users; all
     ranks with ``n=None``.
 
@@ -89,9 +90,9 @@ def recommend(profiles: DataFrame, top_categories: DataFrame, search_results: Da
     first_hits = search_results.where(F.col("pos") <= total_results).select("query", "pos", "link", "title", "snippet")
     if materialize:
         profiles, first_hits = cut_all(profiles, first_hits)
-    per_hit = hit_candidates(first_hits, pages, encoder, total_results)
+    per_hit = hit_candidates(first_hits, pages, encoder, total_results, main_text)
     if materialize:
-        per_hit = require_vectors(cut_lineage(per_hit))
+        per_hit = require_vectors(per_hit)
     queries = C.with_quota(C.user_queries(profiles.select("user_id"), top_categories), total_results)
     with_vec = user_candidates(queries, first_hits, total_results).join(per_hit, ["query", "pos"])
     ranked = rank_candidates(content_scores(with_vec, profiles), n)

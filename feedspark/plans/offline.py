@@ -34,12 +34,13 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
     parts = []
 
     processed = A.prepare_articles(raw_articles)
-    AR.write_table(processed, out, "processed_articles")
+    # counts are observed while the artifacts are written; labels are numbered from 0 without a gap
+    seen = AR.write_observed(processed, out, "processed_articles", rows=F.count(F.lit(1)), last_label=F.max("category_encoded"))
     processed = spark.read.parquet(AR.artifact_path(out, "processed_articles"))  # lineage cut at the artifact
-    n_processed = processed.count()
+    n_processed = seen["rows"]
     if n_processed == 0:
         raise ValueError(f"none of {raw_articles.count()} input rows has an id, a category, text and a valid date")
-    parts.append(RP.metric_rows("data", processed.agg(F.count(F.lit(1)).alias("processed_articles"))))
+    counted = [("data", "processed_articles", float(n_processed), "")]
 
     text = processed.select("article_id", "combined_text")
     AR.write_table(enc.encode(text, ["article_id"], "combined_text"), out, "base_embeddings")
@@ -54,17 +55,17 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
     final = spark.read.parquet(AR.artifact_path(out, "article_embeddings"))
 
     labels = processed.select("article_id", F.col("category_encoded").alias("label"))
-    k = processed.select("category_encoded").distinct().count()
+    k = seen["last_label"] + 1
     if n_processed > 1:
         cm = CE.compare_variants({"final": final, "base": base}, labels, k)
         parts.append(cm.select(F.concat(F.lit("clustering_"), "variant").alias("section"), "metric", "value", "note"))
 
-    AR.write_table(interactions, out, "interactions")
+    seen = AR.write_observed(interactions, out, "interactions", rows=F.count(F.lit(1)))
     likes = spark.read.parquet(AR.artifact_path(out, "interactions"))
     AR.write_table(P.user_item_counts(likes), out, "user_items")
-    parts.append(RP.metric_rows("interactions", likes.agg(F.count(F.lit(1)).alias("interactions"))))
+    counted.append(("interactions", "interactions", float(seen["rows"]), ""))
 
-    if CF.enough_interactions(likes):
+    if seen["rows"] > CF.MIN_INTERACTIONS:
         try:
             pred = CF.fit_predict(likes)
             parts.append(RP.metric_rows("cf", CF.precision_recall_at_k(pred)))
@@ -78,12 +79,12 @@ def run_offline(spark: SparkSession, raw_articles: DataFrame, preferences: DataF
                                            "section string, metric string, value double, note string"))
 
     dim = enc.dim
-    profiles = P.user_profiles(likes, final, dim, preferences)
-    AR.write_table(profiles, out, "user_profiles")
-    parts.append(RP.metric_rows("profiles", spark.read.parquet(AR.artifact_path(out, "user_profiles"))
-                                .agg(F.count(F.lit(1)).alias("users_with_profiles"))))
+    profiles = P.user_profiles(likes, final, dim, preferences, split_hot=True)
+    seen = AR.write_observed(profiles, out, "user_profiles", rows=F.count(F.lit(1)))
+    counted.append(("profiles", "users_with_profiles", float(seen["rows"]), ""))
 
     parts.append(spark.createDataFrame([
+        *counted,
         ("run", "total_seconds", time.perf_counter() - started, ""),
         ("run", "cluster_rows", float(n_processed), ""),
         ("run", "encoder_dim", float(dim), type(enc).__name__)], "section string, metric string, value double, note string"))

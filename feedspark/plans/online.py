@@ -18,7 +18,7 @@ from ..sources import artifacts as AR
 
 def run_online(spark: SparkSession, artifacts_dir: str, search_results: DataFrame, pages: DataFrame,
                encoder: Encoder | None = None, users: list[str] | None = None,
-               n: int = NUM_RECOMMENDATIONS) -> DataFrame:
+               n: int = NUM_RECOMMENDATIONS, main_text: bool = False) -> DataFrame:
     """Recommendations for all profiled users (or only ``users``).
 
     Profiles are rebuilt from the stored likes and the *base* embeddings (the reference recomputes
@@ -37,7 +37,7 @@ def run_online(spark: SparkSession, artifacts_dir: str, search_results: DataFram
     # a user none of whose items has a base vector gets the zero vector: every candidate scores 0
     profiles = P.profile_embedding(likes, base, enc.dim)
     counts = P.user_category_counts(likes, base, A.category_lookup(arts["processed_articles"]))
-    return recommend(profiles, P.user_top_categories(counts), search_results, pages, enc, n)
+    return recommend(profiles, P.user_top_categories(counts), search_results, pages, enc, n, main_text=main_text)
 
 
 def main(argv=None) -> None:
@@ -45,13 +45,14 @@ def main(argv=None) -> None:
     ap.add_argument("--artifacts", required=True)
     ap.add_argument("--sf-dir", required=True, help="folder with the pages table (search stand-in)")
     ap.add_argument("--user", action="append")
+    ap.add_argument("--main-text", action="store_true", help="page texts by text and link density")
     ap.add_argument("--out")
     args = ap.parse_args(argv)
     from ..session import get_spark
     from ..sources import fixtures
     spark = get_spark("feedspark-online")
     recs = run_online(spark, args.artifacts, fixtures.search_results(spark, args.sf_dir),
-                      fixtures.pages(spark, args.sf_dir), users=args.user)
+                      fixtures.pages(spark, args.sf_dir), users=args.user, main_text=args.main_text)
     if args.out:
         recs.write.mode("overwrite").parquet(args.out)
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_spark(app: str = "feedspark", cores: str | int | None = None, shuffle_partitions: int | None = None,
@@ -38,11 +38,13 @@ def get_spark(app: str = "feedspark", cores: str | int | None = None, shuffle_pa
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Clusters name it. Where it is unset (local tests) a folder beside the warehouse, which is
-    shared like the warehouse itself, is used and set as the session's checkpoint folder.
+    Clusters name it. Where it is unset a local session (tests) uses a folder beside its warehouse; on a cluster
+    that folder would be the driver machine's own, so there it is an error.
     """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_feedspark_checkpoints"
     return d.rstrip("/")
 
@@ -69,6 +71,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_observed(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` and the values of ``aggregates`` over the rows, observed while they are written: no second scan."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, *[a.alias(name) for name, a in aggregates.items()]))
+    return table, seen.get
+
+
 def cut_all(*tables: DataFrame) -> list[DataFrame]:
     """``cut_lineage`` of independent tables, whose jobs run side by side."""
     with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:

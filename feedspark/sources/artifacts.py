@@ -11,7 +11,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ARTIFACTS = {
@@ -79,6 +79,13 @@ def write_table(df: DataFrame, root: str, name: str) -> str:
     return final
 
 
+def write_observed(df: DataFrame, root: str, name: str, **aggregates: Column) -> dict:
+    """``write_table``; returns the values of ``aggregates`` over its rows, observed while they are written."""
+    seen = Observation()
+    write_table(df.observe(seen, *[a.alias(k) for k, a in aggregates.items()]), root, name)
+    return seen.get
+
+
 def new_snapshot(root: str) -> str:
     """Folder of a run that nothing points to yet."""
     return os.path.join(root, "runs", uuid.uuid4().hex)

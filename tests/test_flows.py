@@ -99,3 +99,26 @@ def test_short_texts_are_dropped(spark):
 def test_nearest_centroid_on_no_rows(spark):
     emb = spark.createDataFrame([], "article_id string, embedding array<double>, label int")
     assert CE.nearest_centroid(emb).count() == 0 and CE.nearest_centroid(emb, dim=3).count() == 0
+
+
+def test_counts_are_observed_while_tables_are_written(spark, tmp_path):
+    from feedspark.session import cut_observed
+    df = spark.range(10).withColumn("v", F.when(F.col("id") > 6, F.col("id")))
+    table, seen = cut_observed(df, rows=F.count(F.lit(1)), lost=F.count_if(F.col("v").isNull()))
+    assert seen == {"rows": 10, "lost": 7} and table.count() == 10
+    assert cut_observed(df.limit(0), rows=F.count(F.lit(1)))[1] == {"rows": 0}
+    assert AR.write_observed(df, str(tmp_path), "user_profiles", rows=F.count(F.lit(1)), last=F.max("id")) == {"rows": 10, "last": 9}
+
+
+def test_recommendations_with_main_texts(spark, sf):
+    found, pages = FX.search_results(spark, sf), FX.pages(spark, sf)
+    by_tags, by_density = (R.hit_texts(found, pages, main_text=m).collect() for m in (False, True))
+    assert len(by_tags) == len(by_density) and any(len(r.text_for_embedding or "") > 200 for r in by_density)
+
+
+def test_profiles_are_the_same_with_hot_items_joined_apart(spark, sf):
+    inter = FX.interactions(spark, sf)
+    viral = inter.withColumn("item_id", F.when(F.hash("user_id", "timestamp") % 3 == 0, "5").otherwise(F.col("item_id")))
+    vecs = FX.article_embeddings(spark, sf)
+    key = lambda df: sorted((r.user_id, r.n_liked, [round(x, 9) for x in r.profile_embedding]) for r in df.collect())
+    assert key(P.user_profiles(viral, vecs, 64, split_hot=True)) == key(P.user_profiles(viral, vecs, 64))
