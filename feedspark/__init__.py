@@ -17,5 +17,5 @@ try:  # ship this package's functions and classes to Python workers by value (no
     from pyspark import cloudpickle as _cp
 
     _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001
+except ImportError:  # without Spark there are no workers to ship to
     pass
