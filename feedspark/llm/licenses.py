@@ -33,6 +33,8 @@ THRESHOLD = 0.9
 WIDTH = 2
 #: Everything but words (fixed value: words are runs of other characters).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters beyond ASCII whose lower case holds ASCII letters (fixed values).
+TO_ASCII = ("\u0130", "\u212a")
 #: Phrases looked for as they stand, and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Public license wordings and their labels.
@@ -50,8 +52,14 @@ TEMPLATES = (
 
 
 def normal(text: Column) -> Column:
-    """Words with one space between them; only A-Z are lower-cased."""
-    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), BETWEEN, " "))
+    """Words in lower case with one space between them.
+
+    Phrases and templates are ASCII, so that lower case beyond A-Z shows in no result, but for the two characters that become
+    ASCII letters by it: these are set apart first. (``translate`` of A-Z alone takes five times as long.)
+    """
+    for c in TO_ASCII:
+        text = F.replace(text, F.lit(c), F.lit("÷"))
+    return F.trim(F.regexp_replace(F.lower(text), BETWEEN, " "))
 
 
 def words_of(text: Column) -> Column:

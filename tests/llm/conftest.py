@@ -23,7 +23,8 @@ def odd_documents() -> list[dict]:
              "the of and to in is that it for was on with as by this are be", "el la de que y en los del se las por un para con",
              "THIS!! IS!! LOUD!! AND!! BAD!!", "junk*** words$$$ here### and%%% there&&&", "alpha beta", "alpha beta gamma",
              "² ½ ① Ⅷ", "² ½ ① Ⅷ é", " ".join(MIT.split()[:9]) + "\n# " + "\n# ".join(MIT.split()[9:]), (" filler" * 50).join([""] + MIT.split()), f"{BSD} {BSD} {BSD}",
-             "MIT LİCENSE the MIT lıcense, mit license. " + " ".join(BSD.split()[1:]) + " " + MIT + " " + BSD.upper()]
+             "MIT LİCENSE the MIT lıcense, mit license. " + " ".join(BSD.split()[1:]) + " " + MIT + " " + BSD.upper(),
+             "This wor\u212a is licensed under a Creative Commons Attribution 4.0 International License. This WORK is licensed under a Creative Commons Attribution", "PUBLİC GENERAL Public License ÉÉ general PUBLIC license"]
     rows = [{"doc_id": i, "text": t, "lang": "es" if t and t.startswith("el ") else "en", "source": None, "n_chars": len(t or "")} for i, t in enumerate(texts)]
     rows += [dict(rows[8]), dict(rows[8]), dict(rows[0])]  # repeated rows
     rows += [{"doc_id": None, "text": BASE, "lang": None, "source": "s", "n_chars": None}, {"doc_id": None, "text": None, "lang": None, "source": None, "n_chars": None}]
