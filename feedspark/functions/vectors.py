@@ -9,6 +9,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for a row, also where a lambda within ``body`` reads it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def to_double_array(c) -> Column:
     return F.transform(_c(c), lambda x: x.cast("double"))
 

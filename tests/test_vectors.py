@@ -1,4 +1,7 @@
+import hashlib
+
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from feedspark.functions.vectors import cosine
@@ -33,6 +36,22 @@ def test_hashed_encoder_unit_norm_and_empty_text(spark):
     assert out["2"] == [0.0] * 16 and out["3"] == [0.0] * 16
 
 
+def test_hashed_encoder_equals_a_plain_count_inside_each_row(spark):
+    rows = [("a", "Ä-b b,b 1\u00b2 x_y\nb"), ("a", "b"), ("long", " ".join(f"w{i % 977}" for i in range(30_000))), ("none", None), ("empty", "")]
+    df = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    for dim in (1, 7, 64, 300):
+        want = []
+        for k, t in rows:
+            v = [0.0] * dim
+            for word in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()):
+                if word:
+                    v[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
+            want.append((k, v))
+        enc = HashedBagOfWords(dim, normalize=False).encode(df, ["k"], "t")
+        assert sorted((r.k, r.embedding) for r in enc.collect()) == sorted(want)
+        assert "Exchange" not in HashedBagOfWords(dim).encode(spark.range(3).select(F.col("id").alias("k"), F.lit("a b").alias("t")), ["k"], "t")._jdf.queryExecution().toString()
+
+
 def _load_char_model():
     import numpy as np
 
