@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffles_removed
+
 ARTIFACTS = {
     "processed_articles": True,   # name -> required by the online phase?
     "base_embeddings": True,
@@ -74,7 +76,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def write_table(df: DataFrame, root: str, name: str) -> str:
     final = artifact_path(root, name)
     tmp = final + ".__writing"
-    df.write.mode("overwrite").parquet(tmp)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").parquet(tmp)
     publish(df.sparkSession, tmp, final)
     return final
 
