@@ -156,14 +156,17 @@ def lanczos_floor(fit: FitList, steps: int, start: np.ndarray) -> float:
     return max(0.0, float(low) - beta[-1])
 
 
-def chebyshev(apply, x0: np.ndarray, x1: np.ndarray, low: float, high: float, top: float, degree: int) -> np.ndarray:
-    """Columns ``x0`` under the Chebyshev polynomial of the interval [low, high], scaled to 1 at ``top``; ``x1`` is apply(x0)."""
+def chebyshev(apply, x0: np.ndarray, x1: np.ndarray, low: float, high: float, top: float, degree: int, apart) -> np.ndarray:
+    """Columns ``x0`` under the Chebyshev polynomial of the interval [low, high], scaled to 1 at ``top``; ``x1`` is apply(x0).
+
+    ``apart`` takes the certified columns out of every iterate. Out of what ``apply`` gives alone they would go on as columns of
+    eigenvalue 0, which a spectrum far from 0 leaves far outside the interval, and rounding along them would grow most of all."""
     mid, half = (low + high) / 2, (high - low) / 2
     first = scale = half / (mid - top)
-    before, now = x0, (x1 - mid * x0) * (first / half)
+    before, now = x0, apart((x1 - mid * x0) * (first / half))
     for _ in range(degree - 1):
         following = 1 / (2 / first - scale)
-        before, now = now, 2 * (following / half) * (apply(now) - mid * now) - scale * following * before
+        before, now = now, apart(2 * (following / half) * (apply(now) - mid * now) - scale * following * before)
         scale = following
     return now
 
@@ -213,7 +216,7 @@ def leading(fit: FitList, k: int, seed: int = SEED) -> Components:
         high = max(theta[-1], low + 1e-9 * theta[0])
         reach = (theta[done] - (low + high) / 2) / ((high - low) / 2)
         degree = int(np.clip(math.log(RAISE) / math.acosh(max(reach, 1 + 1e-9)), 2, DEGREE))
-        y = chebyshev(lambda m: apart(times(m)), open_, apart(vq[:, done:]), low, high, theta[done], degree)  # noqa: B023
+        y = chebyshev(times, open_, vq[:, done:], low, high, theta[done], degree, apart)
         for _ in range(2):
             y = np.linalg.qr(apart(y))[0]
         q = np.concatenate([kept, y], axis=1)

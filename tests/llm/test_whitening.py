@@ -85,3 +85,22 @@ def test_an_iteration_that_needs_many_rounds(spark):
     got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 8)
     compare(got.collect(), plain(rows, 8))
     assert got.agg({"residual": "max"}).first()[0] < 1e-10 * got.agg({"eigenvalue": "max"}).first()[0]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_a_flat_spectrum_far_from_zero(seed):
+    """Many vectors without a direction of their own: some columns are certified rounds before the others."""
+    rng = np.random.default_rng(seed)
+    basis = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    values = np.sort(rng.uniform(61.0, 66.5, 64))[::-1]
+    covariance = (basis * values) @ basis.T
+
+    class Dense:
+        n, dim = 1, 64
+
+        def product(self, q):
+            return covariance @ q
+
+    got = whitening.leading(Dense(), 16)
+    assert (got.residuals <= whitening.TOLERANCE * got.values[0]).all() and np.allclose(got.values, values[:16], rtol=1e-12)
+    assert got.passes < 400
